@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from motorlake import config
 from motorlake.plans import dimensions as dims, facts, silver
 from motorlake.session import scratch_path
-from motorlake.sources.adapters import SETS, SNAPSHOT_DATE, raw_set
+from motorlake.sources.adapters import SNAPSHOT_DATE, raw_set
 
 SILVER_BATCH = "BATCH-SILVER-1"
 PROCESSED_AT = "2024-03-02 00:00:00"
@@ -36,18 +35,28 @@ class Warehouse:
         return self.write(name, fresh)
 
 
-def silver_tables(spark: SparkSession, sf_dir: str, snapshot_date: str = SNAPSHOT_DATE) -> dict[str, DataFrame]:
-    """Lazy clean rows of all ten sets."""
-    out = {}
-    for name in SETS:
-        tagged = silver.tag_rows(
-            raw_set(spark, sf_dir, name), name, snapshot_date, ["_source_file", "_row_uid"]
-        )
-        out[name] = silver.clean_rows(tagged, name, SILVER_BATCH, PROCESSED_AT)
-    return out
+def silver_table(spark: SparkSession, sf_dir: str, name: str, snapshot_date: str = SNAPSHOT_DATE) -> DataFrame:
+    """Lazy clean rows of one set."""
+    tagged = silver.tag_rows(raw_set(spark, sf_dir, name), name, snapshot_date, ["_source_file", "_row_uid"])
+    return silver.clean_rows(tagged, name, SILVER_BATCH, PROCESSED_AT)
 
 
-def load_dimensions(w: Warehouse, clean: dict[str, DataFrame]) -> None:
+class SilverTables:
+    """Clean rows by set name, planned only when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, snapshot_date: str = SNAPSHOT_DATE):
+        self._args = (spark, sf_dir)
+        self._snapshot = snapshot_date
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return silver_table(*self._args, name, self._snapshot)
+
+
+def silver_tables(spark: SparkSession, sf_dir: str) -> SilverTables:
+    return SilverTables(spark, sf_dir)
+
+
+def load_dimensions(w: Warehouse, clean: SilverTables) -> None:
     w.write("dim_date", dims.dim_date(w.spark))
     w.write("dim_model", dims.dim_model(clean["vehicles"]))
     w.write("dim_dealer", dims.dim_dealer(clean["dealers"]))
@@ -63,7 +72,7 @@ def load_dimensions(w: Warehouse, clean: dict[str, DataFrame]) -> None:
     )
 
 
-def load_facts(w: Warehouse, clean: dict[str, DataFrame]) -> None:
+def load_facts(w: Warehouse, clean: SilverTables) -> None:
     vehicle, dealer, component = (w.table(f"dim_{x}") for x in ("vehicle", "dealer", "component"))
     resolved = {
         "fact_telemetry": facts.resolve_telemetry(clean["telemetry"], vehicle),
@@ -76,7 +85,7 @@ def load_facts(w: Warehouse, clean: dict[str, DataFrame]) -> None:
     w.write("silver_diagnostics", facts.diagnostics_bridge(clean["diagnostics"], LOADED_AT))
 
 
-def reload_facts(w: Warehouse, clean: dict[str, DataFrame]) -> None:
+def reload_facts(w: Warehouse, clean: SilverTables) -> None:
     """Load the same or newer silver again: nothing is counted twice."""
     vehicle, dealer, component = (w.table(f"dim_{x}") for x in ("vehicle", "dealer", "component"))
     fact = w.table("fact_telemetry")
