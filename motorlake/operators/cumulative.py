@@ -7,8 +7,6 @@ own, and the totals of the earlier ranges are added: one small row per range and
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from motorlake.session import settle
@@ -112,39 +110,28 @@ def split_by_position(
 ) -> DataFrame:
     """Chronological split by row position; adds ``split`` = 0, 1, 2, ...
 
-    Row counts are those of slicing the sorted rows at int(n * fraction).  Only the order
-    value at which a cut falls needs its ties looked at, which a second pass does.
+    Row counts are those of slicing the sorted rows at int(n * fraction).  Only where a cut
+    falls between rows of the same order value are those rows ranked by ``tie`` as well.
     """
     totals = running_totals(df, order)
-    cut = F.lit(0)
-    edges = totals
-    result = df
-    for i, fraction in enumerate(fractions):
+    before, size = F.col("n_before"), F.col("n")
+    split = F.lit(0)
+    for fraction in fractions:
         target = F.floor(F.col("n_total") * F.lit(fraction) + F.lit(1e-9))
-        edge = edges.where(
-            (F.col("n_before") < target) & (target <= F.col("n_before") + F.col("n"))
-        ).select(F.col(order).alias("_cut"), (target - F.col("n_before")).alias("_take"))
-        row = edge.first()  # one row: where the cut falls
-        if row is None:
-            result = result.withColumn(f"_after{i}", F.lit(True))
-            continue
-        ties = df.where(F.col(order) == F.lit(row["_cut"]))
-        last = (
-            running_totals(ties, tie)
-            .where((F.col("n_before") < row["_take"]) & (F.lit(row["_take"]) <= F.col("n_before") + F.col("n")))
-            .select(tie)
-            .first()[0]
-        )
-        after = (F.col(order) > F.lit(row["_cut"])) | (
-            (F.col(order) == F.lit(row["_cut"])) & (F.col(tie) > F.lit(last))
+        edge = (
+            totals.where((before < target) & (target <= before + size))
+            .select(F.col(order).alias("value"), (target - before).alias("take"), "n")
+            .first()  # the one value at which the cut falls
         )
-        result = result.withColumn(f"_after{i}", after)
-    marks = [f"_after{i}" for i in range(len(fractions))]
-    for m in marks:
-        cut = cut + F.col(m).cast("int")
-    return result.withColumn("split", cut).drop(*marks)
-
-
-def hex_width(rows_per_bucket: int, expected_rows: int) -> int:
-    """Hex digits needed so that hashed buckets hold about ``rows_per_bucket`` rows."""
-    return max(1, math.ceil(math.log(max(2.0, expected_rows / rows_per_bucket), 16)))
+        if edge is None:  # the cut falls before the first row
+            split = split + 1
+            continue
+        at = F.lit(edge["value"])
+        after = F.col(order) > at
+        if edge["take"] < edge["n"]:
+            ties = running_totals(df.where(F.col(order) == at), tie)
+            take = F.lit(edge["take"])
+            last = ties.where((before < take) & (take <= before + size)).select(tie).first()[0]
+            after = after | ((F.col(order) == at) & (F.col(tie) > F.lit(last)))
+        split = split + after.cast("int")
+    return df.withColumn("split", split)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from motorlake.plans import dimensions as dims, facts, silver
-from motorlake.session import scratch_path
-from motorlake.sources.adapters import SNAPSHOT_DATE, raw_set
+from motorlake.session import scratch_path, side_by_side
+from motorlake.sources.adapters import SETS, SNAPSHOT_DATE, raw_set
 
 SILVER_BATCH = "BATCH-SILVER-1"
 PROCESSED_AT = "2024-03-02 00:00:00"
@@ -42,47 +42,69 @@ def silver_table(spark: SparkSession, sf_dir: str, name: str, snapshot_date: str
 
 
 class SilverTables:
-    """Clean rows by set name, planned only when asked for."""
+    """Stored clean rows by set name."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, snapshot_date: str = SNAPSHOT_DATE):
-        self._args = (spark, sf_dir)
-        self._snapshot = snapshot_date
+    def __init__(self, w: Warehouse):
+        self._w = w
 
     def __getitem__(self, name: str) -> DataFrame:
-        return silver_table(*self._args, name, self._snapshot)
+        return self._w.table(f"silver/{name}")
+
+
+def load_silver(w: Warehouse, sf_dir: str, snapshot_date: str = SNAPSHOT_DATE) -> SilverTables:
+    """Clean and store all ten sets; the sets do not depend on each other."""
+    side_by_side(
+        [
+            lambda n=n: w.write(f"silver/{n}", silver_table(w.spark, sf_dir, n, snapshot_date))
+            for n in SETS
+        ]
+    )
+    return SilverTables(w)
 
 
 def silver_tables(spark: SparkSession, sf_dir: str) -> SilverTables:
-    return SilverTables(spark, sf_dir)
+    return SilverTables(open_warehouse(spark, sf_dir))
 
 
 def load_dimensions(w: Warehouse, clean: SilverTables) -> None:
-    w.write("dim_date", dims.dim_date(w.spark))
-    w.write("dim_model", dims.dim_model(clean["vehicles"]))
-    w.write("dim_dealer", dims.dim_dealer(clean["dealers"]))
-    w.write("dim_customer", dims.dim_customer(clean["customers"]))
-    w.write("dim_component", dims.dim_component(clean["components"]))
-    w.write("part_lookup", dims.part_lookup(clean["components"], w.table("dim_component")))
-    w.write(
-        "dim_vehicle",
-        dims.dim_vehicle(
-            clean["vehicles"], clean["vehicle_customer_map"], w.table("dim_model"), w.table("dim_dealer"),
-            w.table("dim_customer"),
-        ),
+    side_by_side(
+        [
+            lambda: w.write("dim_date", dims.dim_date(w.spark)),
+            lambda: w.write("dim_model", dims.dim_model(clean["vehicles"])),
+            lambda: w.write("dim_dealer", dims.dim_dealer(clean["dealers"])),
+            lambda: w.write("dim_customer", dims.dim_customer(clean["customers"])),
+            lambda: w.write("dim_component", dims.dim_component(clean["components"])),
+        ]
+    )
+    side_by_side(
+        [
+            lambda: w.write("part_lookup", dims.part_lookup(clean["components"], w.table("dim_component"))),
+            lambda: w.write(
+                "dim_vehicle",
+                dims.dim_vehicle(
+                    clean["vehicles"], clean["vehicle_customer_map"], w.table("dim_model"), w.table("dim_dealer"),
+                    w.table("dim_customer"),
+                ),
+            ),
+        ]
     )
 
 
 def load_facts(w: Warehouse, clean: SilverTables) -> None:
     vehicle, dealer, component = (w.table(f"dim_{x}") for x in ("vehicle", "dealer", "component"))
-    resolved = {
-        "fact_telemetry": facts.resolve_telemetry(clean["telemetry"], vehicle),
-        "fact_service": facts.resolve_service(clean["service"], vehicle, dealer),
-        "fact_warranty": facts.resolve_warranty(clean["warranty"], vehicle, component),
-        "fact_parts": facts.resolve_parts(clean["parts"], w.table("part_lookup"), dealer),
-    }
-    for name, df in resolved.items():
-        w.write(name, facts.number_rows(df, name).withColumn("_loaded_at", F.lit(LOADED_AT)))
-    w.write("silver_diagnostics", facts.diagnostics_bridge(clean["diagnostics"], LOADED_AT))
+
+    def fact(name: str, resolved: DataFrame) -> None:
+        w.write(name, facts.number_rows(resolved, name).withColumn("_loaded_at", F.lit(LOADED_AT)))
+
+    side_by_side(
+        [
+            lambda: fact("fact_telemetry", facts.resolve_telemetry(clean["telemetry"], vehicle)),
+            lambda: fact("fact_service", facts.resolve_service(clean["service"], vehicle, dealer)),
+            lambda: fact("fact_warranty", facts.resolve_warranty(clean["warranty"], vehicle, component)),
+            lambda: fact("fact_parts", facts.resolve_parts(clean["parts"], w.table("part_lookup"), dealer)),
+            lambda: w.write("silver_diagnostics", facts.diagnostics_bridge(clean["diagnostics"], LOADED_AT)),
+        ]
+    )
 
 
 def reload_facts(w: Warehouse, clean: SilverTables) -> None:
@@ -126,7 +148,7 @@ def open_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _open:
         w = Warehouse(spark, scratch_path(spark, "warehouse"))
-        clean = silver_tables(spark, sf_dir)
+        clean = load_silver(w, sf_dir)
         load_dimensions(w, clean)
         load_facts(w, clean)
         _open[key] = w

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +56,9 @@ def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(jobs: list[Callable[[], object]], at_once: int = 8) -> list[object]:
+    """Run independent jobs at the same time, so that small ones do not leave executors idle."""
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]
