@@ -113,9 +113,15 @@ def unsupported_diagnostics(diagnostics: DataFrame, telemetry: DataFrame) -> Dat
 
 
 def unsupported_claims(claims: DataFrame, service: DataFrame) -> DataFrame:
-    """Claims without a costly repair of the vehicle on that day naming the component."""
-    repairs = service.where(F.col("cost") > config.REPAIR_COST_FLOOR).select(
-        F.col("vehicle_id").alias("_v"), F.col("visit_date").alias("_d"), "issue", "cost"
+    """Claims without a costly repair of the vehicle on that day naming the component.
+
+    Of the repairs with the same text only the dearest matters, so a vehicle-day with very
+    many visits offers each claim one row per distinct text.
+    """
+    repairs = (
+        service.where(F.col("cost") > config.REPAIR_COST_FLOOR)
+        .groupBy(F.col("vehicle_id").alias("_v"), F.col("visit_date").alias("_d"), "issue")
+        .agg(F.max("cost").alias("cost"))
     )
     return claims.join(
         repairs,

@@ -74,7 +74,12 @@ def compact(
     keys = compaction_keys(kind)
     keyed = batch.withColumns(keys)
     first = tag_kept(keyed, list(keys), [F.col(a) for a in arrival], arrival, keep="earliest", flag="_first")
-    held = existing.withColumns(keys).select(*keys).distinct()
+    # the time is part of the key: only silver of the batch's own span can hold it, and the
+    # scan skips the rest
+    span = batch.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
+    low, high = span.select("lo").scalar(), span.select("hi").scalar()
+    near = existing.where((F.col("timestamp") >= low) & (F.col("timestamp") <= high))
+    held = near.withColumns(keys).select(*keys).distinct()
     held = held.select(*[F.col(k).alias(f"_{k}") for k in keys])
     on = None
     for k in keys:
@@ -110,10 +115,17 @@ def compaction_writer(spark: SparkSession, kind: str, silver_path: str, quaranti
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             known = batch.limit(0)
-        tagged = compact(batch, known, kind, arrival).withColumn("_batch", F.lit(number))
+        t = F.col("timestamp")
+        parts = {"year": F.year(t), "month": F.month(t), "day": F.dayofmonth(t), "_batch": F.lit(number)}
+        tagged = compact(batch, known, kind, arrival).withColumns(parts)
         clean = tagged.where(F.col(silver.RULE).isNull()).drop(silver.RULE, silver.REASON)
         for rows, path in ((clean, silver_path), (tagged.where(F.col(silver.RULE).isNotNull()), quarantine_path)):
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(path)
+            (
+                rows.write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy(*parts)
+                .parquet(path)
+            )
 
     return write
 
