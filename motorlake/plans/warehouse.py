@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from motorlake.plans import dimensions as dims, facts, silver
@@ -14,25 +17,51 @@ LOADED_AT = "2024-03-03 00:00:00"
 
 
 class Warehouse:
-    """Tables below one folder, written in dependency order and read back as DataFrames."""
+    """Tables below one folder.
+
+    A table's files are never overwritten while they may be read: additions are appended, and
+    a table computed from itself is written once to a new place, to which a small pointer is
+    then turned.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        self._places: dict[str, str] = {}
+
+    def _place(self, name: str) -> str:
+        if name not in self._places:
+            self._places[name] = f"{self.path}/{name}"
+            try:
+                pointer = self.spark.read.parquet(f"{self.path}/current/{name}")
+                self._places[name] = pointer.first()["place"]
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+        return self._places[name]
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self._place(name))
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        """First load of a table."""
+        df.write.mode("overwrite").parquet(self._place(name))
         return self.table(name)
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+    def append(self, name: str, df: DataFrame) -> DataFrame:
+        """Add rows; what is there is not touched."""
+        df.write.mode("append").parquet(self._place(name))
+        return self.table(name)
 
     def replace(self, name: str, df: DataFrame) -> DataFrame:
-        """New contents computed from the old: written aside first, never over files being read."""
-        aside = f"{self.path}/_{name}_next"
-        df.write.mode("overwrite").parquet(aside)
-        fresh = self.spark.read.parquet(aside)
-        return self.write(name, fresh)
+        """New contents, possibly computed from the old."""
+        place = f"{self.path}/{name}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(place)
+        self.spark.createDataFrame([(place,)], "place string").coalesce(1).write.mode("overwrite").parquet(
+            f"{self.path}/current/{name}"
+        )
+        self._places[name] = place
+        return self.table(name)
 
 
 def silver_table(spark: SparkSession, sf_dir: str, name: str, snapshot_date: str = SNAPSHOT_DATE) -> DataFrame:
@@ -114,7 +143,7 @@ def reload_facts(w: Warehouse, clean: SilverTables) -> None:
     fresh = facts.new_telemetry(facts.resolve_telemetry(clean["telemetry"], vehicle), fact)
     top = fact.agg(F.coalesce(F.max("telemetry_fact_id"), F.lit(0)).alias("m")).first()["m"]
     added = facts.number_rows(fresh, "fact_telemetry", top).withColumn("_loaded_at", F.lit(LOADED_AT))
-    w.replace("fact_telemetry", fact.unionByName(added))
+    w.append("fact_telemetry", added.select(*fact.columns))
     for name, resolved in (
         ("fact_service", facts.resolve_service(clean["service"], vehicle, dealer)),
         ("fact_warranty", facts.resolve_warranty(clean["warranty"], vehicle, component)),

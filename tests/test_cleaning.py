@@ -146,6 +146,10 @@ def test_second_load_adds_nothing(spark, sf_dir):
     wh.reload_facts(w, clean)
     assert {r["table_name"]: r["rows"] for r in wh.row_counts(w).collect()} == before
     assert {r["service_id"]: r["service_fact_id"] for r in w.table("fact_service").collect()} == ids
+    # another reader of the folder finds the replaced tables
+    other = wh.Warehouse(spark, w.path)
+    assert other.table("fact_service").inputFiles()[0].split("/")[-2] != "fact_service"
+    assert {r["table_name"]: r["rows"] for r in wh.row_counts(other).collect()} == before
     for name, key in facts.FACT_IDS.items():
         assert quality.duplicates(w.table(name), [key]).count() == 0
 
