@@ -1,12 +1,13 @@
 """Importing this module registers every query."""
 
-from importlib import import_module
-
-MODULES = ["cleaning", "warehouse", "marts", "features", "scoring", "actions", "reports", "streams", "storage"]
-
-for _m in MODULES:
-    try:
-        import_module(f"motorlake.catalog.{_m}")
-    except ModuleNotFoundError as e:
-        if e.name != f"motorlake.catalog.{_m}":
-            raise
+from motorlake.catalog import (  # noqa: F401
+    cleaning,
+    warehouse,
+    marts,
+    features,
+    scoring,
+    actions,
+    reports,
+    streams,
+    storage,
+)

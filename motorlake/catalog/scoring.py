@@ -33,7 +33,7 @@ def _once(name, spark, sf_dir, build):
 
 
 def cohorts(spark, sf_dir, cutoffs):
-    name = f"cohorts-{cutoffs[0]}"
+    name = "cohorts-" + ",".join(cutoffs)
     return _once(
         name, spark, sf_dir,
         lambda: settle(features.failure_cohorts(*_inputs(spark, sf_dir), cutoffs), "cohorts"),

@@ -298,5 +298,4 @@ def sql(body: str, **extra: str) -> str:
     if not order:
         return body
     head = ",\n".join(f"{name} AS ({blocks[name]})" for name in order)
-    # blocks used more than once are computed once
-    return f"WITH {head.replace(' AS (', ' AS MATERIALIZED (', 0)}\n{body}"
+    return f"WITH {head}\n{body}"

@@ -228,7 +228,6 @@ _STAGED = {
                     f"SELECT diagnostic_id, vehicle_id, {STAMP.format('ts')} AS timestamp, code AS dtc_code, component, severity, 'BATCH-1' AS _bronze_batch_id, 'BATCH-SILVER-1' AS _silver_batch_id FROM bridge"),
     "dim_component": ("dim_component", None, "SELECT * FROM dim_component"),
     "dim_customer": ("dim_customer", None, "SELECT * FROM dim_customer"),
-    "dim_date": ("dim_date", None, f"SELECT date_key, {DAY.format('calendar_date')} AS calendar_date, day_of_week, day_name, day_of_month, day_of_year, week_of_year, month_number, month_name, quarter, year, is_weekend FROM dim_date WHERE (SELECT count(*) FROM events) >= 0"),
     "dim_dealer": ("dim_dealer", None, "SELECT * FROM dim_dealer"),
     "dim_model": ("dim_model", None, "SELECT *, 0.0 AS fuel_capacity_or_kwh, 0.0 AS curb_weight_kg FROM dim_model"),
     "dim_vehicle": ("dim_vehicle", None, f"SELECT vehicle_key, vehicle_id, model_key, customer_key, selling_dealer_key, variant, {DAY.format('manufacture_date')} AS manufacture_date, manufacture_year, status FROM dim_vehicle"),
@@ -255,3 +254,16 @@ def _register_staging(name):
 
 for _name in _STAGED:
     _register_staging(_name)
+
+
+@query(
+    "d19_stg_dim_date",
+    sql(f"""SELECT date_key, {DAY.format('calendar_date')} AS calendar_date, day_of_week, day_name, day_of_month, day_of_year, week_of_year,
+month_number, month_name, quarter, year, is_weekend, coalesce(n, 0) AS readings
+FROM dim_date LEFT JOIN (SELECT date_key, count(*) AS n FROM ft GROUP BY 1) USING (date_key)"""),
+)
+def d19_dates(spark, sf_dir):
+    """Staged calendar with the readings of each day."""
+    t = open_warehouse(spark, sf_dir).table
+    daily = t("fact_telemetry").groupBy("date_key").agg(F.count("*").alias("readings"))
+    return staging.stage(t("dim_date"), "dim_date").join(daily, "date_key", "left").na.fill({"readings": 0})
