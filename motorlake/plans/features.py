@@ -21,6 +21,17 @@ def _cutoffs_where(cutoffs: list[str], holds) -> Column:
     return F.explode(F.filter(dates, holds))
 
 
+def _days_between(df: DataFrame, column: str, cutoffs: list[str], back: int | None, ahead: int) -> DataFrame:
+    """Only the days any cutoff can use, as a range on the stored column that the scan can skip by."""
+    first, last = min(cutoffs), max(cutoffs)
+    kind = df.schema[column].dataType
+    end = F.date_add(F.lit(last).cast("date"), ahead + 1).cast(kind)
+    kept = df.where(F.col(column) < end)
+    if back is not None:
+        kept = kept.where(F.col(column) >= F.date_sub(F.lit(first).cast("date"), back).cast(kind))
+    return kept
+
+
 def telemetry_days(telemetry: DataFrame, vehicles: DataFrame) -> DataFrame:
     """Mergeable sums per vehicle and day; squares are of whole thousandths, so exact."""
     v = (F.col("vibration") * 1000).cast("bigint")
@@ -46,6 +57,7 @@ def in_lookback(days: DataFrame, cutoffs: list[str], lookback: int) -> DataFrame
 
 def cohort(telemetry: DataFrame, vehicles: DataFrame, cutoffs: list[str], lookback: int = config.LOOKBACK_DAYS) -> DataFrame:
     """Vehicles seen in the observation window of each cutoff."""
+    telemetry = _days_between(telemetry, "timestamp", cutoffs, lookback, 0)
     days = telemetry.select("vehicle_key", F.col("timestamp").cast("date").alias("day")).distinct()
     seen = in_lookback(days, cutoffs, lookback).select("cutoff_date", "vehicle_key").distinct()
     return seen.join(vehicles.select("vehicle_key", "vehicle_id"), "vehicle_key")
@@ -66,6 +78,7 @@ def _telemetry_aggregates() -> list[Column]:
 def telemetry_window_features(
     telemetry: DataFrame, vehicles: DataFrame, cutoffs: list[str], lookback: int = config.LOOKBACK_DAYS
 ) -> DataFrame:
+    telemetry = _days_between(telemetry, "timestamp", cutoffs, lookback, 0)
     days = in_lookback(telemetry_days(telemetry, vehicles), cutoffs, lookback)
     return days.groupBy("cutoff_date", "vehicle_id").agg(*_telemetry_aggregates())
 
@@ -79,6 +92,7 @@ def severe_days(diagnostics: DataFrame) -> DataFrame:
 
 
 def dtc_count(diagnostics: DataFrame, cutoffs: list[str], lookback: int = config.LOOKBACK_DAYS) -> DataFrame:
+    diagnostics = _days_between(diagnostics, "timestamp", cutoffs, lookback, 0)
     days = in_lookback(severe_days(diagnostics), cutoffs, lookback)
     return days.groupBy("cutoff_date", "vehicle_id").agg(F.sum("severe").alias("severe_dtc_count"))
 
@@ -91,6 +105,7 @@ def service_days(service: DataFrame, vehicles: DataFrame) -> DataFrame:
 
 
 def service_history(service: DataFrame, vehicles: DataFrame, cutoffs: list[str]) -> DataFrame:
+    service = _days_between(service, "visit_date", cutoffs, None, 0)
     days = service_days(service, vehicles).withColumn(
         "cutoff_date", _cutoffs_where(cutoffs, lambda c: F.col("day") <= c)
     )
@@ -107,6 +122,8 @@ def forward_label(
     service: DataFrame, diagnostics: DataFrame, vehicles: DataFrame, cutoffs: list[str], horizon: int = config.HORIZON_DAYS
 ) -> DataFrame:
     """Vehicles that broke down, or showed a severe code, within the horizon after each cutoff."""
+    service = _days_between(service, "visit_date", cutoffs, 0, horizon)
+    diagnostics = _days_between(diagnostics, "timestamp", cutoffs, 0, horizon)
     broke = service_days(service, vehicles).where(F.col("broke") == 1).select("vehicle_id", "day")
     severe = severe_days(diagnostics).select("vehicle_id", "day")
     return (
@@ -135,6 +152,9 @@ def failure_cohorts(
     The daily rows of the three sources are stacked and grouped once, instead of joining one
     frame per source and cutoff.
     """
+    telemetry = _days_between(telemetry, "timestamp", cutoffs, lookback, 0)
+    diagnostics = _days_between(diagnostics, "timestamp", cutoffs, lookback, horizon)
+    service = _days_between(service, "visit_date", cutoffs, None, horizon)
     tel = in_lookback(telemetry_days(telemetry, vehicles), cutoffs, lookback).drop("vehicle_key", "day")
     dates = F.array(*[F.lit(c).cast("date") for c in cutoffs])
 

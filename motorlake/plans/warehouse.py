@@ -127,7 +127,7 @@ def load_facts(w: Warehouse, clean: SilverTables) -> None:
 
     side_by_side(
         [
-            lambda: fact("fact_telemetry", facts.resolve_telemetry(clean["telemetry"], vehicle)),
+            lambda: fact("fact_telemetry", facts.by_time(facts.resolve_telemetry(clean["telemetry"], vehicle))),
             lambda: fact("fact_service", facts.resolve_service(clean["service"], vehicle, dealer)),
             lambda: fact("fact_warranty", facts.resolve_warranty(clean["warranty"], vehicle, component)),
             lambda: fact("fact_parts", facts.resolve_parts(clean["parts"], w.table("part_lookup"), dealer)),
@@ -140,7 +140,7 @@ def reload_facts(w: Warehouse, clean: SilverTables) -> None:
     """Load the same or newer silver again: nothing is counted twice."""
     vehicle, dealer, component = (w.table(f"dim_{x}") for x in ("vehicle", "dealer", "component"))
     fact = w.table("fact_telemetry")
-    fresh = facts.new_telemetry(facts.resolve_telemetry(clean["telemetry"], vehicle), fact)
+    fresh = facts.by_time(facts.new_telemetry(facts.resolve_telemetry(clean["telemetry"], vehicle), fact))
     top = fact.agg(F.coalesce(F.max("telemetry_fact_id"), F.lit(0)).alias("m")).first()["m"]
     added = facts.number_rows(fresh, "fact_telemetry", top).withColumn("_loaded_at", F.lit(LOADED_AT))
     w.append("fact_telemetry", added.select(*fact.columns))
