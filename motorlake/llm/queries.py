@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from motorlake.llm import exact_dedup, mixing, sql
+from motorlake.llm import exact_dedup, mixing, sql, token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 @query("op5_mix_sources", sql.MIX)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of each document by the mix."""
