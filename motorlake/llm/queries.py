@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from motorlake.llm import exact_dedup, mixing, sql, token_counts
+from motorlake.llm import decontaminate, exact_dedup, mixing, sql, token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -38,6 +38,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op6_decontaminate", sql.DECONTAMINATE)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "shared", "n_shingles", "containment")
+
+
 @query("op10_exact_dedup", sql.EXACT_DEDUP)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts, with the row of each that stays."""

@@ -41,3 +41,17 @@ SELECT doc_id, size, source_size, target,
        CAST(floor(n * share + {offset_of(SEED)!r}) - floor((n - 1.0) * share + {offset_of(SEED)!r}) AS BIGINT) * size AS taken
 FROM r
 """
+
+DECONTAMINATE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
+d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM w)),
+v AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark),
+b AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
+      FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM v)),
+n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS shared, n_shingles, CAST(count(*) AS DOUBLE) / CAST(n_shingles AS DOUBLE) AS containment
+FROM d JOIN b USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_shingles
+HAVING count(*) * 10 >= n_shingles * 8
+"""
