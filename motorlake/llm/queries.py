@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from motorlake.llm import decontaminate, exact_dedup, mixing, pii, sql, token_counts
+from motorlake.llm import decontaminate, exact_dedup, mixing, near_dedup, pii, sql, token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -51,6 +51,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "shared", "n_shingles", "containment")
 
 
+@query("op8_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies on two-word shingles."""
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op10_exact_dedup", sql.EXACT_DEDUP)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts, with the row of each that stays."""
