@@ -66,18 +66,25 @@ def _block_ends(space: np.ndarray, total: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes that end a word of letters and digits: all of ASCII but these.
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()
+) -> tuple[np.ndarray, ...]:
     """Hashes of all words of all texts in order, and the n + 1 bounds of each text's words.
 
-    Words are runs of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z.
+    Words are runs of bytes that ``apart`` does not mark (white space by default); A-Z count as
+    a-z.  For each number in ``prefixes`` one more array follows: the hashes of the words' first
+    bytes, or of whole shorter words.
     """
-    if lower:
-        data = _LOWER[data]
-    space = _SPACE[data]
+    data = _LOWER[data]
+    space = apart[data]
     fresh = np.zeros(len(data) + 1, bool)
-    fresh[offsets[:-1]] = True
-    fresh[offsets[-1]] = True
-    hashes, starts = [], []
+    fresh[offsets] = True
+    hashes: list[list[np.ndarray]] = [[] for _ in range(1 + len(prefixes))]
+    starts = []
     for lo, hi in _block_ends(space, len(data)):
         quiet, first = space[lo:hi], fresh[lo : hi + 1]
         word = ~quiet
@@ -89,12 +96,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
         up, down = powers(hi - lo)
         sums = np.zeros(hi - lo + 1, U)
         np.cumsum(_BYTE[data[lo:hi]] * up[: hi - lo], out=sums[1:])
-        hashes.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U)))
+        for k, most in enumerate((hi - lo, *prefixes)):
+            stop = np.minimum(e, s + most)
+            hashes[k].append(mix((sums[stop] - sums[s]) * down[s] + (stop - s).astype(U)))
         starts.append(s + lo)
-    if not hashes:
-        return np.zeros(0, U), np.zeros(len(offsets), np.int64)
+    if not starts:
+        return (np.zeros(0, U), np.zeros(len(offsets), np.int64), *[np.zeros(0, U) for _ in prefixes])
     at = np.concatenate(starts)
-    return np.concatenate(hashes), np.searchsorted(at, offsets)
+    whole, *parts = [np.concatenate(h) for h in hashes]
+    return (whole, np.searchsorted(at, offsets), *parts)
 
 
 def shingles(words: np.ndarray, length: int) -> np.ndarray:

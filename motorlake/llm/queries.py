@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from motorlake.llm import decontaminate, exact_dedup, mixing, near_dedup, pii, sql, token_counts
+from motorlake.llm import decontaminate, exact_dedup, mixing, near_dedup, pii, quality, sql, token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -51,6 +51,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "shared", "n_shingles", "containment")
 
 
+@query("op7_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance of being poor or toxic of every document, and whether it is kept."""
+    found = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "text_score", "meta_score", "score", "kept")
+
+
 @query("op8_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near copies on two-word shingles."""
