@@ -9,8 +9,10 @@ size - ceil(threshold * size) of them, so it has at least one of k > size - ceil
 minima, and the search loses nothing.  Candidates too small to hold the needed shingles go, and the
 rest are verified on the shingles themselves, not on hashes.
 
-The sketch table is joined as the planner decides by its measured size: broadcast while small,
-shuffled beyond.
+The test items are the stated queries of this search and go against all documents in blocks of
+about ``BLOCK_ROWS`` minima: a block is a few megabytes and is broadcast, so neither texts nor
+shingles are shuffled.  A document that has a minimum is written once, with its text and candidate
+items, and only those are verified.
 
 Words are runs of letters, marks and digits in lower case.  Defined results: an item of fewer than
 five words is one shingle of all its words; an item without words, or a null one, is found nowhere.
@@ -20,6 +22,8 @@ rows; null ids are returned as null.  Empty tables give no rows.  Extra columns
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from motorlake.llm.rows import column, located, text_of, without
@@ -27,6 +31,7 @@ from motorlake.session import settle
 
 WORDS = 5
 THRESHOLD = 0.8
+BLOCK_ROWS = 100_000
 NO_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -110,19 +115,25 @@ def contaminated(
     minima = settle(sketches(shingles, threshold, seed), "sketches")
 
     words = docs.select(
-        place["file"].alias("file"), place["row"].alias("row"), words_of(text_of(docs, text_column)).alias("words")
-    )
-    hashes = words.select(
-        "file", "row", F.size("words").alias("n_words"), F.explode(_by_length(shingle_hashes, lengths)).alias("s")
-    ).select("file", "row", "n_words", F.col("s.length").alias("length"), F.col("s.shingle").alias("hash"))
-    found = hashes.join(minima, ["length", "hash"]).where(F.col("n_words") - F.col("length") + 1 >= F.col("needed"))
-    pairs = settle(found.select("file", "row", "item").distinct(), "candidates")
-
-    text = docs.select(
-        place["file"].alias("file"), place["row"].alias("row"),
-        column(docs, id_column).alias("doc_id"), words_of(text_of(docs, text_column)).alias("words"),
+        place["file"].alias("file"), place["row"].alias("row"), column(docs, id_column).alias("doc_id"),
+        text_of(docs, text_column).alias("text"),
+    ).withColumn("words", words_of(F.col("text")))
+    hashed = words.select("file", "row", "doc_id", "text", F.size("words").alias("n_words"), _by_length(shingle_hashes, lengths).alias("all"))
+    single = hashed.select("file", "row", "doc_id", "text", "n_words", F.explode("all").alias("s")).select(
+        "file", "row", "doc_id", "text", "n_words", F.col("s.length").alias("length"), F.col("s.shingle").alias("hash")
     )
-    suspects = text.join(pairs.select("file", "row").distinct(), ["file", "row"])
+    blocks = max(1, -(-minima.count() // BLOCK_ROWS))
+    parts = []
+    for block in range(blocks):
+        queries = minima.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
+        hits = single.join(F.broadcast(queries), ["length", "hash"]).where(F.col("n_words") - F.col("length") + 1 >= F.col("needed"))
+        # All hits of a document are in one task, so its text leaves that task once.
+        parts.append(settle(hits.groupBy("file", "row", "doc_id", "text").agg(F.collect_set("item").alias("items")), "candidates"))
+    candidates = reduce(DataFrame.unionByName, parts)
+    pairs = candidates.select("file", "row", F.explode("items").alias("item"))
+    suspects = candidates.select("file", "row", "doc_id", words_of(F.col("text")).alias("words"))
+    if blocks > 1:
+        suspects = suspects.dropDuplicates(["file", "row"])
     held = suspects.select("file", "row", "doc_id", F.explode(_by_length(shingle_texts, lengths)).alias("s")).select(
         "file", "row", "doc_id", F.col("s.length").alias("length"), F.col("s.shingle").alias("shingle")
     )
