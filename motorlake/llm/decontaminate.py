@@ -119,7 +119,9 @@ def contaminated(
         text_of(docs, text_column).alias("text"),
     ).withColumn("words", words_of(F.col("text")))
     hashed = words.select("file", "row", "doc_id", "text", F.size("words").alias("n_words"), _by_length(shingle_hashes, lengths).alias("all"))
-    single = hashed.select("file", "row", "doc_id", "text", "n_words", F.explode("all").alias("s")).select(
+    # explode_outer: for explode the planner would test the array's size in a filter below, by
+    # computing all of it once more.  The rows of empty arrays find no match in the join.
+    single = hashed.select("file", "row", "doc_id", "text", "n_words", F.explode_outer("all").alias("s")).select(
         "file", "row", "doc_id", "text", "n_words", F.col("s.length").alias("length"), F.col("s.shingle").alias("hash")
     )
     blocks = max(1, -(-minima.count() // BLOCK_ROWS))
