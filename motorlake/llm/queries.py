@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from motorlake.llm import decontaminate, exact_dedup, mixing, near_dedup, pii, quality, sql, token_counts
+from motorlake.llm import decontaminate, exact_dedup, mixing, near_dedup, pii, quality, repeats, sql, token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -32,6 +32,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every text without strings of 200 bytes that stand elsewhere too."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op4_token_counts")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text."""
