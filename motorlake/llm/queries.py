@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from motorlake.llm import decontaminate, exact_dedup, mixing, near_dedup, pii, quality, repeats, sql, token_counts
+from motorlake.llm import decontaminate, exact_dedup, mixing, near_dedup, pii, quality, repeats, sql, token_counts, wrappers
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -71,6 +71,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query("op9_main_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 @query("op10_exact_dedup", sql.EXACT_DEDUP)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts, with the row of each that stays."""
