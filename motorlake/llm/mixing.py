@@ -128,7 +128,7 @@ def emit_mix(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select("*", place.alias(at))
     taken = plan.select(F.col("file").alias("_file"), F.col("row").alias("_row"), F.col("copies").alias("_copies"))
     joined = rows.join(taken, (rows[at]["file"] == taken["_file"]) & (rows[at]["row"] == taken["_row"]))
-    names = [joined[f"`{c}`"] for c in docs.columns]
+    names = [rows[f"`{c}`"] for c in docs.columns]
     return joined.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), taken["_copies"])).alias(free_name(docs, "_copy"))).select(
         *[F.col(f"`{c}`") for c in docs.columns]
     )

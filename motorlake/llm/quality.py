@@ -260,8 +260,8 @@ def assess(
     ).where("doc_id is not null")
     columns = (id_column, text_column, source_column, lang_column, length_column)
     chosen = settle(_first(told, max_labelled), "sample")
-    known = column(docs, id_column).alias("_known")
-    few, few_place = located(docs.join(F.broadcast(chosen.select(F.col("doc_id").alias("_sampled"))), known == F.col("_sampled"), "left_semi"))
+    ids = F.broadcast(chosen.select(F.col("doc_id").alias("_sampled")))
+    few, few_place = located(docs.join(ids, column(docs, id_column) == ids["_sampled"], "left_semi"))
     sample = _bring(features(few, few_place, *columns), chosen, ["doc_id"])
     held = np.arange(len(sample.y)) % 3 == 2
     fit_on, held_out = sample.part(~held), sample.part(held)

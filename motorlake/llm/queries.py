@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from motorlake.llm import decontaminate, exact_dedup, mixing, near_dedup, pii, quality, repeats, sql, token_counts, wrappers
+from motorlake.llm import decontaminate, exact_dedup, language, mixing, near_dedup, pii, quality, repeats, sql, token_counts, wrappers
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -38,6 +38,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@query("op3_language")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page, from profiles of all documents."""
+    return language.languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 @query("op4_token_counts")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text."""
