@@ -54,6 +54,20 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[base : offsets[-1] if len(offsets) else 0], offsets - base
 
 
+def bounded(batches: Iterator[pa.RecordBatch], text: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the text column of each holds about ``most`` bytes, or one row.
+
+    Arrays made from a batch are many times its text, so this bounds a task's memory.
+    """
+    for batch in batches:
+        _, offsets = text_buffers(batch.column(text))
+        lo = 0
+        while lo < len(batch):
+            hi = max(int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1, lo + 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _block_ends(space: np.ndarray, total: int) -> Iterator[tuple[int, int]]:
     """Stretches of about BLOCK bytes that end at white space."""
     lo = 0

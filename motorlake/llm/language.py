@@ -58,7 +58,7 @@ def profiles(docs: DataFrame, text_column: str = "text", lang_column: str = "lan
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in bytewords.bounded(batches, 1):
             data, offsets = bytewords.text_buffers(batch.column(1))
             for k, lang in enumerate(batch.column(0).to_pylist()):
                 own = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
@@ -83,7 +83,7 @@ def evidence(pages: DataFrame, langs: list[str], logs: np.ndarray, id_column: st
     """page_id, url, host, suffix, declared, likely: the page's own evidence; ``likely`` has a tempered log-likelihood for each language."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bytewords.bounded(batches, 3):
             told, likely = [], np.zeros((len(batch), len(langs)))
             for k, page in enumerate(batch.column(3).to_pylist()):
                 found = DECLARED.search(page)

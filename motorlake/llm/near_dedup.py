@@ -82,7 +82,7 @@ def signatures(docs: DataFrame, place: Column, id_column: str, text_column: str,
     """rid, doc_id, file, row, n_shingles, set_key, bands, s0..s7: one row per document."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bytewords.bounded(batches, 0):
             hashes, bounds = bytewords.word_hashes(*bytewords.text_buffers(batch.column(0)))
             n = np.zeros(len(batch), np.int64)
             keys = np.zeros((len(batch), 2), np.uint64)
@@ -117,7 +117,7 @@ def full_sets(docs: DataFrame, place: Column, wanted: DataFrame, text_column: st
     """rid and the whole shingle set of the documents in ``wanted`` (rid, file, row)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bytewords.bounded(batches, 1):
             hashes, bounds = bytewords.word_hashes(*bytewords.text_buffers(batch.column(1)))
             sets = [bytewords.shingles(hashes[bounds[k] : bounds[k + 1]], words).view(np.int64) for k in range(len(batch))]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)

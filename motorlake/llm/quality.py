@@ -106,7 +106,7 @@ def features(docs: DataFrame, place: Column, id_column: str, text_column: str, s
     """doc_id, file, row, text_ids, meta_ids: one row per document."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bytewords.bounded(batches, 0):
             flat, at = text_features(*bytewords.text_buffers(batch.column(0)), numbers)
             ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(1, 5)], ids], names=["doc_id", "file", "row", "meta_ids", "text_ids"])

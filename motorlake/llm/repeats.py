@@ -63,7 +63,7 @@ def anchor_rows(docs: DataFrame, place: Column, text_column: str, width: int) ->
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["gram", "context", "fid", "row", "at"]
-        for batch in batches:
+        for batch in bytewords.bounded(batches, 2):
             data, offsets = bytewords.text_buffers(batch.column(2))
             fid, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             parts, size = [], 0
