@@ -10,7 +10,8 @@ No bucket is expanded into pairs.  Equal sets are collapsed to one representativ
 bucket every member meets the least member only, and its best such pair is confirmed; members that
 end in one component need no more comparisons.  Only members of one bucket in *different* components
 are compared with each other, in blocks, so no link between components is lost and a large bucket is
-spread over many tasks.
+spread over many tasks.  A pair is told once, by its first common band; each member's best pair is
+confirmed first, and only what is then still apart goes on.
 
 Defined results: texts without words have an empty set, link with nothing and are kept.  A text of
 fewer words than a shingle is one shingle.  Null texts count as empty.  Repeated rows are copies:
@@ -125,14 +126,12 @@ def full_sets(docs: DataFrame, place: Column, wanted: DataFrame, text_column: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["rid", "shingles"])
 
     text = docs.select(place["file"].alias("file"), place["row"].alias("row"), text_of(docs, text_column).alias("text"))
-    return text.join(wanted, ["file", "row"]).select("rid", "text").mapInArrow(cut, "rid bigint, shingles array<bigint>")
+    # By shuffle at every size: the wanted rows grow with the documents.
+    return text.join(wanted.hint("shuffle_hash"), ["file", "row"]).select("rid", "text").mapInArrow(cut, "rid bigint, shingles array<bigint>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, place: Column, base: DataFrame, text_column: str, words: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()
-    wanted = settle(base.join(ends, "rid", "left_semi").select("rid", "file", "row"), "wanted")
-    sets = settle(full_sets(docs, place, wanted, text_column, words), "sets")
     left = sets.select(F.col("rid").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("rid").alias("v"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
@@ -143,6 +142,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, place: Column, base: DataFrame,
     )
 
 
+def merged_roots(links: DataFrame, rooted: DataFrame) -> DataFrame:
+    """root, into: components of components after ``links`` (u, v) between members with roots (rid, root)."""
+    a, b = rooted.select(F.col("rid").alias("u"), F.col("root").alias("ru")), rooted.select(F.col("rid").alias("v"), F.col("root").alias("rv"))
+    edges = links.join(a, "u").join(b, "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+    return settle(components(edges), "merged").select(F.col("node").alias("root"), F.col("root").alias("into"))
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = 5,
@@ -180,35 +186,52 @@ def near_duplicates(
         .select(F.col("rid").alias("u"), (-F.col("b.n")).alias("v")),
         "stars",
     )
-    roots = settle(components(confirmed(best, docs, place, base, text_column, words, percent)), "roots")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()
+        wanted = settle(base.join(ends, "rid", "left_semi").select("rid", "file", "row"), "wanted")
+        return settle(full_sets(docs, place, wanted, text_column, words), "sets")
+
+    roots = settle(components(confirmed(best, sets_of(best), percent)), "roots").select(F.col("node").alias("rid"), "root")
 
     # Members of one bucket that are still apart are compared with each other, in blocks.
-    placed = bucketed.join(heads.select("band", "members"), "band").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select(
-        "band", "members", "rid", F.coalesce("root", "rid").alias("root")
-    )
-    placed = settle(placed, "placed")
+    bucketed = bucketed.join(heads.select("band", "members"), "band").join(roots, "rid", "left")
+    placed = settle(bucketed.select("band", "members", "rid", F.coalesce("root", "rid").alias("root")), "placed")
     apart = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
-    inside = placed.join(apart, "band", "left_semi").join(member_sig, "rid")
+    sized = own.join(base.select("rid", "n_shingles"), "rid")
+    inside = placed.join(apart, "band", "left_semi").join(sized, "rid")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    one = inside.select(
-        "band", F.pmod(F.xxhash64("rid"), blocks).cast("int").alias("block"), F.col("rid").alias("u"), F.col("root").alias("ru"), *[F.col(s).alias(f"u_{s}") for s in sig]
-    )
-    other = inside.select(
-        "band", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("rid").alias("v"), F.col("root").alias("rv"), *[F.col(s).alias(f"v_{s}") for s in sig]
-    )
-    apart_pairs = one.join(other, ["band", "block"]).where(
-        (F.col("ru") < F.col("rv")) & (estimate([F.col(f"u_{s}") for s in sig], [F.col(f"v_{s}") for s in sig]) >= least)
+
+    def side(name: str, block: Column) -> DataFrame:
+        return inside.select(
+            "band", block.alias("block"), F.col("rid").alias(name), F.col("root").alias(f"r{name}"), F.col("n_shingles").alias(f"n{name}"),
+            F.col("bands").alias(f"b{name}"), *[F.col(s).alias(f"{name}_{s}") for s in sig],
+        )
+
+    one = side("u", F.pmod(F.xxhash64("rid"), blocks).cast("int"))
+    other = side("v", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    like = estimate([F.col(f"u_{s}") for s in sig], [F.col(f"v_{s}") for s in sig])
+    fits = (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & (like >= least)
+    # A pair is told by the first of the bands that both are in.
+    earlier = F.array_position("bu", F.col("band")).cast("int") - 1
+    new = ~F.arrays_overlap(F.slice("bu", F.lit(1), earlier), F.slice("bv", F.lit(1), earlier))
+    cross = settle(
+        one.join(other, ["band", "block"]).where((F.col("ru") < F.col("rv")) & fits & new).select("u", "v", "ru", "rv", like.alias("similarity")), "cross"
     )
-    cross = settle(apart_pairs.select("u", "v", "ru", "rv").distinct(), "cross")
-    joined = confirmed(cross.select("u", "v"), docs, place, base, text_column, words, percent)
-    links = cross.join(joined, ["u", "v"], "left_semi").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-    merged = settle(components(links), "merged")
+    # First each member's best pair; what is still apart after that is confirmed in full.
+    sets = sets_of(cross)
+    top = cross.groupBy("u").agg(F.max_by("v", "similarity").alias("v")).unionByName(cross.groupBy("v").agg(F.max_by("u", "similarity").alias("u"))).distinct()
+    rooted = placed.select("rid", "root").distinct()
+    once = merged_roots(confirmed(top, sets, percent), rooted)
+    rooted = settle(rooted.join(once, "root", "left").select("rid", F.coalesce("into", "root").alias("root")), "rooted")
+    now_u, now_v = rooted.select(F.col("rid").alias("u"), F.col("root").alias("su")), rooted.select(F.col("rid").alias("v"), F.col("root").alias("sv"))
+    rest = settle(cross.select("u", "v").join(now_u, "u").join(now_v, "v").where("su != sv").select("u", "v"), "rest")
+    twice = merged_roots(confirmed(rest, sets, percent), rooted)
 
     final = (
-        base.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        .select("doc_id", "file", "row", "n_shingles", F.coalesce("root", "rep").alias("r1"))
-        .join(merged.select(F.col("node").alias("r1"), F.col("root").alias("r2")), "r1", "left")
-        .select("doc_id", "file", "row", "n_shingles", F.coalesce("r2", "r1").alias("component"))
+        base.join(roots.withColumnRenamed("rid", "rep"), "rep", "left")
+        .select("doc_id", "file", "row", "n_shingles", F.coalesce("root", "rep").alias("root"))
+        .join(once, "root", "left").select("doc_id", "file", "row", "n_shingles", F.coalesce("into", "root").alias("root"))
+        .join(twice, "root", "left").select("doc_id", "file", "row", "n_shingles", F.coalesce("into", "root").alias("component"))
     )
     final = settle(final, "components")
     stays = final.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")).alias("stays"))
