@@ -42,6 +42,7 @@ MAX_LABELLED = 20_000
 MAX_PSEUDO = 5_000
 ROUNDS = 2
 CONFIDENT = 0.98
+PSEUDO_WEIGHT = 0.5
 _CAPITAL = np.zeros(256, bool)
 _CAPITAL[65:91] = True
 _LETTER = np.zeros(256, bool)
@@ -145,12 +146,12 @@ class View:
     def log_odds(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self.scale * self.raw(ids, at) + self.shift
 
-    def fit(self, ids: np.ndarray, at: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 0.5, l2: float = 1e-5) -> None:
+    def fit(self, ids: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 150, rate: float = 0.5, l2: float = 1e-5) -> None:
         owner = np.repeat(np.arange(len(y)), np.diff(at))
         self.weights, self.bias = np.zeros(self.dim), 0.0
         seen, seen_bias = np.full(self.dim, 1e-8), 1e-8
         for _ in range(steps):
-            error = (1 / (1 + np.exp(-np.clip(self.raw(ids, at), -30, 30))) - y) / max(len(y), 1)
+            error = (1 / (1 + np.exp(-np.clip(self.raw(ids, at), -30, 30))) - y) * weight / weight.sum()
             slope = np.bincount(ids, error[owner], self.dim) + l2 * self.weights
             seen += slope**2
             seen_bias += error.sum() ** 2
@@ -212,7 +213,10 @@ def _fit(view: View, name: str, rows: Rows, extra: list[Rows], held: Rows) -> No
     parts = [r.view(name) for r in tables]
     ids = np.concatenate([p[0] for p in parts])
     at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
-    view.fit(ids, at, np.concatenate([r.y for r in tables]))
+    # Pseudo-labels together weigh at most half as much as the labels, so they cannot outvote them.
+    given = sum(len(r.y) for r in extra)
+    weight = np.concatenate([np.ones(len(rows.y)), np.full(given, min(1.0, PSEUDO_WEIGHT * len(rows.y) / max(given, 1)))])
+    view.fit(ids, at, np.concatenate([r.y for r in tables]), weight)
     view.calibrate(*held.view(name), held.y)
 
 
@@ -263,7 +267,7 @@ def assess(
     ids = F.broadcast(chosen.select(F.col("doc_id").alias("_sampled")))
     few, few_place = located(docs.join(ids, column(docs, id_column) == ids["_sampled"], "left_semi"))
     sample = _bring(features(few, few_place, *columns), chosen, ["doc_id"])
-    held = np.arange(len(sample.y)) % 3 == 2
+    held = np.random.default_rng(5).permutation(len(sample.y)) % 3 == 2
     fit_on, held_out = sample.part(~held), sample.part(held)
     if min(len(set(fit_on.y)), len(set(held_out.y))) < 2:
         none = F.lit(None).cast("double")
