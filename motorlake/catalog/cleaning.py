@@ -160,14 +160,14 @@ def b7(spark, sf_dir):
 @query(
     "b8_quarantine_by_rule",
     sql("\nUNION ALL ".join(
-        f"SELECT '{n}' AS dataset, rule AS _quarantine_rule, count(*) AS rows FROM {b} WHERE rule IS NOT NULL GROUP BY rule"
-        for n, b in (("telemetry", "tel_tag"), ("diagnostics", "diag_tag"), ("warranty", "wrn_tag"), ("parts", "prt_tag"))
+        f"SELECT '{n}' AS dataset, {_RULE.get(n, 'rule')} AS _quarantine_rule, count(*) AS rows FROM {b} WHERE coalesce({_RULE.get(n, 'rule')}, '') <> '' GROUP BY 1, 2"
+        for n, (b, _) in _TAGGED.items()
     )),
 )
 def b8(spark, sf_dir):
-    """Rejected rows per rule."""
+    """Rejected rows per rule, over all ten sets."""
     rows = None
-    for name in ("telemetry", "diagnostics", "warranty", "parts"):
+    for name in SETS:
         one = quality.by_rule(silver.quarantine_rows(tagged(spark, sf_dir, name), PROCESSED_AT)).select(
             F.lit(name).alias("dataset"), "_quarantine_rule", "rows"
         )
@@ -322,7 +322,7 @@ def b14(spark, sf_dir):
     "b15_layer_reconciliation",
     sql("\nUNION ALL ".join(
         f"SELECT '{f}' AS check_name, (SELECT count(*) FROM {s}) AS left_rows, (SELECT count(*) FROM {f_}) AS right_rows, TRUE AS equal"
-        for f, s, f_ in (("fact_telemetry", "tel", "ft"), ("fact_service", "srv", "fs"), ("fact_warranty", "wrn", "fw"), ("fact_parts", "prt", "fp"))
+        for f, s, f_ in (("fact_telemetry", "tel", "ft"), ("fact_service", "srv", "fs"), ("fact_warranty", "wrn", "fw"), ("fact_parts", "prt", "fp"), ("silver_diagnostics", "diag", "bridge"))
     )),
 )
 def b15(spark, sf_dir):
@@ -333,14 +333,15 @@ def b15(spark, sf_dir):
         clean = silver.clean_rows(tagged(spark, sf_dir, name), name, SILVER_BATCH, PROCESSED_AT)
         one = quality.reconcile(clean, t(f"fact_{name}"), f"fact_{name}")
         rows = one if rows is None else rows.unionByName(one)
-    return rows
+    clean = silver.clean_rows(tagged(spark, sf_dir, "diagnostics"), "diagnostics", SILVER_BATCH, PROCESSED_AT)
+    return rows.unionByName(quality.reconcile(clean, t("silver_diagnostics"), "silver_diagnostics"))
 
 
 @query(
     "b16_monotonic_timestamps",
     sql("""SELECT order_line, l_partkey AS part, previous, shipped FROM (
 SELECT l_orderkey AS order_line, l_partkey, strftime(l_shipdate, '%Y-%m-%d') AS shipped,
-strftime(lag(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey), '%Y-%m-%d') AS previous FROM lineitem)
+strftime(lag(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey), '%Y-%m-%d') AS previous FROM lineitem)
 WHERE shipped <= previous"""),
 )
 def b16(spark, sf_dir):
@@ -348,10 +349,9 @@ def b16(spark, sf_dir):
     from motorlake.sources.adapters import table
 
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_shipdate",
-        (F.col("l_linenumber") * F.lit(1000000000).cast("long") + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("position"),
+        "l_orderkey", "l_partkey", "l_shipdate", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("position")
     )
-    late = non_increasing(li, "l_orderkey", "l_shipdate", "position", block=1_000_000_000)
+    late = non_increasing(li, "l_orderkey", "l_shipdate", "position", F.col("position.l_linenumber"))
     return late.select(
         F.col("l_orderkey").alias("order_line"), F.col("l_partkey").alias("part"),
         F.col("previous").cast("date").alias("previous"), F.col("l_shipdate").cast("date").alias("shipped"),

@@ -118,7 +118,7 @@ SELECT 'CLM-' || l_orderkey || '-' || l_linenumber AS claim_id, 'VH-' || o_custk
        DATE '2023-11-01' + CAST(l_orderkey % 120 + l_linenumber AS INT) AS claim_date,
        CASE WHEN l_discount = 0 AND l_tax = 0 THEN -1 ELSE 1 END * CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
        row_number() OVER (PARTITION BY l_orderkey, l_linenumber
-                          ORDER BY l_shipdate DESC, l_partkey * 1000000 + l_suppkey DESC) AS rn
+                          ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC) AS rn
 FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey
 WHERE l_returnflag = 'R'"""
 BLOCKS["wrn_tag"] = f"""

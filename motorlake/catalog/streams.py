@@ -108,15 +108,16 @@ def _messages_stream(spark, sf_dir, build, topic):
 def c6(spark, sf_dir):
     """Counts of a landing run, observed while the rows pass."""
     configure(spark)
+    counts = landing.ContractCounts()
+    spark.streams.addListener(counts)
     q = landing.land_stream(
         _messages_stream(spark, sf_dir, telemetry_messages, config.TELEMETRY_TOPIC), "telemetry",
-        scratch_path(spark, "landed"), scratch_path(spark, "cp"),
+        scratch_path(spark, "landed"), scratch_path(spark, "cp"), name=counts.query,
     )
     q.awaitTermination()
-    seen = [p.observedMetrics["contract"] for p in q.recentProgress if "contract" in p.observedMetrics]
-    return spark.createDataFrame(
-        [(sum(m["valid"] for m in seen), sum(m["rejected"] for m in seen))], "valid long, rejected long"
-    )
+    counts.ended.wait(60)
+    spark.streams.removeListener(counts)
+    return spark.createDataFrame([(counts.valid, counts.rejected)], "valid long, rejected long")
 
 
 @query(

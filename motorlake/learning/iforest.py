@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from motorlake import config
 from motorlake.operators.cumulative import exact_quantiles
 from motorlake.session import settle
 
+#: Rows offered to a tree for each one it takes; at 256 rows a tree falls short once in 10**11.
+SURPLUS = 1.6
 _NODE = "tree int, node int, feature int, split double, left int, right int, size int, depth int"
 
 
@@ -24,6 +27,16 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, value, np.where(n == 2, 1.0, 0.0))
 
 
+def poisson_steps(mean: float) -> list[float]:
+    """Cumulative chances of 0, 1, 2, ... events, up to where the rest is nothing."""
+    steps, total, k = [], 0.0, 0
+    while total < 1 - 1e-12 and k < 10 * mean + 50:
+        total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+        steps.append(total)
+        k += 1
+    return steps
+
+
 def _grow(features: list[str], seed: int, depth_limit: int):
     """Builder of one tree from its sample (at most a few hundred rows)."""
 
@@ -65,10 +78,12 @@ class IsolationForest:
     min_raw: float = -1.0
     max_raw: float = 0.0
     threshold: float = 0.5
+    _shared: Broadcast | None = field(default=None, repr=False, compare=False)
 
-    def raw_score(self) -> Column:
-        """Minus the anomaly score: the lower, the more isolated."""
-        spark = self.nodes.sparkSession
+    def _packed(self) -> Broadcast:
+        """The trees as arrays, sent to the executors once for the forest."""
+        if self._shared is not None:
+            return self._shared
         # at most trees x (2 * sample - 1) small rows, whatever the size of the data
         table = self.nodes.orderBy("tree", "node").toPandas()
         packed = []
@@ -77,7 +92,12 @@ class IsolationForest:
             packed.append(
                 (t["feature"].to_numpy(), t["split"].to_numpy(), t["left"].to_numpy(), t["right"].to_numpy(), leaf)
             )
-        shared = spark.sparkContext.broadcast(packed)
+        self._shared = self.nodes.sparkSession.sparkContext.broadcast(packed)
+        return self._shared
+
+    def raw_score(self) -> Column:
+        """Minus the anomaly score: the lower, the more isolated."""
+        shared = self._packed()
         norm = float(average_path(self.sample))
         names = self.features
 
@@ -154,28 +174,32 @@ def fit(
     trees: int = config.N_TREES,
     sample: int = config.IFOREST_SAMPLE,
     seed: int = config.SEED,
-    pool_factor: int = 32,
 ) -> IsolationForest:
-    """Grow ``trees`` trees, each from ``sample`` rows drawn without replacement.
+    """Grow ``trees`` trees, each from ``sample`` rows drawn without replacement from all rows.
 
-    A pool of at most ``pool_factor * sample`` rows is drawn first, by the hash of the
-    row's own key and so independent of partitioning; drawing the trees' samples is then a bounded job.
+    How many draws a row takes part in follows a Poisson law by the hash of its own key, and each
+    draw picks a tree by another hash, so the work is one step a drawn row, not one a row and
+    tree, and the sample does not depend on partitioning.  About ``SURPLUS`` times the wanted rows
+    come out for each tree; the first ``sample`` by a third hash are its sample.
     """
     n = df.count()
     size = min(sample, n)
-    pool_rows = pool_factor * sample
     key = F.concat_ws("|", *[F.col(u).cast("string") for u in uid])
     rows = df.select(key.alias("_uid"), *[F.col(f).cast("double").alias(f) for f in features])
-    pooled = rows.withColumn("_h", F.xxhash64("_uid", F.lit(seed)))
-    if n > 2 * pool_rows:
-        # keep about twice the pool by a hash limit, so that the exact cut sorts few rows
-        share = 2.0 * pool_rows / n
-        limit = int(-(2**63) + share * 2**64)
-        pooled = pooled.where(F.col("_h") <= F.lit(limit))
-    pool = settle(pooled.orderBy("_h", "_uid").limit(pool_rows), "pool")
-    draws = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "pick", F.xxhash64("_uid", "tree", F.lit(seed + 1))
-    )
+    if n <= 4 * size:
+        # Too few rows to leave any out: every row is offered to every tree.
+        drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    else:
+        steps = poisson_steps(trees * SURPLUS * size / n)
+        share = (F.shiftrightunsigned(F.xxhash64("_uid", F.lit(seed)), 11).cast("double") / F.lit(float(2**53)))
+        times = F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= share))
+        drawn = (
+            rows.withColumn("_n", times).where("_n > 0")
+            .withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+            .withColumn("tree", F.pmod(F.xxhash64("_uid", "_j", F.lit(seed + 2)), F.lit(trees)).cast("int"))
+            .dropDuplicates(["_uid", "tree"])
+        )
+    draws = settle(drawn.withColumn("pick", F.xxhash64("_uid", "tree", F.lit(seed + 1))), "draws")
     order = Window.partitionBy("tree").orderBy("pick", "_uid")
     samples = draws.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= size)
     depth = max(1, math.ceil(math.log2(max(2, size))))

@@ -15,25 +15,33 @@ def tag_kept(
 ) -> DataFrame:
     """Mark exactly one row per key: the largest (or smallest) by ``order``, then ``uid``.
 
-    The winner of each key is an aggregate, so partial aggregation absorbs a key that
-    holds a large share of the rows.  The mark is carried back by a join on the row id,
-    whose values are all different, so that join is even whatever the keys look like.
-    Null keys form one group.
+    The winner of each key is an aggregate, so partial aggregation absorbs a key that holds a large
+    share of the rows.  Only keys with copies are joined back; they are few beside the rows, so the
+    planner broadcasts them where their measured size allows, and a hot key is split by the adaptive
+    skew join otherwise.  Null keys form one group.
     """
     pick = F.max if keep == "latest" else F.min
-    winners = (
-        df.groupBy(*[F.col(k) for k in keys])
-        .agg(pick(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *uid)).alias("w"))
-        .select(*[F.col(f"w.{u}").alias(f"_w_{u}") for u in uid])
+    copied = (
+        df.groupBy(*[F.col(k).alias(f"_tk_{i}") for i, k in enumerate(keys)])
+        .agg(
+            F.count(F.lit(1)).alias("_tk_copies"),
+            pick(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *uid)).alias("_tk_w"),
+        )
+        .where("_tk_copies > 1")
     )
     on = None
-    for u in uid:
-        same = df[u] == winners[f"_w_{u}"]
+    for i, k in enumerate(keys):
+        same = df[k].eqNullSafe(copied[f"_tk_{i}"])
         on = same if on is None else on & same
+    wins = F.col("_tk_copies").isNull()
+    mine = None
+    for u in uid:
+        same = F.col(u).eqNullSafe(F.col(f"_tk_w.{u}"))
+        mine = same if mine is None else mine & same
     return (
-        df.join(winners, on, "left")
-        .withColumn(flag, F.col(f"_w_{uid[0]}").isNotNull())
-        .drop(*[f"_w_{u}" for u in uid])
+        df.join(copied, on, "left")
+        .withColumn(flag, wins | mine)
+        .drop("_tk_copies", "_tk_w", *[f"_tk_{i}" for i in range(len(keys))])
     )
 
 

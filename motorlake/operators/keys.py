@@ -39,6 +39,6 @@ def assign_keys(
     return (
         marked.withColumn("_rn", F.row_number().over(inside))
         .join(shifts, "_bucket")
-        .withColumn(out, (F.col("_rn") + F.col("_shift") + start).cast("int"))
+        .withColumn(out, (F.col("_rn") + F.col("_shift") + start).cast("long"))
         .drop("_pos", "_bucket", "_rn", "_shift")
     )

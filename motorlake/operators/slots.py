@@ -78,14 +78,15 @@ def streak_alerts(
 
 
 def non_increasing(
-    df: DataFrame, key: str, ts: str, position: str, block: int = 100_000
+    df: DataFrame, key: str, ts: str, position: str, block: Column | int = 100_000
 ) -> DataFrame:
     """Rows whose timestamp is not later than the previous row of the key in file order.
 
-    ``position`` numbers the rows of the input; the input is cut into blocks of positions
-    so that one key never has to be ordered in a single task.
+    ``position`` orders the rows of the input, which is cut into blocks so that one key never has
+    to be ordered in a single task.  ``block`` is the number of positions in a block, or, where a
+    position is not one number, a column that grows with it.
     """
-    cut = df.withColumn("_block", F.floor(F.col(position) / F.lit(block)).cast("long"))
+    cut = df.withColumn("_block", F.floor(F.col(position) / F.lit(block)).cast("long") if isinstance(block, int) else block)
     inside = Window.partitionBy(key, "_block").orderBy(position)
     ordered = cut.withColumn("_prev", F.lag(ts).over(inside))
     ends = cut.groupBy(key, "_block").agg(F.max_by(ts, position).alias("_last"))

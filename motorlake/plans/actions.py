@@ -200,6 +200,13 @@ def recent_actions(log: DataFrame, n: int = 50) -> DataFrame:
     return log.orderBy(F.desc("trigger_timestamp"), "action_id").limit(n)
 
 
-def actions_since(log: DataFrame, last_seen: str, n: int = 5) -> DataFrame:
-    """The next actions of a feed, oldest first."""
-    return log.where(F.col("created_at") > last_seen).orderBy("created_at", "action_id").limit(n)
+def actions_since(log: DataFrame, last_seen: str, n: int = 5, last_id: str | None = None) -> DataFrame:
+    """The next actions of a feed, oldest first.
+
+    A batch shares one ``created_at``, so the place in the feed is (created_at, action_id) of the
+    last action read.  Without ``last_id`` the feed starts after the whole of ``last_seen``.
+    """
+    later = F.col("created_at") > last_seen
+    if last_id is not None:
+        later = later | ((F.col("created_at") == last_seen) & (F.col("action_id") > last_id))
+    return log.where(later).orderBy("created_at", "action_id").limit(n)

@@ -187,8 +187,14 @@ def lookup(
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], keep: list[str] | None = None) -> DataFrame:
-    """Source rows replace or extend the target; ``keep`` columns stay as they were."""
+    """Source rows replace or extend the target; ``keep`` columns stay as they were.
+
+    A key may occur once in the source: two rows would both be joined, so that is an error.
+    """
     keep = keep or []
+    twice = source.groupBy(*keys).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"upsert: source has the key {twice[0].asDict()} more than once")
     t, s = target.alias("t"), source.alias("s")
     on = None
     for k in keys:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from motorlake.functions.text import date_key, iso_seconds
+from motorlake.operators.dedup import latest_rows
 from motorlake.operators.quality import assert_bounds, telemetry_bounds
 from motorlake.plans.dimensions import lookup, upsert
 
@@ -77,6 +78,17 @@ FACT_IDS = {
 }
 
 
+def one_per_key(resolved: DataFrame, name: str) -> DataFrame:
+    """One row for each business key of the fact, the largest by all columns.
+
+    Parts are unique by dealer id, but the fact's key has the dealer's surrogate, and all unknown
+    dealers share one.
+    """
+    keys = FACT_KEYS[name]
+    lead = [c for c in ("snapshot_date", "visit_date", "claim_date") if c in resolved.columns]
+    return latest_rows(resolved, keys, lead) if name == "fact_parts" else resolved
+
+
 def by_time(df: DataFrame) -> DataFrame:
     """Readings ranged by day, vehicle and time: files cover narrow spans, so scans of a period
     skip the rest, and a busy day or vehicle is spread over several files."""
@@ -92,7 +104,7 @@ def number_rows(df: DataFrame, name: str, start: int = 0) -> DataFrame:
 def merge_fact(fact: DataFrame, resolved: DataFrame, name: str) -> DataFrame:
     """Latest attributes win on the business key; ids of existing rows stay."""
     top = fact.agg(F.coalesce(F.max(FACT_IDS[name]), F.lit(0)).alias("m")).first()["m"]
-    return upsert(fact, number_rows(resolved, name, top), FACT_KEYS[name], keep=[FACT_IDS[name]])
+    return upsert(fact, number_rows(one_per_key(resolved, name), name, top), FACT_KEYS[name], keep=[FACT_IDS[name]])
 
 
 def diagnostics_bridge(silver: DataFrame, loaded_at: str | None = None) -> DataFrame:

@@ -130,7 +130,7 @@ def load_facts(w: Warehouse, clean: SilverTables) -> None:
             lambda: fact("fact_telemetry", facts.by_time(facts.resolve_telemetry(clean["telemetry"], vehicle))),
             lambda: fact("fact_service", facts.resolve_service(clean["service"], vehicle, dealer)),
             lambda: fact("fact_warranty", facts.resolve_warranty(clean["warranty"], vehicle, component)),
-            lambda: fact("fact_parts", facts.resolve_parts(clean["parts"], w.table("part_lookup"), dealer)),
+            lambda: fact("fact_parts", facts.one_per_key(facts.resolve_parts(clean["parts"], w.table("part_lookup"), dealer), "fact_parts")),
             lambda: w.write("silver_diagnostics", facts.diagnostics_bridge(clean["diagnostics"], LOADED_AT)),
         ]
     )

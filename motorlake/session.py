@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -21,19 +22,22 @@ _SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply runtime settings; cluster sizing is left to the caller except in local mode."""
+    """Apply runtime settings; sizes (partitions, memory) are the session builder's."""
     for name, value in _SETTINGS.items():
         spark.conf.set(name, value)
-    sc = spark.sparkContext
-    if sc.master.startswith("local"):
-        spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
     return spark
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves a single-machine session; on a cluster other
+    machines would not see it, so that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:

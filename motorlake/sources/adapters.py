@@ -74,7 +74,11 @@ def _audit(df: DataFrame, ingested: Column | None = None) -> DataFrame:
 
 
 def _located(df: DataFrame) -> DataFrame:
-    return df.select("*", F.col("_metadata.file_name").alias("_source_file"), F.col("_metadata.row_index").alias("_row_uid"))
+    return df.select(
+        "*", F.col("_metadata.file_name").alias("_source_file"),
+        # The whole path: file names repeat between partition folders.
+        F.concat_ws("#", "_metadata.file_path", "_metadata.row_index").alias("_row_uid"),
+    )
 
 
 def _k() -> Column:
@@ -258,7 +262,7 @@ def warranty(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat("p_name", F.lit("-"), "p_partkey").alias("component"),
             _day(F.col("l_orderkey") % SPAN_DAYS + F.col("l_linenumber")).alias("claim_date"),
             F.when(credit, -amount).otherwise(amount).cast("decimal(10,2)").alias("amount"),
-            (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("_row_seq"),
+            F.struct("l_partkey", "l_suppkey").alias("_row_seq"),
             "_source_file",
             "_row_uid",
             "l_shipdate",
@@ -284,7 +288,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
             _day(F.col("first_order") % SPAN_DAYS).alias("snapshot_date"),
             F.col("first_order").alias("_row_seq"),
             F.lit("lineitem.parquet").alias("_source_file"),
-            (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("_row_uid"),
+            F.concat_ws("#", "l_partkey", "l_suppkey").alias("_row_uid"),
         )
     )
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from motorlake import config
@@ -20,8 +24,39 @@ def observed(parsed: DataFrame, name: str = "contract") -> DataFrame:
     )
 
 
-def _start(df: DataFrame, path: str, checkpoint: str, partitions: list[str], now: bool) -> StreamingQuery:
+class ContractCounts(StreamingQueryListener):
+    """Sums the observed counts of all micro-batches of one query, however many there are."""
+
+    def __init__(self):
+        self.query = f"landing-{uuid.uuid4().hex[:12]}"
+        self.valid = self.rejected = 0
+        self.ended = threading.Event()
+        self._run = None
+
+    def onQueryStarted(self, event):
+        if event.name == self.query:
+            self._run = event.runId
+
+    def onQueryProgress(self, event):
+        seen = event.progress.observedMetrics.get("contract")
+        if event.progress.runId == self._run and seen is not None:
+            self.valid += seen["valid"]
+            self.rejected += seen["rejected"]
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        if event.runId == self._run:
+            self.ended.set()
+
+
+def _start(
+    df: DataFrame, path: str, checkpoint: str, partitions: list[str], now: bool, name: str | None = None
+) -> StreamingQuery:
     writer = df.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+    if name:
+        writer = writer.queryName(name)
     if partitions:
         writer = writer.partitionBy(*partitions)
     writer = writer.trigger(availableNow=True) if now else writer.trigger(processingTime="2 seconds")
@@ -29,13 +64,13 @@ def _start(df: DataFrame, path: str, checkpoint: str, partitions: list[str], now
 
 
 def land_stream(
-    messages: DataFrame, kind: str, path: str, checkpoint: str, now: bool = True, writers_per_hour: int = 2
+    messages: DataFrame, kind: str, path: str, checkpoint: str, now: bool = True, name: str | None = None
 ) -> StreamingQuery:
     """Valid events below year/month/day/hour folders.
 
-    The file sink commits a micro-batch once; offsets and files cannot drift apart.  Rows of
-    an hour go to a few writers, chosen by vehicle, so a batch leaves few files per folder and
-    a busy hour is still shared out.
+    The file sink commits a micro-batch once; offsets and files cannot drift apart.  Rows are
+    written where they were read, without a shuffle: a live batch lies in one hour, and all tasks
+    share its writing, whatever vehicle is busy.  Compaction merges the files.
     """
     t = F.col("timestamp")
     events = business_cols(observed(PARSERS[kind](messages)), kind).withColumns(
@@ -47,8 +82,7 @@ def land_stream(
         }
     )
     folders = ["year", "month", "day", "hour"]
-    writer = F.pmod(F.hash("vehicle_id"), F.lit(writers_per_hour))
-    return _start(events.repartition(*folders, writer), path, checkpoint, folders, now)
+    return _start(events, path, checkpoint, folders, now, name)
 
 
 def dlq_stream(messages: DataFrame, kind: str, path: str, checkpoint: str, now: bool = True) -> StreamingQuery:

@@ -1,6 +1,5 @@
 """Every registered query runs, and equals its SQL on the smallest given tables."""
 
-import os
 import sys
 from pathlib import Path
 
@@ -9,20 +8,10 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
 import __spark_entry__ as entry
+from motorlake.catalog.registry import QUERIES
 from check import compare, duck
 
-# One or more queries of every kind; MOTORLAKE_ALL=1 runs all of them, as does tools/check.py.
-USUAL = """
-b1_dedup_latest b3_validate_telemetry b3_validate_diagnostics b3_validate_warranty b7_silver_report b10_unique
-b17_unsupported_diagnostics b18_unsupported_claims d1_dim_date d3_dim_model d7_dim_vehicle d8_surrogate_keys d9_upsert
-d12_fact_telemetry d17_diagnostics_bridge e1_trip_sessions_wide e5_component_failures e9_vehicle_health_wide
-e10_component_failure_risk e12_dealer_operational_summary f9_failure_cohorts f10_robust_scale f12_fault_windows
-f17_demand_series f18_component_stats f23_split_by_position g3_classification_metrics g13_outlier_rank g21_psi
-g22_ks_statistic g6_iforest_score c1_telemetry_contract c5_dead_letters c7_compaction c8_dedup_stream c11_streak_alerts
-c11_streak_alerts_stream c13_field_fallbacks h1_rule_failure_risk h3_rule_surge_over_recent h6_append_unseen
-h8_trigger_counts i1_vehicle_page i9_fleet_overview a3_event_partitions a13_changed_files
-""".split()
-NAMES = list(entry.queries()) if os.environ.get("MOTORLAKE_ALL") else USUAL
+NAMES = list(QUERIES)
 
 
 @pytest.fixture(scope="module")
