@@ -234,7 +234,9 @@ def near_duplicates(
         .join(twice, "root", "left").select("doc_id", "file", "row", "n_shingles", F.coalesce("into", "root").alias("component"))
     )
     final = settle(final, "components")
-    stays = final.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")).alias("stays"))
+    stays = settle(
+        final.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")).alias("stays")), "stays"
+    )
     return final.join(stays, "component").select(
         "doc_id", "n_shingles", F.col("stays.doc_id").alias("component_id"),
         ((F.col("file") == F.col("stays.file")) & (F.col("row") == F.col("stays.row"))).alias("kept"), "file", "row",

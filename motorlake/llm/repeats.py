@@ -219,14 +219,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id
     key = ["fid", "row"]
     # 1. Anchors' own bytes.  The anchors are computed twice rather than stored.
     found = anchor_rows(docs, place, text_column, width)
-    again = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # Counts that are joined back are stored first: the adaptive skew join splits a hot value only
+    # where both sides of a join are shuffled for it.
+    again = settle(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "again")
     shared = settle(found.join(again, "gram", "left_semi"), "anchors")
 
     # 2. Whole contexts.
     contexts = settle(
         shared.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("fid", "row", "at")).alias("one")), "contexts"
     )
-    several = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram", F.lit(True).alias("open"))
+    several = settle(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram", F.lit(True).alias("open")), "several")
     judged = contexts.join(several, "gram", "left").select("gram", "context", (F.col("n") > 1).alias("all"), F.coalesce("open", F.lit(False)).alias("open"), "one")
     own = (F.col("open") & (F.struct("fid", "row", "at") == F.col("one"))).alias("goes_on")
     marked = shared.join(judged, ["gram", "context"]).select("fid", "row", "gram", "at", "all", own).where("all or goes_on")
@@ -245,7 +247,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id
 
     # 3. Blocks of windows, by their common bytes and then by all bytes.
     blocks = settle(_block_rows(held, width), "blocks")
-    cores = blocks.groupBy("label", "core").agg(F.count(F.lit(1)).alias("n"), F.min("union").alias("lo"), F.max("union").alias("hi")).where("n > 1")
+    cores = settle(
+        blocks.groupBy("label", "core").agg(F.count(F.lit(1)).alias("n"), F.min("union").alias("lo"), F.max("union").alias("hi")).where("n > 1"), "cores"
+    )
     alike = settle(blocks.join(cores.select("label", "core", (F.col("lo") != F.col("hi")).alias("differ")), ["label", "core"]), "alike")
     unions = alike.groupBy("label", "core", "union", "differ").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("fid", "row", "windows")).alias("one"))
     whole_blocks = alike.join(unions.where("m > 1").select("label", "core", "union"), ["label", "core", "union"]).select("fid", "row", F.col("windows").alias("mark"))

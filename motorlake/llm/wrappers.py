@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from motorlake.llm.html_tree import Node, match, parse
 from motorlake.llm.rows import column
+from motorlake.session import settle
 
 PAGES = 64
 #: Reference pages of a group, alignments that must speak, and their share with the same text.
@@ -142,9 +143,14 @@ def main_texts(
         column(pages, id_column).alias("page_id"), column(pages, url_column).cast("string").alias("url"),
         F.coalesce(column(pages, html_column).cast("string"), F.lit("")).alias("html"),
     ).withColumn("host", F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit(""))))
-    hosts = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / F.lit(pages_per_group)).alias("groups"))
+    # Only hosts of more than one group are joined back; stored, so that the planner knows their size.
+    large = settle(
+        rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / F.lit(pages_per_group)).alias("groups")).where("groups > 1"), "hosts"
+    )
     # Which group a page is in follows from its own values, so reruns agree.
-    spread = rows.join(hosts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url", "html"), F.col("groups")))
+    part = F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("groups", F.lit(1).cast("long")))
+    # Dealt by host and group: what a join by host leaves together must not stay so.
+    spread = rows.join(large, "host", "left").withColumn("part", part).repartition("host", "part")
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def extract(group: pa.Table) -> pa.Table:
