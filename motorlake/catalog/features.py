@@ -304,7 +304,17 @@ def f24(spark, sf_dir):
     return df.groupBy("dealer_id", "is_test").agg(F.count("*").alias("days"), F.sum("service_count").alias("visits"))
 
 
-@query("f25_fingerprint")
+@query(
+    "f25_fingerprint",
+    sql(f"""SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(vehicle_id || '|' || {DAY.format('cutoff')} || '|' || target), 1, 8) AS BIGINT)) AS BIGINT) AS key_sum,
+TRUE AS layout_free FROM cohorts WHERE cutoff <= DATE '{TRAIN_CUTOFFS[-1]}'"""),
+)
 def f25(spark, sf_dir):
-    """Content hash of the training frame."""
-    return features.fingerprint(features.failure_cohorts(*_inputs(spark, sf_dir), TRAIN_CUTOFFS))
+    """Content hash of the training frame, the same in any layout, and a hash of its keys that SQL can form."""
+    frame = features.failure_cohorts(*_inputs(spark, sf_dir), TRAIN_CUTOFFS)
+    key = F.md5(F.concat_ws("|", "vehicle_id", F.date_format("cutoff_date", "yyyy-MM-dd"), F.col("target").cast("string")))
+    dealt = features.fingerprint(frame.repartition(7, "vehicle_id")).select("hash_sum").scalar()
+    same = (features.fingerprint(frame).select("hash_sum").scalar() == dealt).alias("layout_free")
+    return frame.agg(
+        F.count("*").alias("rows"), F.sum(F.conv(F.substring(key, 1, 8), 16, 10).cast("long")).alias("key_sum")
+    ).select("rows", "key_sum", same)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from motorlake import config
 from motorlake.catalog.actions import mean_forecasts, ranked_claims, risk_predictions, severe_actions, vibration_scores
 from motorlake.catalog.registry import query
 from motorlake.catalog.sql import BLOCKS, DAY, STAMP, sql
@@ -135,13 +136,22 @@ def i12(spark, sf_dir):
     return reports.tier_distribution(risk_predictions(spark, sf_dir))
 
 
-@query("i13_model_status")
+@query(
+    "i13_model_status",
+    sql(f"""SELECT 'sensor_anomaly_iforest' AS model_id, 'v1.0.0' AS model_version, {len(config.SENSOR_FEATURES)} AS feature_count, CAST(a AS DOUBLE) AS trained_on, least(256.0, a) AS tree_sample FROM nominal_n"""),
+)
 def i13(spark, sf_dir):
-    """Registered models, from the registry."""
-    from motorlake.catalog.scoring import STAMPED, VERSION, sensor_forest
+    """Registered models, from the registry, with the rows that the model was trained on."""
+    from motorlake.catalog.scoring import STAMPED, VERSION, nominal, sensor_forest
     from motorlake.learning import registry
 
     forest = sensor_forest(spark, sf_dir)
-    return reports.model_status(
-        registry.entry(spark, "sensor_anomaly_iforest", VERSION, STAMPED, "", forest.features, forest.settings(), {}, "models/sensor")
+    trained_on = float(nominal(spark, sf_dir).where(F.col("split") == 0).count())
+    held = {"trained_on": trained_on, "tree_sample": float(forest.sample)}
+    status = reports.model_status(
+        registry.entry(spark, "sensor_anomaly_iforest", VERSION, STAMPED, "", forest.features, forest.settings(), held, "models/sensor")
+    )
+    return status.select(
+        "model_id", "model_version", "feature_count",
+        *[F.get_json_object("metrics", f"$.{k}").cast("double").alias(k) for k in ("trained_on", "tree_sample")],
     )

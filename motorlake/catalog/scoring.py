@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from motorlake import config
 from motorlake.catalog.features import EVAL_CUTOFFS, TRAIN_CUTOFFS, _claims, _inputs, _service
 from motorlake.catalog.registry import query
-from motorlake.catalog.sql import BLOCKS, DAY, sql
+from motorlake.catalog.sql import BLOCKS, DAY, STAMP, sql
 from motorlake.learning import drift, forests, iforest, metrics, registry
 from motorlake.operators.cumulative import exact_quantiles, fractional_rank
 from motorlake.plans import features, scoring
@@ -261,32 +261,57 @@ def g23(spark, sf_dir):
 
 
 # ---- trained models ----------------------------------------------------------------------
+#
+# Random streams differ between libraries, so the values of trained models have no SQL.  Their rows
+# have: each query gives its keys and data columns, and what must hold of the values row by row.
 
+_EVAL = f"cohorts WHERE cutoff >= DATE '{EVAL_CUTOFFS[0]}'"
+BLOCKS["nominal_n"] = """
+SELECT n, CAST(floor(n * 0.70 + 1e-9) AS BIGINT) AS a, CAST(floor(n * 0.85 + 1e-9) AS BIGINT) AS b
+FROM (SELECT count(*) AS n FROM near_fault WHERE NOT is_fault_window)"""
 
-@query("g1_failure_risk")
+
+@query("g1_failure_risk", sql(f"SELECT count(*) AS rows, sum(target) AS positives, TRUE AS in_range FROM {_EVAL}"))
 def g1(spark, sf_dir):
     """Pooled metrics of the trained risk model on later cutoffs."""
-    scored = forests.score_failure_risk(risk_model(spark, sf_dir), cohorts(spark, sf_dir, EVAL_CUTOFFS))
-    return metrics.classification_metrics(settle(scored.select("risk_score", "target"), "risk"), "risk_score", "target")
+    scored = settle(
+        forests.score_failure_risk(risk_model(spark, sf_dir), cohorts(spark, sf_dir, EVAL_CUTOFFS)).select("risk_score", "target"), "risk"
+    )
+    m = metrics.classification_metrics(scored, "risk_score", "target")
+    fits = F.lit(True)
+    for c in ("pr_auc", "roc_auc", "brier", "precision", "recall"):
+        fits = fits & F.coalesce(F.col(c).between(0, 1), F.lit(True))
+    return m.select("rows", scored.agg(F.sum("target").alias("t")).scalar().alias("positives"), fits.alias("in_range"))
 
 
-@query("g5_iforest_nodes")
+@query(
+    "g5_iforest_nodes",
+    sql("SELECT tree, least(256, a) AS sample, least(256, a) AS in_leaves, TRUE AS binary_tree, TRUE AS depth_kept FROM nominal_n, (SELECT unnest(generate_series(0, 99)) AS tree)"),
+)
 def g5(spark, sf_dir):
-    """Size and depth of every tree of the sensor forest."""
+    """Every tree of the sensor forest: its sample, and that its nodes add up."""
     nodes = sensor_forest(spark, sf_dir).nodes
+    leaf = F.col("feature") < 0
     return nodes.groupBy("tree").agg(
-        F.count("*").alias("nodes"), F.max("depth").alias("depth"), F.max("size").alias("sample")
+        F.max("size").alias("sample"), F.sum(F.when(leaf, F.col("size"))).alias("in_leaves"),
+        (F.count("*") == 2 * F.count_if(leaf) - 1).alias("binary_tree"),
+        (F.max("depth") <= F.ceil(F.log2(F.max("size").cast("double")))).alias("depth_kept"),
     )
 
 
-@query("g6_iforest_score")
+@query("g6_iforest_score", sql(f"SELECT vehicle_id, {STAMP.format('ts')} AS timestamp, TRUE AS in_range FROM tel_v"))
 def g6(spark, sf_dir):
     """Normalised scores of all readings."""
     forest = sensor_forest(spark, sf_dir)
-    return readings(spark, sf_dir).select("vehicle_id", "timestamp", forest.score().alias("anomaly_score"))
+    return readings(spark, sf_dir).select("vehicle_id", "timestamp", forest.score().between(0, 1).alias("in_range"))
 
 
-@query("g7_calibrated_threshold")
+@query(
+    "g7_calibrated_threshold",
+    sql("""SELECT part, rows, TRUE AS in_range FROM (
+SELECT '0' AS part, a AS rows FROM nominal_n UNION ALL SELECT '1', b - a FROM nominal_n UNION ALL SELECT '2', n - b FROM nominal_n
+UNION ALL SELECT 'fault', count(*) FROM near_fault WHERE is_fault_window) WHERE rows > 0"""),
+)
 def g7(spark, sf_dir):
     """Flag rates of the three nominal parts and of the fault windows at the frozen threshold."""
     forest = sensor_forest(spark, sf_dir)
@@ -295,28 +320,47 @@ def g7(spark, sf_dir):
     scored = parts.unionByName(fault).withColumn("score", forest.score())
     return scored.groupBy("part").agg(
         F.count("*").alias("rows"),
-        F.avg((F.col("score") >= forest.threshold).cast("int")).alias("flag_rate"),
-    ).withColumn("threshold", F.lit(forest.threshold))
+        F.avg((F.col("score") >= forest.threshold).cast("int")).between(0, 1).alias("in_range"),
+    )
 
 
-@query("g9_demand_forecast")
+@query(
+    "g9_demand_forecast",
+    sql("""SELECT round(avg(abs(service_count - lag_7)), 4) AS naive_mae, TRUE AS errors_agree, TRUE AS lift_agrees FROM series
+WHERE visit_date > (SELECT max(visit_date) FROM series) - 7"""),
+)
 def g9(spark, sf_dir):
     """Errors of the demand model on the held-out week, with the naive lift."""
     split = features.holdout_tail(series(spark, sf_dir), "visit_date")
     predicted = forests.predict_demand(demand_model(spark, sf_dir), split.where("is_test"))
     m = metrics.regression_metrics(predicted, "service_count", "predicted_volume")
     lift = metrics.baseline_lift(predicted, "service_count", "predicted_volume", "lag_7")
-    return m.withColumns({c: lift.select(c).scalar() for c in ("naive_mae", "lift")})
+    naive, gain = lift.select("naive_mae").scalar(), lift.select("lift").scalar()
+    return m.select(
+        naive.alias("naive_mae"), (F.col("mae") <= F.col("rmse") + 1e-4).alias("errors_agree"),
+        (F.abs(gain - (naive - F.col("mae")) / (naive + 1e-9)) < 1e-3).alias("lift_agrees"),
+    )
+
 
+def _interval():
+    return [
+        (F.col("lower_bound_80") <= F.col("upper_bound_80")).alias("ordered"),
+        ((F.col("lower_bound_80") >= 0) & (F.col("predicted_volume") >= 0)).alias("not_negative"),
+    ]
 
-@query("g10_prediction_intervals")
+
+@query("g10_prediction_intervals", sql(f"SELECT dealer_id, {DAY.format('visit_date')} AS visit_date, TRUE AS ordered, TRUE AS not_negative FROM series"))
 def g10(spark, sf_dir):
     """Point forecast and 80% interval of every dealer-day."""
     out = forests.predict_interval(demand_model(spark, sf_dir), series(spark, sf_dir), scratch_path(spark, "forest"))
-    return out.select("dealer_id", "visit_date", "predicted_volume", "lower_bound_80", "upper_bound_80")
+    return out.select("dealer_id", "visit_date", *_interval())
 
 
-@query("g16_model_registry")
+@query(
+    "g16_model_registry",
+    sql(f"""SELECT 'sensor_anomaly_iforest' AS model_id, v AS model_version, r AS rows, TRUE AS flag_rate_in_range, {len(config.SENSOR_FEATURES)} AS features
+FROM nominal_n, LATERAL (SELECT unnest(['v1.0.0', 'v1.1.0']) AS v, unnest([CAST(b - a AS DOUBLE), CAST(n - b AS DOUBLE)]) AS r)"""),
+)
 def g16(spark, sf_dir):
     """Registry after registering a version twice and another once."""
     forest = sensor_forest(spark, sf_dir)
@@ -327,41 +371,84 @@ def g16(spark, sf_dir):
         spark, "sensor_anomaly_iforest", v, STAMPED, data, forest.features, forest.settings(), m, path
     )
     table = registry.empty_registry(spark)
-    for entry in (row("v1.0.0", {"fpr": 1.0}), row("v1.0.0", {"fpr": 0.5}), row("v1.1.0", {"fpr": 0.4})):
+    measured = {
+        r["split"]: {"rows": float(r["rows"]), "flag_rate": r["rate"]}
+        for r in nominal(spark, sf_dir).select("split", (forest.score() >= forest.threshold).cast("int").alias("f"))
+        .groupBy("split").agg(F.count("*").alias("rows"), F.avg("f").alias("rate")).collect()  # three parts
+    }
+    for entry in (row("v1.0.0", measured[0]), row("v1.0.0", measured[1]), row("v1.1.0", measured[2])):
         table = registry.register(table, entry)
-    return table.select("model_id", "model_version", F.element_at("metrics", "fpr").alias("fpr"), F.size("feature_names").alias("features"))
+    return table.select(
+        "model_id", "model_version", F.element_at("metrics", "rows").alias("rows"),
+        F.element_at("metrics", "flag_rate").between(0, 1).alias("flag_rate_in_range"), F.size("feature_names").alias("features"),
+    )
 
 
-@query("g17_score_failure_risk")
+@query(
+    "g17_score_failure_risk",
+    sql(f"""SELECT md5(vehicle_id || '|' || {DAY.format('cutoff')}) AS prediction_id, vehicle_id, {DAY.format('cutoff')} AS cutoff_date, TRUE AS in_range,
+TRUE AS tier_fits, {len(config.FAILURE_FEATURES)} AS features, '{VERSION}' AS model_version FROM {_EVAL}"""),
+)
 def g17(spark, sf_dir):
+    """Risk predictions: ids, keys, and tiers that fit their scores."""
     out = scoring.failure_predictions(risk_model(spark, sf_dir), cohorts(spark, sf_dir, EVAL_CUTOFFS), VERSION, STAMPED)
-    return out.withColumn("top_features", F.to_json("top_features"))
+    s = F.col("risk_score")
+    tier = F.when(s >= 0.75, "CRITICAL").when(s >= 0.5, "HIGH").when(s >= 0.25, "MEDIUM").otherwise("LOW")
+    return out.select(
+        "prediction_id", "vehicle_id", "cutoff_date", s.between(0, 1).alias("in_range"), (F.col("risk_tier") == tier).alias("tier_fits"),
+        F.size("top_features").alias("features"), "model_version",
+    )
 
 
-@query("g18_score_sensors")
+@query(
+    "g18_score_sensors",
+    sql(f"""SELECT vehicle_id, {STAMP.format('ts')} AS window_timestamp, TRUE AS in_range, TRUE AS flag_fits, TRUE AS map_fits, '{VERSION}' AS model_version FROM tel_v"""),
+)
 def g18(spark, sf_dir):
-    out = scoring.sensor_anomalies(sensor_forest(spark, sf_dir), readings(spark, sf_dir), VERSION, STAMPED)
-    return out.withColumn("anomalous_features", F.to_json("anomalous_features"))
+    """Sensor predictions: keys, flags that fit their scores and maps that fit their flags."""
+    forest = sensor_forest(spark, sf_dir)
+    out = scoring.sensor_anomalies(forest, readings(spark, sf_dir), VERSION, STAMPED)
+    s = F.col("anomaly_score")
+    return out.select(
+        "vehicle_id", "window_timestamp", s.between(0, 1).alias("in_range"), (F.col("is_anomaly") == (s >= forest.threshold)).alias("flag_fits"),
+        (F.size("anomalous_features") == F.when(F.col("is_anomaly"), 3).otherwise(0)).alias("map_fits"), "model_version",
+    )
 
 
-@query("g19_demand_forecast_14d")
+@query(
+    "g19_demand_forecast_14d",
+    sql(f"""SELECT md5(dealer_id || '|' || {DAY.format('d')}) AS forecast_id, dealer_id, {DAY.format('d')} AS forecast_date, TRUE AS ordered, TRUE AS not_negative, '{VERSION}' AS model_version
+FROM (SELECT dealer_id, CAST(DATE '2024-01-31' + h AS DATE) AS d FROM series CROSS JOIN (SELECT CAST(unnest(generate_series(1, 14)) AS INT) AS h)
+      WHERE visit_date = (SELECT max(visit_date) FROM series WHERE visit_date <= DATE '2024-01-31'))"""),
+)
 def g19(spark, sf_dir):
-    return scoring.demand_forecasts(
+    """Fourteen days of demand for every dealer: ids, keys and intervals in order."""
+    out = scoring.demand_forecasts(
         demand_model(spark, sf_dir), series(spark, sf_dir), ORIGIN, scratch_path(spark, "forest"), VERSION, STAMPED
     )
+    return out.select("forecast_id", "dealer_id", "forecast_date", *_interval(), "model_version")
 
 
-@query("g20_score_claims")
+@query(
+    "g20_score_claims",
+    sql(f"SELECT md5(claim_id) AS anomaly_id, claim_id, claim_amount, TRUE AS in_range, TRUE AS map_fits, '{VERSION}' AS model_version FROM cfeat"),
+)
 def g20(spark, sf_dir):
+    """Claim predictions: ids, keys, amounts, ranks and the reasons of flagged claims."""
     out = scoring.score_claims(claim_forest(spark, sf_dir), claims(spark, sf_dir), VERSION, STAMPED)
-    return out.withColumn("outlier_reasons", F.to_json("outlier_reasons"))
+    s = F.col("anomaly_score")
+    return out.select(
+        "anomaly_id", "claim_id", "claim_amount", s.between(0, 1).alias("in_range"),
+        (F.size("outlier_reasons") == F.when(s >= config.TRIAGE_RANK, 2).otherwise(0)).alias("map_fits"), "model_version",
+    )
 
 
-@query("g24_governed_threshold")
+@query("g24_governed_threshold", sql("SELECT count(*) AS readings, TRUE AS some_flagged FROM tel_v"))
 def g24(spark, sf_dir):
     """Readings at or above the threshold fetched from the registry."""
     forest = sensor_forest(spark, sf_dir)
     table = registry.entry(spark, "sensor_anomaly_iforest", VERSION, STAMPED, "", forest.features, forest.settings(), {}, "")
     limit = registry.load_threshold(table, "sensor_anomaly_iforest", VERSION)
     scored = readings(spark, sf_dir).select(forest.score().alias("s"))
-    return scored.agg(F.count("*").alias("readings"), F.count_if(F.col("s") >= limit).alias("flagged"))
+    flagged = F.count_if(F.col("s") >= limit)
+    return scored.agg(F.count("*").alias("readings"), ((flagged > 0) & (flagged < F.count("*"))).alias("some_flagged"))

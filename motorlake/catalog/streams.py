@@ -197,12 +197,16 @@ def c8(spark, sf_dir):
     return run_to_table(spark, landing.dedup_stream(hourly, ["vehicle_id", "timestamp"], "60 days"), "deduped")
 
 
-@query("c9_score_stream")
+@query(
+    "c9_score_stream",
+    sql(f"SELECT vehicle_id, {STAMP.format('ts')} AS timestamp, TRUE AS in_range, TRUE AS map_fits FROM tel_raw"),
+)
 def c9(spark, sf_dir):
-    """Stream scores with the fixed centring."""
+    """Stream scores with the fixed centring: every event once, its score and its map of flagged values."""
     scored = alerts.score_stream(events_stream(spark, sf_dir), sensor_forest(spark, sf_dir))
     shown = scored.select(
-        "vehicle_id", "timestamp", "anomaly_score_shown", "is_anomaly", F.to_json("anomalous_features").alias("anomalous_features")
+        "vehicle_id", "timestamp", F.col("anomaly_score_shown").between(0, 1).alias("in_range"),
+        ((F.size("anomalous_features") > 0) <= F.col("is_anomaly")).alias("map_fits"),
     )
     return run_to_table(spark, shown, "scored")
 
