@@ -7,11 +7,11 @@ signatures, corrected for the chance that unlike minima share their low bits, an
 the full sets.
 
 No bucket is expanded into pairs.  Equal sets are collapsed to one representative first.  In each
-bucket every member meets the least member only, and its best such pair is confirmed; members that
-end in one component need no more comparisons.  Only members of one bucket in *different* components
-are compared with each other, in blocks, so no link between components is lost and a large bucket is
-spread over many tasks.  A pair is told once, by its first common band; each member's best pair is
-confirmed first, and only what is then still apart goes on.
+bucket every member meets the least member only, and its best such pair is confirmed; further rounds
+do the same with other heads.  Members that end in one component need no more comparisons.  Members
+of one bucket in *different* components are then compared with each other, so no link between
+components is lost: each pair once, by its first common band, and in large buckets block by block with
+the confirmation inside the join, so that a bucket is spread over many tasks and gives links only.
 
 Defined results: texts without words have an empty set, link with nothing and are kept.  A text of
 fewer words than a shingle is one shingle.  Null texts count as empty.  Repeated rows are copies:
@@ -38,7 +38,9 @@ LONGS = MINIMA * BITS // 64
 #: Six standard errors of the estimate below the threshold still count as candidates.
 MARGIN = 0.22
 #: Members of a bucket that one block compares with all others.
-BLOCK = 512
+BLOCK = 128
+#: Rounds with other heads before what is apart is compared in full.
+ROUNDS = 3
 _RNG = np.random.default_rng(88)
 _A = _RNG.integers(0, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 2**32, MINIMA, dtype=np.uint32)
@@ -193,45 +195,73 @@ def near_duplicates(
 
     roots = settle(components(confirmed(best, sets_of(best), percent)), "roots").select(F.col("node").alias("rid"), "root")
 
-    # Members of one bucket that are still apart are compared with each other, in blocks.
-    bucketed = bucketed.join(heads.select("band", "members"), "band").join(roots, "rid", "left")
-    placed = settle(bucketed.select("band", "members", "rid", F.coalesce("root", "rid").alias("root")), "placed")
-    apart = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
-    sized = own.join(base.select("rid", "n_shingles"), "rid")
-    inside = placed.join(apart, "band", "left_semi").join(sized, "rid")
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-
-    def side(name: str, block: Column) -> DataFrame:
-        return inside.select(
-            "band", block.alias("block"), F.col("rid").alias(name), F.col("root").alias(f"r{name}"), F.col("n_shingles").alias(f"n{name}"),
+    # Buckets whose members ended in different components, and what is needed to compare them.
+    bucketed = bucketed.join(heads.select("band"), "band").join(roots, "rid", "left")
+    placed = settle(bucketed.select("band", "rid", F.coalesce("root", "rid").alias("root0")), "placed")
+    apart = settle(placed.groupBy("band").agg(F.min("root0").alias("lo"), F.max("root0").alias("hi")).where("lo != hi").select("band"), "apart")
+    inside = settle(placed.join(apart, "band", "left_semi"), "inside")
+    everyone = settle(inside.groupBy("rid").agg(F.first("root0").alias("root0")), "everyone")
+    sized = settle(own.join(base.select("rid", "n_shingles"), "rid").join(everyone, "rid", "left_semi"), "sized")
+    wanted = settle(base.join(everyone, "rid", "left_semi").select("rid", "file", "row"), "wanted")
+    sets = settle(full_sets(docs, place, wanted, text_column, words), "sets")
+    moved = settle(everyone.select("root0").distinct().withColumn("root", F.col("root0")), "roots")
+
+    def side(rows: DataFrame, name: str, more: list[str]) -> DataFrame:
+        return rows.join(sized, "rid").select(
+            *more, F.col("rid").alias(name), F.col("root").alias(f"r{name}"), F.col("n_shingles").alias(f"n{name}"),
             F.col("bands").alias(f"b{name}"), *[F.col(s).alias(f"{name}_{s}") for s in sig],
         )
 
-    one = side("u", F.pmod(F.xxhash64("rid"), blocks).cast("int"))
-    other = side("v", F.explode(F.sequence(F.lit(0), blocks - 1)))
     like = estimate([F.col(f"u_{s}") for s in sig], [F.col(f"v_{s}") for s in sig])
     fits = (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & (like >= least)
-    # A pair is told by the first of the bands that both are in.
+
+    # More rounds with another member at the head of each bucket: every one is linear in the members,
+    # and those that the first head did not reach join through later ones.
+    for turn in range(ROUNDS):
+        now = inside.join(moved, "root0")
+        leads = settle(
+            now.groupBy("band").agg(F.min_by(F.struct("rid", "root"), F.xxhash64("rid", F.lit(turn))).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+            .where("lo != hi").select("band", F.col("h.rid").alias("head"), F.col("h.root").alias("head_root")), "leads",
+        )
+        pairs = now.join(leads, "band").where("root != head_root").select("rid", "root", "head", "head_root").distinct()
+        u = side(pairs, "u", ["head", "head_root"])
+        v = sized.select(F.col("rid").alias("head"), F.col("n_shingles").alias("nv"), *[F.col(s).alias(f"v_{s}") for s in sig])
+        best = settle(
+            u.join(v, "head").where(fits).groupBy("u").agg(F.max_by("head", like).alias("v")), "best"
+        )
+        merged = merged_roots(confirmed(best, sets, percent), everyone.join(moved, "root0").select("rid", "root"))
+        moved = settle(moved.join(merged, "root", "left").select("root0", F.coalesce("into", "root").alias("root")), "roots")
+
+    # What is still apart is compared in full.  A pair is told by the first of the bands that both are
+    # in.  In small buckets pairs of like signatures are confirmed afterwards; large ones are cut in
+    # blocks and confirm on the full sets inside the join, so only links come out of it.
+    now = inside.join(moved, "root0")
+    sizes = settle(
+        now.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band", "m"), "sizes"
+    )
+    rows = settle(now.join(sizes, "band").select("band", "m", "rid", "root"), "members")
     earlier = F.array_position("bu", F.col("band")).cast("int") - 1
     new = ~F.arrays_overlap(F.slice("bu", F.lit(1), earlier), F.slice("bv", F.lit(1), earlier))
-    cross = settle(
-        one.join(other, ["band", "block"]).where((F.col("ru") < F.col("rv")) & fits & new).select("u", "v", "ru", "rv", like.alias("similarity")), "cross"
-    )
-    # First each member's best pair; what is still apart after that is confirmed in full.
-    sets = sets_of(cross)
-    top = cross.groupBy("u").agg(F.max_by("v", "similarity").alias("v")).unionByName(cross.groupBy("v").agg(F.max_by("u", "similarity").alias("u"))).distinct()
-    rooted = placed.select("rid", "root").distinct()
-    once = merged_roots(confirmed(top, sets, percent), rooted)
-    rooted = settle(rooted.join(once, "root", "left").select("rid", F.coalesce("into", "root").alias("root")), "rooted")
-    now_u, now_v = rooted.select(F.col("rid").alias("u"), F.col("root").alias("su")), rooted.select(F.col("rid").alias("v"), F.col("root").alias("sv"))
-    rest = settle(cross.select("u", "v").join(now_u, "u").join(now_v, "v").where("su != sv").select("u", "v"), "rest")
-    twice = merged_roots(confirmed(rest, sets, percent), rooted)
+    small = rows.where(F.col("m") <= BLOCK)
+    near = side(small, "u", ["band"]).join(side(small, "v", ["band"]), "band").where((F.col("ru") < F.col("rv")) & fits & new)
+    linked = confirmed(settle(near.select("u", "v"), "near"), sets, percent)
+
+    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    large = rows.where(F.col("m") > BLOCK)
+    one = side(large.withColumn("block", F.pmod(F.xxhash64("rid"), blocks).cast("int")), "u", ["band", "block"])
+    other = side(large.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))), "v", ["band", "block"])
+    one = one.join(sets.select(F.col("rid").alias("u"), F.col("shingles").alias("a")), "u")
+    other = other.join(sets.select(F.col("rid").alias("v"), F.col("shingles").alias("b")), "v")
+    both = F.size(F.array_intersect("a", "b"))
+    alike = F.lit(100) * both >= F.lit(percent) * (F.col("nu") + F.col("nv") - both)
+    within = one.join(other, ["band", "block"]).where((F.col("ru") < F.col("rv")) & fits & new & alike).select("u", "v")
+    merged = merged_roots(settle(linked.unionByName(within), "links"), everyone.join(moved, "root0").select("rid", "root"))
+    moved = moved.join(merged, "root", "left").select("root0", F.coalesce("into", "root").alias("into"))
 
     final = (
         base.join(roots.withColumnRenamed("rid", "rep"), "rep", "left")
-        .select("doc_id", "file", "row", "n_shingles", F.coalesce("root", "rep").alias("root"))
-        .join(once, "root", "left").select("doc_id", "file", "row", "n_shingles", F.coalesce("into", "root").alias("root"))
-        .join(twice, "root", "left").select("doc_id", "file", "row", "n_shingles", F.coalesce("into", "root").alias("component"))
+        .select("doc_id", "file", "row", "n_shingles", F.coalesce("root", "rep").alias("root0"))
+        .join(moved, "root0", "left").select("doc_id", "file", "row", "n_shingles", F.coalesce("into", "root0").alias("component"))
     )
     final = settle(final, "components")
     stays = settle(
