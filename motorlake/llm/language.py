@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from motorlake.llm import bytewords
-from motorlake.llm.rows import column, text_of
+from motorlake.llm.rows import column, ship, text_of
 from motorlake.session import settle
 
 BUCKETS = 1 << 14
@@ -128,6 +128,7 @@ def languages(
     html_column: str = "html",
 ) -> DataFrame:
     """One row per page: page_id, url, host, declared, text_lang, lang, confidence."""
+    ship(pages.sparkSession)
     langs, logs = profiles(docs)
     number = len(langs)
     if not number:

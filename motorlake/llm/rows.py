@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,6 +20,25 @@ from motorlake.session import settle
 LOCATOR = T.StructType([T.StructField("file", T.StringType()), T.StructField("row", T.LongType())])
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the tasks of this application import this package, wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp()  # the driver serves the bundle from here as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    bundle = Path(folder, f"{package.name}.zip")
+    with zipfile.ZipFile(bundle, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(bundle))
+    _shipped.add(context.applicationId)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, lengthened until no column of ``df`` has it (names compare without case)."""
     taken = {c.lower() for c in df.columns}
@@ -42,6 +66,7 @@ def located(docs: DataFrame) -> tuple[DataFrame, Column]:
 
     Rows that do not come straight from Parquet files are stored in the shared folder first.
     """
+    ship(docs.sparkSession)
     try:
         place = _place(docs)
         docs.select(place)

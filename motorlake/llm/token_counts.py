@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from motorlake.llm.rows import column, text_of
+from motorlake.llm.rows import column, ship, text_of
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -114,6 +114,7 @@ def token_counts(
     limit: int = LIMIT,
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit."""
+    ship(docs.sparkSession)
     path = model or model_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from motorlake.llm.html_tree import Node, match, parse
-from motorlake.llm.rows import column
+from motorlake.llm.rows import column, ship
 from motorlake.session import settle
 
 PAGES = 64
@@ -139,6 +139,7 @@ def main_texts(
     pages_per_group: int = PAGES,
 ) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
+    ship(pages.sparkSession)
     rows = pages.select(
         column(pages, id_column).alias("page_id"), column(pages, url_column).cast("string").alias("url"),
         F.coalesce(column(pages, html_column).cast("string"), F.lit("")).alias("html"),
