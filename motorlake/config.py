@@ -6,16 +6,6 @@ are exactly as stated, so they are kept as plain literals in one place.
 
 # ---- fixed values: datasets and their business keys -------------------------
 EVENT_DATASETS = ["telemetry", "diagnostics"]
-SNAPSHOT_DATASETS = [
-    "vehicles",
-    "service",
-    "warranty",
-    "parts",
-    "dealers",
-    "components",
-    "customers",
-    "vehicle_customer_map",
-]
 BUSINESS_KEYS = {
     "telemetry": ["vehicle_id", "timestamp"],
     "diagnostics": ["vehicle_id", "timestamp", "code"],
@@ -85,8 +75,6 @@ SESSION_GAP_SECONDS = 300
 VIBRATION_ALERT = 2.5
 TEMPERATURE_ALERT = 105.0
 BATTERY_ALERT = (11.8, 15.0)
-HEALTH_STATUSES = ["HEALTHY", "WARNING", "CRITICAL"]
-RISK_TIERS_COMPONENT = ["LOW_RISK", "MEDIUM_RISK", "HIGH_RISK"]
 
 # ---- fixed values: features --------------------------------------------------------
 LOOKBACK_DAYS = 7

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from motorlake.plans.dimensions import upsert
@@ -53,7 +51,3 @@ def load_threshold(registry: DataFrame, model_id: str, version: str, name: str =
     if value is None or value != value:
         raise ValueError(f"no numeric {name} on record for {model_id} {version}")
     return float(value)
-
-
-def manifest_json(fields: dict) -> str:
-    return json.dumps(fields, sort_keys=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from motorlake.plans import dimensions as dims, facts, silver
 from motorlake.session import scratch_path, side_by_side
@@ -20,8 +20,9 @@ class Warehouse:
     """Tables below one folder.
 
     A table's files are never overwritten while they may be read: additions are appended, and
-    a table computed from itself is written once to a new place, to which a small pointer is
-    then turned.
+    a table computed from itself is written once to a new place, and a pointer with the next
+    number is added.  Pointers are only ever added, and the highest holds, so a reader always
+    finds one.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -33,13 +34,17 @@ class Warehouse:
         if name not in self._places:
             self._places[name] = f"{self.path}/{name}"
             try:
-                pointer = self.spark.read.parquet(f"{self.path}/current/{name}")
-                self._places[name] = pointer.first()["place"]
+                self._places[name] = self._newest(name)["place"]
             except AnalysisException as e:
                 if e.getCondition() != "PATH_NOT_FOUND":
                     raise
         return self._places[name]
 
+    def _newest(self, name: str) -> Row:
+        """The table's pointer with the highest number; an error where there is none."""
+        pointers = self.spark.read.parquet(f"{self.path}/current/{name}")
+        return pointers.agg(F.max(F.struct("number", "place")).alias("p")).first()["p"]
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self._place(name))
 
@@ -57,9 +62,14 @@ class Warehouse:
         """New contents, possibly computed from the old."""
         place = f"{self.path}/{name}-{uuid.uuid4().hex[:12]}"
         df.write.parquet(place)
-        self.spark.createDataFrame([(place,)], "place string").coalesce(1).write.mode("overwrite").parquet(
-            f"{self.path}/current/{name}"
-        )
+        try:
+            number = self._newest(name)["number"] + 1
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            number = 1
+        pointer = self.spark.createDataFrame([(number, place)], "number long, place string")
+        pointer.coalesce(1).write.mode("append").parquet(f"{self.path}/current/{name}")
         self._places[name] = place
         return self.table(name)
 

@@ -20,11 +20,6 @@ RAW = {
     "vehicle_customer_map": "vehicle_id string, customer_id string, registration_date date",
 }
 
-TELEMETRY_EVENT = (
-    "vehicle_id string, timestamp string, rpm double, temperature double, battery double, vibration double"
-)
-DIAGNOSTIC_EVENT = "vehicle_id string, timestamp string, code string, component string, severity string"
-
 
 def raw_schema(name: str) -> T.StructType:
     return T.StructType.fromDDL(RAW[name])

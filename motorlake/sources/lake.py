@@ -72,8 +72,14 @@ def read_lake(spark: SparkSession, path: str, columns: list[str] | None = None)
     return df.select(*columns) if columns else df
 
 
-def write_silver(df: DataFrame, path: str, dataset: str, snapshot_date: str | None = None) -> None:
-    """Clean rows: events by integer year, month and day, snapshots by snapshot date."""
+def write_silver(
+    df: DataFrame, path: str, dataset: str, snapshot_date: str | None = None, rebuild: bool = True
+) -> None:
+    """Clean rows: events by integer year, month and day, snapshots by snapshot date.
+
+    A rebuild replaces the whole set, so days that the input no longer has go; otherwise only the
+    partitions that ``df`` has rows of are replaced.
+    """
     if dataset in config.EVENT_DATASETS:
         parts = df.withColumns(
             {"year": F.year("timestamp"), "month": F.month("timestamp"), "day": F.dayofmonth("timestamp")}
@@ -83,7 +89,11 @@ def write_silver(df: DataFrame, path: str, dataset: str, snapshot_date: str | No
         if "snapshot_date" not in df.columns:
             df = df.withColumn("snapshot_date", F.lit(snapshot_date))
         parts, keys = df, ["snapshot_date"]
-    _spread(parts, keys).write.mode("overwrite").option("compression", "snappy").partitionBy(*keys).parquet(path)
+    (
+        _spread(parts, keys).write.mode("overwrite")
+        .option("partitionOverwriteMode", "static" if rebuild else "dynamic")
+        .option("compression", "snappy").partitionBy(*keys).parquet(path)
+    )
 
 
 def write_quarantine(df: DataFrame, path: str) -> None:
