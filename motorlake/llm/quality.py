@@ -93,12 +93,38 @@ def text_features(data: np.ndarray, offsets: np.ndarray, numbers: np.ndarray | N
     return flat, np.cumsum([0, *map(len, out)])
 
 
-def telling_words(ids: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
+def word_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Rows and bad rows that have each word hash, and rows and bad rows in all; ``rows`` has text_ids and bad.
+
+    Counted in the tasks: only one number a hash comes to the driver.
+    """
+    first = SHAPES * SHAPE_BINS
+    dim = 1 << WORD_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, dim + 1), np.int64)
+        for batch in batches:
+            ids, at = _lists(batch.column(0))
+            bad = batch.column(1).to_numpy().astype(np.int64)
+            owner = np.repeat(bad, np.diff(at))[ids >= first]
+            ids = ids[ids >= first] - first
+            total[0] += np.bincount(ids, minlength=dim + 1)
+            total[1] += np.bincount(ids, owner, dim + 1).astype(np.int64)
+            total[0, dim] += len(bad)
+            total[1, dim] += bad.sum()
+        some = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0, some]), pa.array(total[1, some])], names=["word", "n", "bad"])
+
+    made = rows.select("text_ids", "bad").mapInArrow(count, "word bigint, n bigint, bad bigint")
+    sums = made.groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).toArrow()
+    n, bad = np.zeros(dim + 1, np.int64), np.zeros(dim + 1, np.int64)
+    n[sums["word"].to_numpy()], bad[sums["word"].to_numpy()] = sums["n"].to_numpy(), sums["bad"].to_numpy()
+    return n[:dim], bad[:dim], int(n[dim]), int(bad[dim])
+
+
+def telling_words(n: np.ndarray, bad: np.ndarray, rows: int, bad_rows: int) -> np.ndarray:
     """For each word hash its number among the words that tell good and bad rows apart, or -1."""
-    dim = SHAPES * SHAPE_BINS + (1 << WORD_BITS)
-    bad = np.bincount(ids, np.repeat(y, np.diff(at)), dim)[SHAPES * SHAPE_BINS :]
-    n = np.bincount(ids, minlength=dim)[SHAPES * SHAPE_BINS :].astype(float)
-    rate = y.mean()
+    rate = bad_rows / max(rows, 1)
     told = (n >= SEEN) & (np.abs(bad - n * rate) >= DISTINCT * np.sqrt(n * rate * (1 - rate)))
     return np.where(told, np.cumsum(told) - 1, -1).astype(np.int32)
 
@@ -194,16 +220,6 @@ class Rows:
     def view(self, name: str) -> tuple[np.ndarray, np.ndarray]:
         return _lists(self.table[name])
 
-    def renumbered(self, numbers: np.ndarray) -> Rows:
-        """Word hashes replaced by their numbers, as ``text_features`` does."""
-        ids, at = self.view("text_ids")
-        shapes = SHAPES * SHAPE_BINS
-        new = np.where(ids < shapes, ids, shapes + numbers[np.maximum(ids - shapes, 0)])
-        stays = new >= np.where(ids < shapes, 0, shapes)
-        ends = np.concatenate([[0], np.cumsum(stays)])[at]
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(new[stays].astype(np.int32)))
-        return Rows(self.table.set_column(self.table.schema.get_field_index("text_ids"), "text_ids", lists), self.y)
-
     def part(self, mask: np.ndarray) -> Rows:
         return Rows(self.table.filter(pa.array(mask)), self.y[mask])
 
@@ -240,7 +256,7 @@ def _first(df: DataFrame, most: int) -> DataFrame:
 
 def _bring(rows: DataFrame, chosen: DataFrame, keys: list[str]) -> Rows:
     """Feature rows of a bounded choice; the choice has a documented bound, so it is broadcast."""
-    table = rows.join(F.broadcast(chosen), keys).select("doc_id", "bad", "meta_ids", "text_ids").toArrow().sort_by("doc_id")
+    table = rows.join(F.broadcast(chosen), keys).select("doc_id", *[c for c in chosen.columns if c not in ("doc_id", "file", "row")], "meta_ids", "text_ids").toArrow().sort_by("doc_id")
     return Rows(table, table["bad"].to_numpy().astype(float))
 
 
@@ -263,11 +279,15 @@ def assess(
         F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("bad")
     ).where("doc_id is not null")
     columns = (id_column, text_column, source_column, lang_column, length_column)
-    chosen = settle(_first(told, max_labelled), "sample")
+    third = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3))
+    chosen = settle(_first(told, max_labelled).withColumn("held", third == 2), "sample")
     ids = F.broadcast(chosen.select(F.col("doc_id").alias("_sampled")))
     few, few_place = located(docs.join(ids, column(docs, id_column) == ids["_sampled"], "left_semi"))
-    sample = _bring(features(few, few_place, *columns), chosen, ["doc_id"])
-    held = np.random.default_rng(5).permutation(len(sample.y)) % 3 == 2
+    known = features(few, few_place, *columns).join(F.broadcast(chosen.where("not held")), "doc_id")
+    numbers = telling_words(*word_counts(known))
+    dim = SHAPES * SHAPE_BINS + int(numbers.max()) + 1
+    sample = _bring(features(few, few_place, *columns, numbers), chosen, ["doc_id"])
+    held = sample.table["held"].to_numpy(zero_copy_only=False)
     fit_on, held_out = sample.part(~held), sample.part(held)
     if min(len(set(fit_on.y)), len(set(held_out.y))) < 2:
         none = F.lit(None).cast("double")
@@ -275,9 +295,6 @@ def assess(
             column(docs, id_column).alias("doc_id"), none.alias("text_score"), none.alias("meta_score"), none.alias("score"),
             F.lit(True).alias("kept"), place["file"].alias("file"), place["row"].alias("row"),
         )
-    numbers = telling_words(*fit_on.view("text_ids"), fit_on.y)
-    dim = SHAPES * SHAPE_BINS + int(numbers.max()) + 1
-    fit_on, held_out = fit_on.renumbered(numbers), held_out.renumbered(numbers)
     rows = settle(features(docs, place, *columns, numbers), "features")
 
     text, meta = View(dim), View(META_DIM)
