@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-@query("op1_pii")
+@query("op1_pii", sql.PII)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data and revealing terms of every text."""
     return pii.report(table(spark, sf_dir, "documents"))

@@ -55,3 +55,60 @@ FROM d JOIN b USING (s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_shingles
 HAVING count(*) * 10 >= n_shingles * 8
 """
+
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{0,2})"
+_BY_KIND = "\nUNION ALL ".join(
+    f"SELECT r, '{kind}' AS kind, {number} AS no, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM d"
+    for number, (kind, pattern) in enumerate(_PLAIN.items())
+)
+
+PII = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k AS ({_BY_KIND}),
+one AS (SELECT r, kind, no, generate_subscripts(m, 1) AS n, unnest(m) AS v, unnest(g[1:len(m)]) AS gl, unnest(g[2:len(m) + 1]) AS gr FROM k WHERE len(m) > 0),
+placed AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS digits,
+                  CAST(sum(length(gl) + length(v)) OVER (PARTITION BY r, kind ORDER BY n) AS BIGINT) AS stop FROM one),
+base AS (
+  SELECT r, kind, no, stop - length(v) AS start, stop, right(gl, 200) AS lft, left(gr, 200) AS rgt,
+         kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN digits ELSE lower(v) END AS entity
+  FROM placed
+  WHERE CASE kind
+    WHEN 'ip' THEN regexp_full_match(v, '{_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}')
+    WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum([
+      CAST(substr(reverse(digits), i + 1, 1) AS INT) * (1 + i % 2)
+      - CASE WHEN i % 2 = 1 AND CAST(substr(reverse(digits), i + 1, 1) AS INT) > 4 THEN 9 ELSE 0 END
+      for i in range(length(digits))]) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
+    ELSE TRUE END),
+side AS (SELECT r, kind, start AS place, entity, 0 AS side, lft AS s, start - length(lft) AS b FROM base
+         UNION ALL SELECT r, kind, start, entity, 1, rgt, stop FROM base),
+word AS (
+  SELECT r, kind, place, entity, side, b, generate_subscripts(w, 1) AS n, unnest(w) AS word, unnest(g[1:len(w)]) AS gap
+  FROM (SELECT *, regexp_extract_all(s, '\p{{L}}{{3,}}') AS w, string_split_regex(s, '\p{{L}}{{3,}}') AS g FROM side) WHERE len(w) > 0),
+near AS (
+  SELECT r, entity, lower(word) AS term, stop - length(word) AS start, stop
+  FROM (SELECT *, CAST(b + sum(length(gap) + length(word)) OVER (PARTITION BY r, kind, place, side ORDER BY n) AS BIGINT) AS stop FROM word)),
+pair AS (SELECT entity, term, count(DISTINCT r) AS both_n FROM near JOIN d USING (r) GROUP BY entity, term HAVING count(DISTINCT t) >= 2),
+dft AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT r, unnest(regexp_extract_all(lower(t), '\p{{L}}{{3,}}')) AS term FROM d) GROUP BY term),
+dfe AS (SELECT entity, count(DISTINCT r) AS de FROM base GROUP BY entity),
+told AS (
+  SELECT entity, term FROM pair JOIN dft USING (term) JOIN dfe USING (entity), (SELECT CAST(count(*) AS DOUBLE) AS n FROM d)
+  WHERE ln(n / de) > 0 AND (ln(n / de) + ln(both_n / df)) / ln(n / de) >= 0.6),
+span AS (SELECT r, kind, no, start, stop FROM base
+         UNION ALL SELECT DISTINCT r, 'term', 4, start, stop FROM near JOIN told USING (entity, term)),
+per AS (
+  SELECT r, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY no, start) AS spans,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY no, start) FILTER (WHERE kind <> 'term') AS own,
+         count(*) FILTER (WHERE kind = 'email') AS e, count(*) FILTER (WHERE kind = 'ip') AS i,
+         count(*) FILTER (WHERE kind = 'card') AS c, count(*) FILTER (WHERE kind = 'phone') AS p, count(*) FILTER (WHERE kind = 'term') AS m
+  FROM span GROUP BY r)
+SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone,
+       sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(m, 0) AS n_term
+FROM d LEFT JOIN per USING (r)
+"""
