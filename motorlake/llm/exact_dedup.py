@@ -104,8 +104,9 @@ def exact_duplicates(
     log = spark.read.parquet(log_path)
     decided = stream_decisions(log, log_path, state_path or scratch_path(spark, "dedup"), bytes_per_batch)
 
-    # Most digests were seen once; only the others travel to the rows.
-    several = decided.where("seen > 1").select("digest", "stays")
+    # Most digests were seen once; only the others travel to the rows.  They are stored first: the
+    # adaptive skew join splits a hot digest only where both sides are shuffled for the join.
+    several = settle(decided.where("seen > 1").select("digest", "stays"), "several")
     marked = settle(
         log.join(several, "digest", "left").select(
             "*", ((F.col("file") == F.col("stays.file")) & (F.col("row") == F.col("stays.row"))).alias("first")
@@ -130,8 +131,8 @@ def exact_duplicates(
         "digest", "doc_id", "file", "row", F.lit(False).alias("differs"), F.lit("").alias("own")
     ))
     key = ["digest", "differs", "own"]
-    groups = checked.groupBy(*key).agg(
-        F.max(_ranked("doc_id", "file", "row")).alias("stays"), F.count(F.lit(1)).alias("group_size")
+    groups = settle(
+        checked.groupBy(*key).agg(F.max(_ranked("doc_id", "file", "row")).alias("stays"), F.count(F.lit(1)).alias("group_size")), "groups"
     )
     grouped = checked.join(groups, key).select(
         "doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size",
