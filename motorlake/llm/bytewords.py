@@ -20,7 +20,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _powers: list[np.ndarray] = []
 
 
@@ -54,7 +54,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[base : offsets[-1] if len(offsets) else 0], offsets - base
 
 
-def bounded(batches: Iterator[pa.RecordBatch], text: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the text column of each holds about ``most`` bytes, or one row.
 
     Arrays made from a batch are many times its text, so this bounds a task's memory.

@@ -20,11 +20,15 @@ from motorlake.session import settle
 LOCATOR = T.StructType([T.StructField("file", T.StringType()), T.StructField("row", T.LongType())])
 
 
+#: Bounds of an Arrow batch: texts are long, and a batch is held on both sides of the pipe.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Let the tasks of this application import this package, wherever they run."""
+    """Let the tasks of this application import this package, wherever they run, in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
