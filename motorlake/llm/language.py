@@ -36,7 +36,7 @@ BUCKETS = 1 << 14
 TEMPER = 0.2
 STRENGTH = 10.0
 CHUNK = 1 << 20
-UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[^>]*>", re.S | re.I)
+UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[^>]*>", re.S | re.I)
 DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})\b", re.I)
 _MARK = np.arange(256, dtype=np.uint8)
 _MARK[65:91] += 32

@@ -51,3 +51,7 @@ def test_nothing_known(spark, docs):
     got = run(spark, none, [("http://a.org", "<p>x</p>")])
     assert got[0].lang is None and got[0].confidence == 0
     assert run(spark, docs, []) == {}
+
+
+def test_only_whole_names_are_unseen():
+    assert language.UNSEEN.sub(" ", "<head><title>no</title></head><head-line>a</head-line><template-box>b</template-box><style >no</style>c").split() == ["a", "b", "c"]

@@ -51,6 +51,18 @@ def test_layout_words():
     assert wrappers.blocks(tree, set()) == ["a"]
 
 
+def test_names_are_whole():
+    """Custom elements and empty svg hide nothing, and values of other attributes hide nothing."""
+    def text(body):
+        return wrappers.blocks(parse(body), set())
+
+    assert text("<p>a</p><svg-icon></svg-icon><p>b</p><title-bar>c</title-bar><select-box>d</select-box>") == ["a", "b", "c", "d"]
+    assert text("<p>a</p><svg/><p>b</p><svg width='1' /><p>c</p><svg><title>no</title></svg><p>d</p>") == ["a", "b", "c", "d"]
+    assert text("<article data-hidden='false'><p aria-label=\"hidden gems of Rome\">a</p><p data-style='x' title='style=display:none'>b</p></article>") == ["a", "b"]
+    assert text("<p hidden>no</p><p HIDDEN=''>no</p><p aria-hidden=true>no</p><p style=\"color:red; display: none\">no</p><p data-class='ad'>a</p><p class=ad>no</p>") == ["a"]
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<math/> here</p><object data='x'>instead</object>") == ["so x=2 holds here", "instead"]
+
+
 def test_tree_matching():
     a, b = parse("<div><h1>x</h1><p>1</p><p>2</p><div><p>q</p></div></div>"), parse("<div><h1>y</h1><p>1</p><table><tr><td>n</table><div><p>r</p></div></div>")
     assert len(match(a, b)) == 6
