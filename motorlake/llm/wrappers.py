@@ -4,7 +4,8 @@ Pages of one host are dealt into groups of about ``PAGES``; a host with a third
 groups.  In a group each page's tree is aligned with a few reference pages by simple tree matching.
 Nodes that carry the same text in nearly all alignments are the host's template; slots that vary are
 content.  Alignments of pages that are copies of each other say nothing about the template and are
-not counted.  Content is then read inside the article (or main) element where there is one, else from
+not counted: pages are copies if they agree in most of what varies between pages (each slot counts by
+the share of alignments in which it differs), however much boilerplate stands around it.  Content is then read inside the article (or main) element where there is one, else from
 the whole body, leaving out template nodes and elements that are by tag, class, id or role menus,
 headers, footers, sidebars, notices, adverts, forms or reader comments.
 
@@ -32,8 +33,8 @@ from motorlake.session import settle
 PAGES = 64
 #: Reference pages of a group, alignments that must speak, and their share with the same text.
 REFERENCES, SPEAK, SAME = 2, 5, 0.9
-#: Two pages that share so much of their text are copies.
-COPIES = 0.5
+#: Two pages that share so much of what varies on the host, or differ in so little of all, are copies.
+COPIES, DIFFER = 0.5, 0.05
 #: Elements that never hold main text, and words in class, id or role that mark such parts.
 DROPPED = frozenset("head nav aside footer form button dialog menu fieldset".split())
 BOILERPLATE = frozenset(
@@ -69,6 +70,23 @@ def dropped(node: Node, inside: bool) -> bool:
     return _marked(node, inside)
 
 
+def without_copies(aligned: list[list[tuple[int, bool, int]]]) -> list[list[tuple[int, bool, int]]]:
+    """The alignments with one reference that are not with a copy of it: (slot, same text, length) each."""
+    seen: dict[int, list[int]] = {}
+    for slots in aligned:
+        for v, s, _ in slots:
+            counts = seen.setdefault(v, [0, 0])
+            counts[0] += 1
+            counts[1] += not s
+
+    def speaks(slots: list[tuple[int, bool, int]]) -> bool:
+        varies = [(n * seen[v][1] / seen[v][0], s) for v, s, n in slots]
+        differs = sum(n for _, s, n in slots if not s)
+        return sum(w for w, s in varies if s) <= COPIES * sum(w for w, _ in varies) and 0 < differs >= DIFFER * sum(n for *_, n in slots)
+
+    return [slots for slots in aligned if speaks(slots)]
+
+
 def template_nodes(trees: list[Node]) -> set[int]:
     """ids of the nodes of ``trees`` that belong to the template of the group."""
     if len(trees) <= SPEAK:
@@ -78,17 +96,16 @@ def template_nodes(trees: list[Node]) -> set[int]:
         reference = trees[r]
         told: dict[int, list[int]] = {}
         linked: list[tuple[Node, Node]] = []
+        aligned = []
         for tree in trees:
             if tree is reference:
                 continue
             pairs = [(u, v) for u, v in match(tree, reference) if any(isinstance(x, str) for x in v.items)]
-            same = [[x for x in u.items if isinstance(x, str)] == [x for x in v.items if isinstance(x, str)] for u, v in pairs]
-            sizes = [sum(len(x) for x in v.items if isinstance(x, str)) for _, v in pairs]
             linked.extend(pairs)
-            if sum(n for n, s in zip(sizes, same, strict=True) if s) > COPIES * sum(sizes):
-                continue
-            for (_, v), s in zip(pairs, same, strict=True):
-                counts = told.setdefault(id(v), [0, 0])
+            aligned.append([(id(v), [x for x in u.items if isinstance(x, str)] == (own := [x for x in v.items if isinstance(x, str)]), sum(map(len, own))) for u, v in pairs])
+        for slots in without_copies(aligned):
+            for v, s, _ in slots:
+                counts = told.setdefault(v, [0, 0])
                 counts[0] += 1
                 counts[1] += s
         constant = {k for k, (n, s) in told.items() if n >= SPEAK and s >= SAME * n}

@@ -40,6 +40,19 @@ def test_template_without_marks(spark):
     assert set(same.values()) == {"All\nthe same", "alone"}
 
 
+def test_boilerplate_outweighs_the_story(spark):
+    """Three times as much boilerplate as story, in many slots or in one, is template; copies still prove none."""
+    notice = "These terms hold for every visit to this place and for all that is shown on it, as ever. "
+    many = "".join(f"<p>Menu entry {c * 8}</p>" for c in "abcdefgh")
+    data = [(f"http://k.org/{k}", f"<div>{many}</div><div><p>Story {k} of {k * k * 7919} and more {k}</p></div><div><p>Kept</p></div>") for k in range(20)]
+    data += [(f"http://l.org/{k}", f"<div><p>Story {k} of {k * k * 7919} and more</p></div><div><p>{notice * 2}</p></div>") for k in range(20)]
+    got = run(spark, data)
+    assert set(got.values()) == {f"Story {k} of {k * k * 7919} and more {k}" for k in range(20)} | {f"Story {k} of {k * k * 7919} and more" for k in range(20)}
+    body = "".join(f"<p>A sentence that all copies have, number {k}.</p>" for k in range(20))
+    near = run(spark, [(f"http://m.org/{k}", f"<div><p>Read {k}</p>{body}</div>") for k in range(20)])
+    assert all(t.count("A sentence") == 20 for t in near.values())
+
+
 def test_groups_are_bounded(spark):
     data = [(f"http://f.org/{k}", page(k, f"<article><p>text {k}</p></article>")) for k in range(50)] + [("http://f.org/0", page(0, "<article><p>text 0</p></article>"))]
     assert run(spark, data, pages_per_group=8) == {k: f"text {k % 50}" for k in range(51)}
