@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from dataclasses import dataclass, field
@@ -16,6 +17,8 @@ INLINE = frozenset(
     "object math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mmultiscripts mprescripts "
     "mtable mtr mlabeledtr mtd mstyle mspace mpadded mphantom menclose semantics annotation annotation-xml".split()
 )
+#: Elements that make a layout; others come and go with the text.
+STRUCTURE = frozenset("html body div section article main nav header footer aside form".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CLOSES_UP_TO = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 
@@ -44,10 +47,16 @@ class Node:
     size: int = 1
     #: Does an article or main element stand below?
     holds_content: bool = False
+    #: Hash of the labels from the root down, and of these with the node's own text.
+    path: bytes = b""
+    key: int = 0
 
     def children(self) -> list[Node]:
         return [x for x in self.items if isinstance(x, Node)]
 
+    def own(self) -> list[str]:
+        return [x for x in self.items if isinstance(x, str)]
+
     def text(self) -> str:
         return "\n".join(t for t in (x if isinstance(x, str) else x.text() for x in self.items) if t)
 
@@ -116,6 +125,22 @@ def parse(source: str) -> Node:
     return root
 
 
+def _hash(before: bytes, text: str) -> bytes:
+    return hashlib.blake2b(before + text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+
+
+def shape(root: Node) -> int:
+    """Pages of one layout have one shape: the paths of their structural elements, however often each stands."""
+    found, todo = set(), [(root, b"")]
+    while todo:
+        node, path = todo.pop()
+        if node.marks or node.tag in STRUCTURE:
+            path = _hash(path, re.sub(r"[0-9]+", "0", node.label))
+            found.add(path)
+        todo.extend((c, path) for c in node.children())
+    return int.from_bytes(_hash(b"".join(sorted(found)), ""), "big", signed=True)
+
+
 def _label(root: Node) -> None:
     """Labels and sizes from the leaves up, without recursion (pages may nest deeply)."""
     order, todo = [], [root]
@@ -128,6 +153,12 @@ def _label(root: Node) -> None:
         below = node.children()
         node.size = 1 + sum(c.size for c in below)
         node.holds_content = any(c.holds_content or c.tag in ("article", "main") for c in below)
+    for node in order:  # parents come first
+        node.path = _hash(node.path, node.label)
+        if own := node.own():
+            node.key = int.from_bytes(_hash(node.path, "\n".join(own)), "big", signed=True)
+        for child in node.children():
+            child.path = node.path
 
 
 def match(a: Node, b: Node, limit: int = 200) -> list[tuple[Node, Node]]:

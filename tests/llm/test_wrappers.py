@@ -53,6 +53,18 @@ def test_boilerplate_outweighs_the_story(spark):
     assert all(t.count("A sentence") == 20 for t in near.values())
 
 
+def test_every_layout_and_small_hosts_vote(spark):
+    """A layout of a tenth of a host's pages, over many groups, and hosts of three pages have templates too."""
+    def body(k):
+        story = f"<p>Story {k} of {k * k * 7919}</p><p>It ends {k * 31}</p>"
+        return f"<div class='old'><div class='x'><p>Old frame</p></div><div>{story}</div></div>" if k % 10 == 0 else f"<div><div><p>New frame</p></div><div>{story}</div></div>"
+
+    want = {k: f"Story {k} of {k * k * 7919}\nIt ends {k * 31}" for k in range(160)}
+    assert run(spark, [(f"http://n.org/{k}", body(k)) for k in range(160)], pages_per_group=16) == want
+    small = run(spark, [(f"http://o{k % 2}.org/{k}", body(k * 10)) for k in range(7)])
+    assert small == {k: want[k * 10] for k in range(7)}
+
+
 def test_groups_are_bounded(spark):
     data = [(f"http://f.org/{k}", page(k, f"<article><p>text {k}</p></article>")) for k in range(50)] + [("http://f.org/0", page(0, "<article><p>text 0</p></article>"))]
     assert run(spark, data, pages_per_group=8) == {k: f"text {k % 50}" for k in range(51)}
