@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from motorlake.llm.html_tree import Node, match, parse, shape
-from motorlake.llm.rows import column, ship
+from motorlake.llm.rows import column, located
 from motorlake.session import settle
 
 PAGES = 64
@@ -164,7 +164,7 @@ def dealt(
     pages_per_group: int = PAGES,
 ) -> DataFrame:
     """host, part, page_id, url, html: the pages, those of a group together."""
-    ship(pages.sparkSession)
+    pages, place = located(pages)
 
     @F.arrow_udf("bigint")
     def layout(html: pa.Array) -> pa.Array:
@@ -172,8 +172,8 @@ def dealt(
 
     rows = pages.select(
         column(pages, id_column).alias("page_id"), column(pages, url_column).cast("string").alias("url"),
-        F.coalesce(column(pages, html_column).cast("string"), F.lit("")).alias("html"),
-    ).withColumn("host", F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))).withColumn("layout", layout("html")).withColumn("place", F.xxhash64("page_id", "url", "html"))
+        F.coalesce(column(pages, html_column).cast("string"), F.lit("")).alias("html"), F.xxhash64(place).alias("place"),
+    ).withColumn("host", F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))).withColumn("layout", layout("html"))
     # Only hosts of more than one group are joined back; stored, so that the planner knows their size.
     size = F.lit(pages_per_group)
     layouts = settle(rows.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n")), "layouts")
@@ -182,7 +182,8 @@ def dealt(
         .where(F.col("pages") > size).select("host", "rare"), "hosts"
     )
     wide = settle(layouts.where(F.col("n") >= size).join(large.select("host"), "host", "left_semi").select("host", "layout", F.ceil(F.col("n") / size).alias("groups")), "wide")
-    # Which group a page is in follows from its layout and its own values, so reruns agree.  Hosts of one group are part 0; layouts of less than a group share groups.
+    # Which group a page is in follows from its layout and its own place, so reruns agree and equal
+    # pages are dealt out.  Hosts of one group are part 0; layouts of less than a group share groups.
     part = (
         F.when(F.col("groups").isNotNull(), F.xxhash64("layout", F.pmod("place", F.col("groups"))))
         .when(F.col("rare").isNotNull(), F.xxhash64(F.pmod("layout", F.col("rare"))))

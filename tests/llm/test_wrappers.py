@@ -65,6 +65,12 @@ def test_every_layout_and_small_hosts_vote(spark):
     assert small == {k: want[k * 10] for k in range(7)}
 
 
+def test_repeated_rows_are_dealt_out(spark):
+    rows = [(1, "http://q.org/1", "<p>Same</p>", "z", "z", "z", "z")] * 200
+    deal = wrappers.dealt(spark.createDataFrame(rows, PAGES), pages_per_group=20).groupBy("host", "part").count()
+    assert deal.count() == 10
+
+
 def test_groups_are_bounded(spark):
     data = [(f"http://f.org/{k}", page(k, f"<article><p>text {k}</p></article>")) for k in range(50)] + [("http://f.org/0", page(0, "<article><p>text 0</p></article>"))]
     assert run(spark, data, pages_per_group=8) == {k: f"text {k % 50}" for k in range(51)}
