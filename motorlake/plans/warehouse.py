@@ -91,16 +91,34 @@ class SilverTables:
 
 
 def load_silver(w: Warehouse, sf_dir: str, snapshot_date: str = SNAPSHOT_DATE) -> SilverTables:
-    """Clean and store all ten sets; the sets do not depend on each other."""
-    side_by_side(
-        [
-            lambda n=n: w.write(f"silver/{n}", silver_table(w.spark, sf_dir, n, snapshot_date))
-            for n in SETS
-        ]
-    )
+    """Store all ten sets; the sets do not depend on each other.
+
+    bronze/<set> has every input row, raw values verbatim, with the rule that rejects it; silver/<set>
+    and quarantine/<set> are its two parts.
+    """
+
+    def load(n: str) -> None:
+        tagged = w.write(f"bronze/{n}", silver.tag_rows(raw_set(w.spark, sf_dir, n), n, snapshot_date, ["_source_file", "_row_uid"]))
+        w.write(f"silver/{n}", silver.clean_rows(tagged, n, SILVER_BATCH, PROCESSED_AT))
+        w.write(f"quarantine/{n}", silver.quarantine_rows(tagged, PROCESSED_AT))
+
+    side_by_side([lambda n=n: load(n) for n in SETS])
+    check_conserved(w, sf_dir)
     return SilverTables(w)
 
 
+def check_conserved(w: Warehouse, sf_dir: str) -> None:
+    """Fail unless each set's input rows are its clean and rejected rows; one job counts all."""
+    every = None
+    for n in SETS:
+        for layer, df in (("input", raw_set(w.spark, sf_dir, n)), ("silver", w.table(f"silver/{n}")), ("quarantine", w.table(f"quarantine/{n}"))):
+            rows = df.select(F.lit(n).alias("dataset"), F.lit(layer).alias("layer"))
+            every = rows if every is None else every.unionAll(rows)
+    counts = {(r["dataset"], r["layer"]): r["count"] for r in every.groupBy("dataset", "layer").count().collect()}
+    for n in SETS:
+        silver.assert_conserved(*[counts.get((n, layer), 0) for layer in ("input", "silver", "quarantine")], n)
+
+
 def silver_tables(spark: SparkSession, sf_dir: str) -> SilverTables:
     return SilverTables(open_warehouse(spark, sf_dir))
 

@@ -154,6 +154,29 @@ def test_second_load_adds_nothing(spark, sf_dir):
         assert quality.duplicates(w.table(name), [key]).count() == 0
 
 
+def test_load_keeps_rejected_rows(spark, sf_dir, monkeypatch):
+    from motorlake.plans import warehouse as wh
+    from motorlake.session import scratch_path
+
+    def with_copies(s, d, name):
+        raw = raw_set(s, d, name)
+        return raw.unionAll(raw.withColumn("_row_uid", F.concat(F.lit("again-"), F.col("_row_uid").cast("string"))))
+
+    raw_set = wh.raw_set
+    monkeypatch.setattr(wh, "SETS", ["dealers", "service"])
+    monkeypatch.setattr(wh, "raw_set", with_copies)
+    w = wh.Warehouse(spark, scratch_path(spark, "rejected"))
+    clean = wh.load_silver(w, sf_dir)
+    for n in wh.SETS:
+        rows = 2 * raw_set(spark, sf_dir, n).count()
+        rejected = w.table(f"quarantine/{n}")
+        assert w.table(f"bronze/{n}").count() == rows == clean[n].count() + rejected.count()
+        assert rejected.where("_quarantine_rule = 'DUPLICATE_KEY' and _quarantine_reason is not null").count() >= rows // 2
+    w.write("silver/dealers", clean["service"].limit(0))
+    with pytest.raises(ValueError, match="dealers"):
+        wh.check_conserved(w, sf_dir)
+
+
 def test_diagnostic_id(spark):
     import hashlib
 
