@@ -16,7 +16,7 @@ from motorlake.operators.slots import streak_alerts
 from motorlake.plans import silver
 from motorlake.session import configure, scratch_path
 from motorlake.sources.adapters import GIVEN, diagnostic_messages, raw_set, table, telemetry_messages
-from motorlake.streaming import alerts, contracts, landing, sessions
+from motorlake.streaming import alerts, batches, contracts, landing, sessions
 
 SECOND = "strftime({}, '%Y-%m-%d %H:%M:%S') || '.000000'"
 
@@ -241,9 +241,11 @@ def c11(spark, sf_dir):
 
 @query("c11_streak_alerts_stream", sql(f"SELECT vehicle_id, {STAMP.format('ts')} AS timestamp, seq FROM streaks"))
 def c11_stream(spark, sf_dir):
-    """The same alerts from the stateful stream."""
+    """The same alerts from the stream, batch by batch."""
     marked = events_stream(spark, sf_dir).withColumn("hit", F.col("vibration") >= 10)
-    return run_to_table(spark, alerts.streak_alerts_stream(marked, "vehicle_id", ["timestamp", "seq"], "hit"), "streaks")
+    out = scratch_path(spark, "streaks")
+    batches.run_batches(marked, batches.streak_writer(out, scratch_path(spark, "carry"), "vehicle_id", "timestamp", "seq", "hit"), scratch_path(spark, "cp"))
+    return spark.read.schema(marked.schema).parquet(out).select("vehicle_id", "timestamp", "seq")
 
 
 @query(
@@ -298,8 +300,10 @@ def c14(spark, sf_dir):
 SELECT vehicle_id, CAST(ts AS DATE) AS day, rpm, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY vehicle_id, CAST(ts AS DATE) ORDER BY ts)) AS d FROM tel_raw) GROUP BY 1, 2"""),
 )
 def c14_active(spark, sf_dir):
-    """Exact operating time per vehicle and day from the stateful stream."""
-    out = run_to_table(spark, sessions.active_seconds_stream(events_stream(spark, sf_dir), 21600), "active")
+    """Exact operating time per vehicle and day from the stream, batch by batch."""
+    path = scratch_path(spark, "active")
+    batches.run_batches(events_stream(spark, sf_dir), batches.active_seconds_writer(path, scratch_path(spark, "carry"), 21600), scratch_path(spark, "cp"))
+    out = spark.read.schema("vehicle_id string, day long, active_micros long, pings long").parquet(path)
     day = F.date_from_unix_date(F.col("day").cast("int"))
     return out.groupBy("vehicle_id", day.alias("day")).agg(F.sum("active_micros").alias("active_micros"), F.sum("pings").alias("pings"))
 

@@ -131,6 +131,31 @@ def test_streak_state_survives_a_restart(spark, tmp_path):
     assert run() == [3]
 
 
+def test_batches_carry_on(spark, tmp_path):
+    """Runs and operating time across batches, replayed and late ones, with all columns of the alerts."""
+    from motorlake.streaming import batches
+
+    out, carry = str(tmp_path / "o"), str(tmp_path / "c")
+    at = lambda m: datetime(2026, 9, 1, 10, m)
+    kinds = "vehicle_id string, timestamp timestamp_ntz, seq long, hit boolean, rpm int, score double"
+    parts = [
+        [("v", at(1), 1, True, 9, .1), ("v", at(2), 2, True, 9, .2), ("w", at(2), 9, True, 9, .3)],
+        [("x", at(3), 20, True, 9, .3)],
+        [("v", at(3), 3, True, 9, .4), ("v", at(4), 4, True, 0, .5), ("w", at(3), 10, False, 9, .6), ("w", at(4), 11, True, 9, .7)],
+        [("v", at(5), 5, True, 9, .8), ("v", at(6), 6, True, 9, .9), ("w", at(5), 12, True, 9, .8), ("w", at(6), 13, True, 9, .9), ("x", at(2), 21, None, 9, .3)],
+    ]
+    frames = [spark.createDataFrame(p, kinds) for p in parts]
+    write = batches.streak_writer(out, carry, "vehicle_id", "timestamp", "seq", "hit", 3)
+    for k in (0, 1, 1, 2, 2, 3):
+        write(frames[k], k)
+    assert sorted((r["seq"], r["rpm"], r["score"]) for r in spark.read.parquet(out).collect()) == [(3, 9, .4), (6, 9, .9), (13, 9, .9)]
+    write = batches.active_seconds_writer(f"{out}2", f"{carry}2", 3600)
+    for k in (0, 1, 1, 2, 3):
+        write(frames[k], k)
+    got = {r["vehicle_id"]: (r["s"], r["p"]) for r in spark.read.parquet(f"{out}2").groupBy("vehicle_id").agg(F.sum("active_micros").alias("s"), F.sum("pings").alias("p")).collect()}
+    assert got == {"v": (240_000_000, 6), "w": (240_000_000, 5), "x": (0, 2)}
+
+
 def test_one_minute_and_session_windows(spark):
     df = spark.createDataFrame([reading("VH-1", m, m) for m in (0, 1, 4, 30)], TEL)
     assert sessions.telemetry_1m(df).count() == 4
