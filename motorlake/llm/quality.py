@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from motorlake.llm import bytewords
-from motorlake.llm.rows import column, located, text_of, without
+from motorlake.llm.rows import column, free_name, located, text_of, without
 from motorlake.session import settle
 
 WORD_BITS = 18
@@ -260,6 +260,18 @@ def _bring(rows: DataFrame, chosen: DataFrame, keys: list[str]) -> Rows:
     return Rows(table, table["bad"].to_numpy().astype(float))
 
 
+def one_row_each(docs: DataFrame, place: Column, ids: DataFrame, id_column: str) -> DataFrame:
+    """The first row by place of each id in ``ids`` (column _sampled): repeated ids must not lift the bound or outweigh others."""
+    at = free_name(docs, "_at")
+    kept = docs.select("*", place.alias(at))
+    first = (
+        kept.select(column(docs, id_column).alias("_sampled"), F.col(at).alias("_first")).join(ids, "_sampled", "left_semi")
+        .groupBy("_sampled").agg(F.min("_first").alias("_first"))
+    )
+    first = F.broadcast(settle(first, "firsts"))
+    return kept.join(first, (kept[at]["file"] == first["_first"]["file"]) & (kept[at]["row"] == first["_first"]["row"]), "left_semi").drop(at)
+
+
 def assess(
     docs: DataFrame,
     labels: DataFrame,
@@ -282,7 +294,7 @@ def assess(
     third = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3))
     chosen = settle(_first(told, max_labelled).withColumn("held", third == 2), "sample")
     ids = F.broadcast(chosen.select(F.col("doc_id").alias("_sampled")))
-    few, few_place = located(docs.join(ids, column(docs, id_column) == ids["_sampled"], "left_semi"))
+    few, few_place = located(one_row_each(docs, place, ids, id_column))
     known = features(few, few_place, *columns).join(F.broadcast(chosen.where("not held")), "doc_id")
     numbers = telling_words(*word_counts(known))
     dim = SHAPES * SHAPE_BINS + int(numbers.max()) + 1

@@ -72,3 +72,11 @@ def test_calibration_and_fit():
     y = (rnd.random(4000) < 1 / (1 + np.exp(-(2 * x - 1)))).astype(float)
     (slope,), shift = quality.logistic(x[:, None], y)
     assert abs(slope - 2) < 0.25 and abs(shift + 1) < 0.2
+
+
+def test_a_repeated_id_is_fitted_once(spark):
+    from motorlake.llm.rows import located
+
+    docs, place = located(spark.createDataFrame([(1, f"copy {k}") for k in range(50)] + [(2, "two"), (3, "three"), (None, "none")], "doc_id long, text string"))
+    ids = spark.createDataFrame([(1,), (2,)], "_sampled long")
+    assert sorted(r.doc_id for r in quality.one_row_each(docs, place, ids, "doc_id").collect()) == [1, 2]
