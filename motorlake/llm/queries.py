@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from motorlake.llm import decontaminate, exact_dedup, language, mixing, near_dedup, pii, quality, repeats, sql, token_counts, wrappers
+from motorlake.llm import (
+    decontaminate,
+    exact_dedup,
+    language,
+    mixing,
+    near_dedup,
+    packing,
+    pii,
+    quality,
+    repeats,
+    sql,
+    token_counts,
+    wrappers,
+)
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -88,3 +101,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts, with the row of each that stays."""
     found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op12_pack_sequences")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 1024 tokens."""
+    found = packing.pack(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
