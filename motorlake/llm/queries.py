@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from motorlake.llm import (
+    alignment,
     decontaminate,
     exact_dedup,
     language,
@@ -108,3 +109,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences of 1024 tokens."""
     found = packing.pack(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op13_align_tokenizers")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers in every text, weighed by the documents that hold them."""
+    return alignment.align(table(spark, sf_dir, "documents"))
