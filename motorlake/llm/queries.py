@@ -15,6 +15,7 @@ from motorlake.llm import (
     near_dedup,
     packing,
     pii,
+    prefix_trie,
     quality,
     repeats,
     sql,
@@ -104,6 +105,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op11_conversation_trie", sql.TRIE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op12_pack_sequences")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences of 1024 tokens."""

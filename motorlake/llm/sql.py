@@ -112,3 +112,26 @@ SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0)
        sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(m, 0) AS n_term
 FROM d LEFT JOIN per USING (r)
 """
+
+#: Bit by bit, since DuckDB has no crc32: a step of -1 shifts, any other takes in a byte.
+_CRC32 = """list_reduce(
+    list_concat([4294967295::BIGINT], flatten([[ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(conv_id::VARCHAR, '')])),
+    lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END)"""
+
+TRIE = rf"""
+WITH t AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, CAST(xor({_CRC32}, 4294967295) % 9 AS BIGINT) AS h FROM t),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.own[:h.h], []), h.own[h.h + 1:]) AS seq FROM h LEFT JOIN t AS b ON b.conv_id = h.conv_id - h.conv_id % 5),
+m AS (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS depth FROM c),
+n AS (SELECT depth, seq[:depth] AS p, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(CASE WHEN len(seq) = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+      FROM m GROUP BY depth, seq[:depth]),
+k AS (SELECT depth - 1 AS depth, p[:depth - 1] AS p, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(p[depth].t) ELSE 0 END AS own FROM n LEFT JOIN k USING (depth, p)),
+u AS (SELECT unnest(range(0, depth + 1)) AS d, p, own, n_children FROM f),
+s AS (SELECT d AS depth, p[:d] AS p, CAST(sum(own) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM u GROUP BY 1, 2)
+SELECT f.conv_id, f.depth, g.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256
+FROM f JOIN s USING (depth, p) LEFT JOIN n AS g ON g.depth = f.depth - 1 AND g.p = f.p[:f.depth - 1]
+"""
