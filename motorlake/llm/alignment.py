@@ -33,7 +33,9 @@ from motorlake.session import settle
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Text of a block of documents, and segments a task remembers.
-BLOCK_CHARS, REMEMBERED = 4 << 20, 300_000
+BLOCK_CHARS, REMEMBERED = 1 << 20, 250_000
+#: Segments aligned in one call: both libraries are slower on long strings.
+AT_ONCE = 2_000
 
 
 @functools.lru_cache(maxsize=1)
@@ -100,6 +102,12 @@ def same_bytes(a: list[bytes], b: list[bytes], single: list[bool]) -> np.ndarray
     return np.asarray([by_bytes.get(x, -1) if x else -1 for x in a], np.int64)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    ordered = np.sort(values)
+    return ordered[np.flatnonzero(np.diff(ordered, prepend=ordered[:1] - 1))]
+
+
 class Aligner:
     """Groups and links of segments, each aligned once as long as it is remembered.  A pair is one number, a * |B| + b."""
 
@@ -121,7 +129,7 @@ class Aligner:
         while start < len(new):  # odd segments stand alone, others side by side
             stop = start + 1
             if not wordcuts.is_odd(new[start]):
-                while stop < len(new) and stop < start + 50_000 and not wordcuts.is_odd(new[stop]):
+                while stop < len(new) and stop < start + AT_ONCE and not wordcuts.is_odd(new[stop]):
                     stop += 1
             self._align([wordcuts.segment(k) for k in new[start:stop]])
             start = stop
@@ -140,7 +148,8 @@ class Aligner:
             self.strings.append("")
             return
         end_a, end_b = np.cumsum(self.a.widths[a]), np.cumsum(self.b.widths[b])
-        ends = np.intersect1d(end_a, end_b, assume_unique=True)
+        ends = np.sort(np.concatenate([end_a, end_b]))
+        ends = ends[:-1][ends[1:] == ends[:-1]]
         group_a, group_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
         many_a, many_b = np.bincount(group_a, minlength=len(ends)), np.bincount(group_b, minlength=len(ends))
         first_b = np.cumsum(many_b) - many_b
@@ -171,6 +180,12 @@ class Aligner:
             start = stop
 
 
+@functools.lru_cache(maxsize=1)
+def _aligner(a_path: str, b_path: str) -> Aligner:
+    """The aligner of this Python worker, which serves one task after the other."""
+    return Aligner(*_pair(a_path, b_path)[:2])
+
+
 def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """One row per block of documents: their figures and segments, the segments' links, and the block's pairs;
     at the end of a task one row of its vector.
@@ -180,7 +195,7 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, twin = _pair(a_path, b_path)
-        aligner, vector = Aligner(a, b), np.zeros(len(a.bytes), np.int64)
+        aligner, vector = _aligner(a_path, b_path), np.zeros(len(a.bytes), np.int64)
         count, task = len(b.bytes), TaskContext.get().partitionId()
         names = ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "sha", "n_segments", "segments", "n_own", "own", "pair", "docs", "same", "same_docs"]
         block = 0
@@ -207,7 +222,8 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             found = [n if ok else n[:0] for n, ok in zip(found, good, strict=True)]
             lengths = np.asarray([len(n) for n in found], np.int64)
             flat = np.concatenate(found) if found else np.empty(0, np.int32)
-            own, local = np.unique(flat, return_inverse=True)
+            own = _distinct(flat)
+            local = np.searchsorted(own, flat)
             ends = np.concatenate([[0], np.cumsum(lengths)])
 
             def by_document(values):
@@ -218,11 +234,12 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             figures = {"n_a": by_document(aligner.sizes.flat[4 * flat]), "n_b": by_document(aligner.sizes.flat[4 * flat + 1])}
             figures |= {"n_groups": by_document(aligner.sizes.flat[4 * flat + 2]), "n_links": by_document(aligner.links.lengths(flat))}
             # Pairs of each document, once.
-            once = np.unique(np.repeat(np.arange(len(texts)), lengths) * len(own) + local)
+            once = _distinct(np.repeat(np.arange(len(texts)), lengths) * len(own) + local)
             doc, segment = np.divmod(once, max(len(own), 1))
             many = aligner.links.lengths(own[segment])
-            held = np.unique((np.repeat(doc, many) << 32) + aligner.links.take(own[segment])) & 0xFFFFFFFF
-            pair, n_docs = np.unique(held, return_counts=True)
+            held = np.sort(_distinct((np.repeat(doc, many) << 32) + aligner.links.take(own[segment])) & 0xFFFFFFFF)
+            first = np.flatnonzero(np.diff(held, prepend=-1))
+            pair, n_docs = held[first], np.diff(first, append=len(held))
             left, right = np.divmod(pair, count)
             twins = twin[left] == right
             vector[left[twins]] += n_docs[twins]
@@ -232,13 +249,16 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         ids, texts, size = [], [], 0
         id_type = None
         for batch in batches:
-            id_type = batch.column(0).type
-            ids.append(batch.column(0))
-            texts += batch.column(1).to_pylist()
-            size += sum(map(len, texts[-batch.num_rows :]))
-            if size >= BLOCK_CHARS:
-                yield finished(pa.concat_arrays(ids), texts)
-                ids, texts, size = [], [], 0
+            id_type, start = batch.column(0).type, 0
+            for k, text in enumerate(batch.column(1).to_pylist(), 1):
+                texts.append(text)
+                size += len(text)
+                if size >= BLOCK_CHARS or k == batch.num_rows:
+                    ids.append(batch.column(0).slice(start, k - start))
+                    start = k
+                if size >= BLOCK_CHARS:
+                    yield finished(pa.concat_arrays(ids), texts)
+                    ids, texts, size = [], [], 0
         if texts:
             yield finished(pa.concat_arrays(ids), texts)
         if id_type is not None:
