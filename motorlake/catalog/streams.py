@@ -9,14 +9,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from motorlake import config
+from motorlake.catalog.actions import _ISO, _action_sql
 from motorlake.catalog.registry import query
-from motorlake.catalog.scoring import sensor_forest
+from motorlake.catalog.scoring import once, sensor_forest
 from motorlake.catalog.sql import BLOCKS, DAY, STAMP, sql
 from motorlake.operators.slots import streak_alerts
-from motorlake.plans import silver
-from motorlake.session import configure, scratch_path
+from motorlake.plans import actions, silver
+from motorlake.plans.warehouse import open_warehouse
+from motorlake.session import configure, scratch_path, settle
 from motorlake.sources.adapters import GIVEN, diagnostic_messages, raw_set, table, telemetry_messages
 from motorlake.streaming import alerts, batches, contracts, landing, sessions
+from motorlake.streaming.action_log import ActionLog
 
 SECOND = "strftime({}, '%Y-%m-%d %H:%M:%S') || '.000000'"
 
@@ -199,14 +202,17 @@ def c8(spark, sf_dir):
 
 @query(
     "c9_score_stream",
-    sql(f"SELECT vehicle_id, {STAMP.format('ts')} AS timestamp, TRUE AS in_range, TRUE AS map_fits FROM tel_raw"),
+    sql(f"""SELECT vehicle_id, {STAMP.format('ts')} AS timestamp, round(score, 4) AS anomaly_score_shown, score >= threshold AS is_anomaly,
+CASE WHEN score >= threshold AND temp > {config.STREAM_TEMPERATURE_FLAG[1]} OR score >= threshold AND temp < {config.STREAM_TEMPERATURE_FLAG[0]} THEN CAST(temp AS DOUBLE) END AS temperature,
+CASE WHEN score >= threshold AND vib10 / 10.0 > {config.STREAM_VIBRATION_FLAG} THEN vib10 / 10.0 END AS vibration, round(threshold, 4) AS decision_threshold
+FROM sensor_stream JOIN sensor_scored USING (uid), (SELECT * FROM sensor_limit)"""),
 )
 def c9(spark, sf_dir):
-    """Stream scores with the fixed centring: every event once, its score and its map of flagged values."""
+    """Stream scores with the fixed centring, flags and out-of-range readings."""
     scored = alerts.score_stream(events_stream(spark, sf_dir), sensor_forest(spark, sf_dir))
     shown = scored.select(
-        "vehicle_id", "timestamp", F.col("anomaly_score_shown").between(0, 1).alias("in_range"),
-        ((F.size("anomalous_features") > 0) <= F.col("is_anomaly")).alias("map_fits"),
+        "vehicle_id", "timestamp", "anomaly_score_shown", "is_anomaly",
+        *[F.try_element_at("anomalous_features", F.lit(c)).alias(c) for c in ("temperature", "vibration")], "decision_threshold",
     )
     return run_to_table(spark, shown, "scored")
 
@@ -239,13 +245,122 @@ def c11(spark, sf_dir):
     return streak_alerts(tel, "vehicle_id", "timestamp", "seq", "hit", 3).drop("hit")
 
 
-@query("c11_streak_alerts_stream", sql(f"SELECT vehicle_id, {STAMP.format('ts')} AS timestamp, seq FROM streaks"))
+#: Some readings arrive an hour or two days after their time; a batch brings what arrives in ten days.
+BLOCKS["arriving"] = """
+SELECT *, CAST(floor(epoch(ts + CASE WHEN seq % 11 = 3 THEN INTERVAL 2 DAY WHEN seq % 5 = 1 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END) / 864000) AS BIGINT) AS part FROM tel_raw"""
+BLOCKS["marks"] = """
+SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS mark FROM arriving GROUP BY part"""
+BLOCKS["timely"] = "SELECT arriving.*, coalesce(ts < mark, FALSE) AS late FROM arriving JOIN marks USING (part)"
+BLOCKS["timely_hits"] = """
+SELECT *, vib10 >= 100 AS hit, sum(CASE WHEN vib10 >= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY vehicle_id ORDER BY ts, seq) AS island FROM timely WHERE NOT late"""
+BLOCKS["timely_streaks"] = """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id, island ORDER BY ts, seq) AS streak FROM timely_hits WHERE hit) WHERE streak % 3 = 0"""
+_READING = f"vehicle_id, {STAMP.format('ts')} AS timestamp, rpm, CAST(temp AS DOUBLE) AS temperature, bat10 / 10.0 AS battery, vib10 / 10.0 AS vibration, seq"
+
+
+def readings_by_arrival(spark, sf_dir, delayed):
+    """All readings with the number of the batch that brings them."""
+    configure(spark)
+    rows = raw_set(spark, sf_dir, "telemetry").select(
+        "vehicle_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "rpm", F.col("temperature").cast("double").alias("temperature"),
+        F.col("battery").cast("double").alias("battery"), F.col("vibration").cast("double").alias("vibration"), F.col("_row_seq").alias("seq"),
+    )
+    seconds = F.unix_timestamp(F.col("timestamp").cast("timestamp"))
+    if delayed:
+        seconds = seconds + F.when(F.col("seq") % 11 == 3, 172_800).when(F.col("seq") % 5 == 1, 3_600).otherwise(0)
+    return rows.withColumn("hit", F.col("vibration") >= 10).withColumn("part", F.floor(seconds / 864_000))
+
+
+def replay(spark, rows, write, writer=None):
+    """Let the batches of ``rows`` arrive one after the other, each as one micro-batch of a stream that is started again."""
+    source, checkpoint = scratch_path(spark, "arriving"), scratch_path(spark, "cp")
+    writer = writer or write
+    for r in rows.select("part").distinct().orderBy("part").collect():  # one number for ten days
+        rows.where(F.col("part") == r["part"]).drop("part").write.mode("append").parquet(source)
+        batches.run_batches(spark.readStream.schema(rows.drop("part").schema).parquet(source), write, checkpoint)
+    writer.close(spark, rows.drop("part"))
+    return writer
+
+
+def streak_replay(spark, sf_dir, delayed):
+    """The stream of all readings, run once per application."""
+    return once(f"streaks-{delayed}", spark, sf_dir, lambda: _streak_replay(spark, sf_dir, delayed))
+
+
+def _streak_replay(spark, sf_dir, delayed):
+    rows = readings_by_arrival(spark, sf_dir, delayed)
+    writer = batches.streak_writer(scratch_path(spark, "streaks"), "vehicle_id", "timestamp", "seq", "hit", dict(rows.dtypes))
+    return replay(spark, rows, writer)
+
+
+@query("c11_streak_alerts_stream", sql(f"SELECT {_READING} FROM streaks"))
 def c11_stream(spark, sf_dir):
-    """The same alerts from the stream, batch by batch."""
-    marked = events_stream(spark, sf_dir).withColumn("hit", F.col("vibration") >= 10)
-    out = scratch_path(spark, "streaks")
-    batches.run_batches(marked, batches.streak_writer(out, scratch_path(spark, "carry"), "vehicle_id", "timestamp", "seq", "hit"), scratch_path(spark, "cp"))
-    return spark.read.schema(marked.schema).parquet(out).select("vehicle_id", "timestamp", "seq")
+    """The same alerts from the stream, in several batches, with their readings."""
+    return streak_replay(spark, sf_dir, delayed=False).results(spark).drop("hit")
+
+
+@query("c11_streak_alerts_disorder", sql(f"SELECT {_READING} FROM timely_streaks"))
+def c11_disorder(spark, sf_dir):
+    """Alerts where readings arrive out of order: those an hour late count in their place, those below the watermark do not."""
+    return streak_replay(spark, sf_dir, delayed=True).results(spark).drop("hit")
+
+
+@query("c11_late_readings", sql(f"SELECT {_READING}, dense_rank() OVER (ORDER BY part) - 1 + (SELECT count(*) FROM marks WHERE part < (SELECT min(part) FROM timely WHERE late)) AS batch FROM timely WHERE late"))
+def c11_late(spark, sf_dir):
+    """Readings that came too late, stored with the batch that brought them."""
+    return streak_replay(spark, sf_dir, delayed=True).late_rows(spark).drop("hit")
+
+
+ALERT_SCORE = 0.5  # from which scores of the stream count towards an alert
+BLOCKS["score_hits"] = f"""
+SELECT *, score >= {ALERT_SCORE} AS hit, sum(CASE WHEN score >= {ALERT_SCORE} THEN 0 ELSE 1 END) OVER (PARTITION BY vehicle_id ORDER BY ts, seq) AS island
+FROM sensor_stream JOIN sensor_scored USING (uid)"""
+BLOCKS["score_streaks"] = """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id, island ORDER BY ts, seq) AS streak FROM score_hits WHERE hit) WHERE streak % 3 = 0"""
+BLOCKS["logged_streaks"] = _action_sql(
+    "score_streaks", "RULE_2_SENSOR_ANOMALY", "VEHICLE", "vehicle_id", STAMP.format("ts"), _ISO, "score", f"{ALERT_SCORE}",
+    f"'Critical telemetry anomaly incident flagged for ' || vehicle_id || '. Observed 3 consecutive pings with score >= {ALERT_SCORE:.4f}.'", "SLACK",
+).replace(" FROM score_streaks", ", score AS logged_score, rpm AS logged_rpm, vib10 / 10.0 AS logged_vibration FROM score_streaks")
+
+
+def action_log(spark, sf_dir):
+    """The log after the scored stream and the severe codes have gone into it, every batch of them twice."""
+    forest, limit = sensor_forest(spark, sf_dir), ALERT_SCORE
+    rows = alerts.score_stream(
+        readings_by_arrival(spark, sf_dir, delayed=False).drop("hit"), forest, limit
+    ).drop(*[c for c in forest.features if c.startswith(("norm_", "vibration_per"))], "anomalous_features", "anomaly_score_shown", "decision_threshold")
+    rows = settle(rows.withColumn("hit", F.col("is_anomaly") & (F.col("anomaly_score") >= limit)), "scored")
+    log = ActionLog(scratch_path(spark, "log"))
+    writer = batches.streak_writer(
+        scratch_path(spark, "streaks"), "vehicle_id", "timestamp", "seq", "hit", dict(rows.dtypes),
+        then=lambda hits, number: log.append(actions.streak_actions(hits.withColumnRenamed("timestamp", "window_timestamp"), limit, 3), "sensors", number),
+    )
+
+    def twice(batch, number):
+        writer(batch, number)
+        writer(batch, number)
+
+    replay(spark, rows, twice, writer)
+    for _ in range(2):
+        log.append(actions.rule_severe_dtc(open_warehouse(spark, sf_dir).table("silver_diagnostics"), 0.5), "codes", 0)
+    return log
+
+
+@query(
+    "h6_stream_to_log",
+    sql("""SELECT * REPLACE (round(trigger_value, 6) AS trigger_value, round(threshold_applied, 6) AS threshold_applied, round(logged_score, 6) AS logged_score) FROM logged_streaks
+UNION ALL SELECT DISTINCT *, NULL, NULL, NULL FROM rule2b"""),
+)
+def h6_stream(spark, sf_dir):
+    """From the event stream to the stored log: scored, counted by vehicle, logged once, with score and readings in the payload."""
+    rows = action_log(spark, sf_dir).read(spark)
+    told = lambda path, name: F.get_json_object("payload", path).cast("double").alias(name)
+    return rows.select(
+        *[c for c in actions.COLUMNS if c not in ("payload", "trigger_value", "threshold_applied")],
+        *[F.round(c, 6).alias(c) for c in ("trigger_value", "threshold_applied")],
+        F.round(told("$.anomaly_score", "s"), 6).alias("logged_score"), told("$.telemetry.rpm", "logged_rpm").cast("long").alias("logged_rpm"),
+        told("$.telemetry.vibration", "logged_vibration"),
+    )
 
 
 @query(
@@ -300,14 +415,27 @@ def c14(spark, sf_dir):
 SELECT vehicle_id, CAST(ts AS DATE) AS day, rpm, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY vehicle_id, CAST(ts AS DATE) ORDER BY ts)) AS d FROM tel_raw) GROUP BY 1, 2"""),
 )
 def c14_active(spark, sf_dir):
-    """Exact operating time per vehicle and day from the stream, batch by batch."""
-    path = scratch_path(spark, "active")
-    batches.run_batches(events_stream(spark, sf_dir), batches.active_seconds_writer(path, scratch_path(spark, "carry"), 21600), scratch_path(spark, "cp"))
-    out = spark.read.schema("vehicle_id string, day long, active_micros long, pings long").parquet(path)
+    """Exact operating time per vehicle and day from the stream, in several batches."""
+    return active_replay(spark, sf_dir, delayed=False)
+
+
+def active_replay(spark, sf_dir, delayed):
+    writer = replay(spark, readings_by_arrival(spark, sf_dir, delayed), batches.active_seconds_writer(scratch_path(spark, "active"), 21600))
+    out = writer.results(spark, "vehicle_id string, day long, active_micros long, pings long")
     day = F.date_from_unix_date(F.col("day").cast("int"))
     return out.groupBy("vehicle_id", day.alias("day")).agg(F.sum("active_micros").alias("active_micros"), F.sum("pings").alias("pings"))
 
 
+@query(
+    "c14_active_seconds_disorder",
+    sql(f"""SELECT vehicle_id, {DAY.format('day')} AS day, CAST(sum(CASE WHEN d > 0 AND d <= 21600000000 AND rpm > 0 THEN d ELSE 0 END) AS BIGINT) AS active_micros, count(*) AS pings FROM (
+SELECT vehicle_id, CAST(ts AS DATE) AS day, rpm, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY vehicle_id, CAST(ts AS DATE) ORDER BY ts)) AS d FROM timely WHERE NOT late) GROUP BY 1, 2"""),
+)
+def c14_disorder(spark, sf_dir):
+    """Operating time where readings arrive out of order; those below the watermark add nothing."""
+    return active_replay(spark, sf_dir, delayed=True)
+
+
 @query(
     "c15_minute_windows",
     sql(f"""SELECT {STAMP.format("date_trunc('minute', ts)")} AS minute_start, vehicle_id, count(*) AS pings, CAST(max(temp) AS DOUBLE) AS max_temperature, max(vib10) / 10.0 AS max_vibration

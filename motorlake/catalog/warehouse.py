@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from motorlake.catalog.registry import query
-from motorlake.catalog.sql import DAY, STAMP, sql
+from motorlake.catalog.sql import BLOCKS, DAY, STAMP, sql
 from motorlake.plans import dimensions as dims, facts, staging
-from motorlake.plans.warehouse import TABLES, open_warehouse, row_counts, silver_tables
-from motorlake.session import settle
-from motorlake.sources.adapters import raw_set, table
+from motorlake.plans.warehouse import (
+    TABLES,
+    Warehouse,
+    load_dimensions,
+    load_facts,
+    open_warehouse,
+    reload_dimensions,
+    reload_facts,
+    row_counts,
+    silver_tables,
+)
+from motorlake.session import scratch_path, settle
+from motorlake.sources.adapters import SETS, raw_set, table
 
 
 @query(
@@ -127,6 +137,109 @@ def d9(spark, sf_dir):
     return out.select("claim_id", (F.col("fact_id") > 0).alias("kept_id"), "amount")
 
 
+# ---- a second load ---------------------------------------------------------------------
+#
+# An earlier state of the company is loaded first: the members whose md5 starts below 8, with older
+# attributes, one dealer that has closed since, and no model Titan.  Then everything is loaded again as it is.
+
+_EARLY = "md5({}) < '8'"
+
+
+def _members(dim, natural, attribute, source, early, retired=""):
+    """SQL of a dimension after both loads: keys of the first in order, then those of the second."""
+    order = "nat" if dim == "dim_model" else "md5(nat), nat"
+    return f"""
+SELECT '{dim}' AS dim, nat AS natural_key, CASE WHEN early THEN 0 ELSE count(*) FILTER (WHERE early) OVER () END
+  + row_number() OVER (PARTITION BY early ORDER BY {order}) AS member_key, attribute
+FROM (SELECT {natural} AS nat, {attribute} AS attribute, {early} AS early FROM {source}{retired})"""
+
+
+BLOCKS["again_model"] = _members("dim_model", "model_name", "powertrain_type", "dim_model WHERE model_key > 0", "model_name IN (SELECT model FROM veh WHERE md5(vehicle_id) < '8' AND model <> 'Titan')")
+BLOCKS["again_dealer"] = _members("dim_dealer", "dealer_id", "name", "dlr", _EARLY.format("dealer_id"), " UNION ALL SELECT 'DLR-CLOSED', 'Closed', TRUE")
+BLOCKS["again_customer"] = _members("dim_customer", "customer_id", "customer_name", "cus", _EARLY.format("customer_id"))
+BLOCKS["again_component"] = _members("dim_component", "name", "category", "cmp", _EARLY.format("name"))
+BLOCKS["again_vehicle"] = _members("dim_vehicle", "vehicle_id", "variant", "veh", "md5(vehicle_id) < '8' AND model <> 'Titan'")
+
+
+def _before(clean):
+    """The earlier state of every silver set."""
+    early = lambda c: F.md5(F.col(c)) < "8"
+    dealers = clean["dealers"]
+    closed = dealers.sparkSession.createDataFrame([("DLR-CLOSED", "Closed", "X", "Y")], "dealer_id string, name string, city string, region string")
+    old = lambda df, c: df.withColumn(c, F.concat(F.lit("Old "), c))
+    sets = {
+        "dealers": old(dealers.where(early("dealer_id")), "name").unionByName(closed, allowMissingColumns=True),
+        "customers": old(clean["customers"].where(early("customer_id")), "customer_name"),
+        "components": old(clean["components"].where(early("name")), "category"),
+        "vehicles": old(clean["vehicles"].where(early("vehicle_id") & (F.col("model") != "Titan")), "variant"),
+        "diagnostics": old(clean["diagnostics"], "component"),
+    }
+    return {n: sets.get(n, clean[n]) for n in SETS}
+
+
+_loaded_twice: dict[tuple[str, str], tuple[Warehouse, dict]] = {}
+
+
+def loaded_twice(spark, sf_dir):
+    """A warehouse after both loads, and the service and claim facts of the first."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _loaded_twice:
+        clean = silver_tables(spark, sf_dir)
+        w = Warehouse(spark, scratch_path(spark, "twice"))
+        before = _before(clean)
+        load_dimensions(w, before)
+        load_facts(w, before)
+        first = {n: w.table(n) for n in ("fact_service", "fact_warranty")}
+        reload_dimensions(w, clean)
+        reload_facts(w, clean)
+        _loaded_twice[key] = w, first
+    return _loaded_twice[key]
+
+
+@query("d9_second_load", sql("\nUNION ALL ".join(f"SELECT * FROM again_{d}" for d in ("model", "dealer", "customer", "component", "vehicle"))))
+def d9_second(spark, sf_dir):
+    """All members after the second load: old ones keep their keys and have new attributes, new ones come after them."""
+    w, _ = loaded_twice(spark, sf_dir)
+    shown = {"dim_model": "powertrain_type", "dim_dealer": "dealer_name", "dim_customer": "customer_name", "dim_component": "category", "dim_vehicle": "variant"}
+    rows = None
+    for name, attribute in shown.items():
+        natural, key = dims.RENEWED[name][0], name.removeprefix("dim_") + "_key"
+        one = w.table(name).where(F.col(key) > 0).select(
+            F.lit(name).alias("dim"), F.col(natural).alias("natural_key"), F.col(key).alias("member_key"), F.col(attribute).alias("attribute")
+        )
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query(
+    "d9_second_load_facts",
+    sql("""SELECT 'service' AS fact, service_id AS id, coalesce(v.member_key, -1) AS vehicle_key, coalesce(d.member_key, -1) AS other_key, TRUE AS kept_id,
+coalesce(md5(s.vehicle_id) < '8' AND x.model <> 'Titan', FALSE) AS known_before
+FROM srv s LEFT JOIN again_vehicle v ON s.vehicle_id = v.natural_key LEFT JOIN again_dealer d ON s.dealer_id = d.natural_key LEFT JOIN veh x ON s.vehicle_id = x.vehicle_id
+UNION ALL SELECT 'warranty', claim_id, coalesce(v.member_key, -1), coalesce(c.member_key, -1), TRUE, coalesce(md5(s.vehicle_id) < '8' AND x.model <> 'Titan', FALSE)
+FROM wrn s LEFT JOIN again_vehicle v ON s.vehicle_id = v.natural_key LEFT JOIN again_component c ON s.component = c.natural_key LEFT JOIN veh x ON s.vehicle_id = x.vehicle_id"""),
+)
+def d9_facts(spark, sf_dir):
+    """Visits and claims after the second load: unknown members of the first are resolved, the facts' ids stay."""
+    w, first = loaded_twice(spark, sf_dir)
+    rows = None
+    for name, own, key, fact_id in (("service", "service_id", "dealer_key", "service_fact_id"), ("warranty", "claim_id", "component_key", "warranty_fact_id")):
+        before = first[f"fact_{name}"].select(own, F.col(fact_id).alias("_id"), F.col("vehicle_key").alias("_vehicle"))
+        one = w.table(f"fact_{name}").join(before, own, "left").select(
+            F.lit(name).alias("fact"), F.col(own).alias("id"), "vehicle_key", F.col(key).alias("other_key"),
+            (F.col(fact_id) == F.col("_id")).alias("kept_id"), (F.col("_vehicle") > 0).alias("known_before"),
+        )
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query("d17_bridge_second_load", sql(f"SELECT diagnostic_id, vehicle_id, {STAMP.format('ts')} AS timestamp, code, component, severity FROM bridge"))
+def d17_second(spark, sf_dir):
+    """The bridge after the second load: one row an id, with the renewed component."""
+    w, _ = loaded_twice(spark, sf_dir)
+    return w.table("silver_diagnostics").select("diagnostic_id", "vehicle_id", "timestamp", "code", "component", "severity")
+
+
 @query(
     "d10_insert_absent",
     sql("""SELECT vehicle_id, model, 'old' AS origin FROM veh WHERE made <= DATE '2019-06-30'

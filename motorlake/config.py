@@ -72,6 +72,7 @@ CALENDAR = ("2020-01-01", "2030-12-31")
 
 # ---- fixed values: daily health and component risk -----------------------------------
 SESSION_GAP_SECONDS = 300
+LATE_AFTER = "1 day"
 VIBRATION_ALERT = 2.5
 TEMPERATURE_ALERT = 105.0
 BATTERY_ALERT = (11.8, 15.0)

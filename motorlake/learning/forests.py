@@ -7,7 +7,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from motorlake import config
 
@@ -47,25 +47,23 @@ def fit_demand(df: DataFrame, trees: int = config.N_TREES, seed: int = config.SE
     return Pipeline(stages=[assembler, forest]).fit(df)
 
 
+def leaf_table(model: PipelineModel, path: str, spark: SparkSession) -> DataFrame:
+    """Leaf predictions of the stored forest: tree, and its values in leaf order."""
+    model.stages[-1].write().overwrite().save(path)
+    leaves = spark.read.parquet(f"{path}/data").where(F.col("nodeData.leftChild") < 0)
+    by_tree = leaves.groupBy(F.col("treeID").alias("tree")).agg(
+        F.sort_array(F.collect_list(F.struct("nodeData.id", "nodeData.prediction"))).alias("leaves")
+    )
+    return by_tree.select("tree", F.col("leaves.prediction").alias("values"))
+
+
 def _leaf_values(model: PipelineModel, path: str, df: DataFrame) -> Column:
-    """Predictions of the leaves, per tree in leaf order, from the stored node table.
+    """All leaf values as one array by tree and leaf: a scalar subquery, so the plan does not grow with the forest.
 
     At most trees x 2^depth numbers, independent of the data.
     """
-    spark = df.sparkSession
-    forest = model.stages[-1]
-    forest.write().overwrite().save(path)
-    leaves = (
-        spark.read.parquet(f"{path}/data")
-        .where(F.col("nodeData.leftChild") < 0)
-        .select("treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.prediction").alias("p"))
-        .orderBy("treeID", "id")
-        .collect()
-    )
-    by_tree: dict[int, list[float]] = {}
-    for r in leaves:
-        by_tree.setdefault(r["treeID"], []).append(r["p"])
-    return F.array(*[F.array(*[F.lit(v) for v in by_tree[t]]) for t in sorted(by_tree)])
+    trees = leaf_table(model, path, df.sparkSession)
+    return trees.agg(F.sort_array(F.collect_list(F.struct("tree", "values")))["values"].alias("v")).scalar()
 
 
 def predict_interval(model: PipelineModel, df: DataFrame, path: str) -> DataFrame:
@@ -75,8 +73,8 @@ def predict_interval(model: PipelineModel, df: DataFrame, path: str) -> DataFram
     """
     leaf_values = _leaf_values(model, path, df)
     scored = model.transform(df).withColumn("_leaf", vector_to_array("leaves"))
-    per_tree = F.zip_with(F.col("_leaf"), leaf_values, lambda i, values: values[i.cast("int")])
-    spread = scored.withColumn("_trees", F.array_sort(per_tree))
+    per_tree = F.zip_with(F.col("_leaf"), F.col("_values"), lambda i, values: values[i.cast("int")])
+    spread = scored.withColumn("_values", leaf_values).withColumn("_trees", F.array_sort(per_tree))
     n = F.size("_trees")
 
     def percentile(p: float) -> Column:
@@ -93,7 +91,7 @@ def predict_interval(model: PipelineModel, df: DataFrame, path: str) -> DataFram
             "lower_bound_80": floor0(percentile(0.10)),
             "upper_bound_80": floor0(percentile(0.90)),
         }
-    ).drop("features", "leaves", "prediction", "_leaf", "_trees")
+    ).drop("features", "leaves", "prediction", "_leaf", "_values", "_trees")
 
 
 def predict_demand(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass, field
 
@@ -14,9 +15,9 @@ from motorlake import config
 from motorlake.operators.cumulative import exact_quantiles
 from motorlake.session import settle
 
-#: Rows offered to a tree for each one it takes; at 256 rows a tree falls short once in 10**11.
-SURPLUS = 1.6
-_NODE = "tree int, node int, feature int, split double, left int, right int, size int, depth int"
+_NODE = "tree int, node int, heap bigint, feature int, split double, left int, right int, size int, depth int"
+#: Path lengths are added up in these units, so that a sum does not depend on its order.
+_UNITS = 1e9
 
 
 def average_path(n: np.ndarray | float) -> np.ndarray:
@@ -27,42 +28,45 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, value, np.where(n == 2, 1.0, 0.0))
 
 
-def poisson_steps(mean: float) -> list[float]:
-    """Cumulative chances of 0, 1, 2, ... events, up to where the rest is nothing."""
-    steps, total, k = [], 0.0, 0
-    while total < 1 - 1e-12 and k < 10 * mean + 50:
-        total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
-        steps.append(total)
-        k += 1
-    return steps
+def unit_draw(text: str) -> float:
+    """A number in [0, 1) from the md5 of a text; any engine can form it."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 2.0**52
+
+
+def _unit(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(2.0**52)
 
 
 def _grow(features: list[str], seed: int, depth_limit: int):
-    """Builder of one tree from its sample (at most a few hundred rows)."""
+    """Builder of one tree from its sample (at most a few hundred rows).
+
+    A node's feature and cut are drawn by the seed, the tree and the node's place (root 1, children
+    2 k and 2 k + 1), so the tree depends on its sample alone.
+    """
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        rng = np.random.default_rng([seed, tree])
-        x = pdf.sort_values("pick")[features].to_numpy(dtype=float)
+        x = pdf[features].to_numpy(dtype=float)
         rows: list[list] = []
-        todo = [(np.arange(len(x)), 0, None, "")]
+        todo = [(np.arange(len(x)), 0, 1, None)]
         while todo:
-            idx, depth, parent, side = todo.pop()
+            idx, depth, heap, parent = todo.pop()
             me = len(rows)
-            rows.append([tree, me, -1, 0.0, -1, -1, len(idx), depth])
+            rows.append([tree, me, heap, -1, 0.0, -1, -1, len(idx), depth])
             if parent is not None:
-                rows[parent][4 if side == "l" else 5] = me
+                rows[parent][5 + heap % 2] = me
             part = x[idx]
             low, high = (part.min(axis=0), part.max(axis=0)) if len(idx) else (None, None)
             if depth >= depth_limit or len(idx) <= 1 or not (high > low).any():
                 continue
-            f = int(rng.choice(np.flatnonzero(high > low)))
-            cut = float(rng.uniform(low[f], high[f]))
+            varying = np.flatnonzero(high > low)
+            f = int(varying[int(unit_draw(f"{seed}:{tree}:{heap}:feature") * len(varying))])
+            cut = float(low[f] + (high[f] - low[f]) * unit_draw(f"{seed}:{tree}:{heap}:cut"))
             goes_left = part[:, f] <= cut
-            rows[me][2], rows[me][3] = f, cut
-            todo.append((idx[goes_left], depth + 1, me, "l"))
-            todo.append((idx[~goes_left], depth + 1, me, "r"))
-        names = ["tree", "node", "feature", "split", "left", "right", "size", "depth"]
+            rows[me][3], rows[me][4] = f, cut
+            todo.append((idx[goes_left], depth + 1, 2 * heap, me))
+            todo.append((idx[~goes_left], depth + 1, 2 * heap + 1, me))
+        names = ["tree", "node", "heap", "feature", "split", "left", "right", "size", "depth"]
         return pd.DataFrame(rows, columns=names)
 
     return build
@@ -88,7 +92,7 @@ class IsolationForest:
         table = self.nodes.orderBy("tree", "node").toPandas()
         packed = []
         for _, t in table.groupby("tree"):
-            leaf = average_path(t["size"].to_numpy()) + t["depth"].to_numpy()
+            leaf = np.rint((average_path(t["size"].to_numpy()) + t["depth"].to_numpy()) * _UNITS).astype(np.int64)
             packed.append(
                 (t["feature"].to_numpy(), t["split"].to_numpy(), t["left"].to_numpy(), t["right"].to_numpy(), leaf)
             )
@@ -104,7 +108,7 @@ class IsolationForest:
         @F.pandas_udf("double")
         def score(batch: pd.DataFrame) -> pd.Series:
             x = batch[names].to_numpy(dtype=float)
-            total = np.zeros(len(x))
+            total = np.zeros(len(x), dtype=np.int64)
             every = np.arange(len(x))
             for feature, split, left, right, leaf in shared.value:
                 at = np.zeros(len(x), dtype=np.int64)
@@ -116,7 +120,7 @@ class IsolationForest:
                     at[who] = np.where(goes_left, left[here], right[here])
                     inner = feature[at] >= 0
                 total += leaf[at]
-            mean = total / len(shared.value)
+            mean = total / _UNITS / len(shared.value)
             return pd.Series(-np.power(2.0, -mean / norm))
 
         return score(F.struct(*[F.col(f).cast("double").alias(f) for f in names]))
@@ -177,34 +181,26 @@ def fit(
 ) -> IsolationForest:
     """Grow ``trees`` trees, each from ``sample`` rows drawn without replacement from all rows.
 
-    How many draws a row takes part in follows a Poisson law by the hash of its own key, and each
-    draw picks a tree by another hash, so the work is one step a drawn row, not one a row and
-    tree, and the sample does not depend on partitioning.  About ``SURPLUS`` times the wanted rows
-    come out for each tree; the first ``sample`` by a third hash are its sample.
+    Every draw is the md5 of the seed and the row's own key (``uid``, unique), so the forest depends neither
+    on partitioning nor on the engine.  All rows are ranked by it once, and the first trees x sample of them
+    are the pool, a bounded number; a tree takes the first of the pool by a hash of its own.  Rows
+    that cannot be among the first are left out before ranking: twice the pool is expected to stay.
     """
     n = df.count()
     size = min(sample, n)
+    wanted = min(n, trees * size)
     key = F.concat_ws("|", *[F.col(u).cast("string") for u in uid])
     rows = df.select(key.alias("_uid"), *[F.col(f).cast("double").alias(f) for f in features])
-    if n <= 4 * size:
-        # Too few rows to leave any out: every row is offered to every tree.
-        drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    else:
-        steps = poisson_steps(trees * SURPLUS * size / n)
-        share = (F.shiftrightunsigned(F.xxhash64("_uid", F.lit(seed)), 11).cast("double") / F.lit(float(2**53)))
-        times = F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= share))
-        drawn = (
-            rows.withColumn("_n", times).where("_n > 0")
-            .withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-            .withColumn("tree", F.pmod(F.xxhash64("_uid", "_j", F.lit(seed + 2)), F.lit(trees)).cast("int"))
-            .dropDuplicates(["_uid", "tree"])
-        )
-    draws = settle(drawn.withColumn("pick", F.xxhash64("_uid", "tree", F.lit(seed + 1))), "draws")
-    order = Window.partitionBy("tree").orderBy("pick", "_uid")
-    samples = draws.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= size)
+    hashed = rows.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("_uid"))))
+    near = hashed.where(_unit(F.col("_h")) < min(1.0, 2.0 * wanted / max(n, 1)))
+    pool = settle(near.orderBy("_h", "_uid").limit(wanted).drop("_h"), "pool")
+    offered = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    pick = F.md5(F.concat(F.lit(f"{seed}:"), F.col("tree").cast("string"), F.lit(":"), F.col("_uid")))
+    order = Window.partitionBy("tree").orderBy("_pick", "_uid")
+    samples = offered.withColumn("_pick", pick).withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= size)
     depth = max(1, math.ceil(math.log2(max(2, size))))
     nodes = settle(
-        samples.select("tree", "pick", *features).groupBy("tree").applyInPandas(_grow(features, seed, depth), _NODE),
+        samples.select("tree", *features).groupBy("tree").applyInPandas(_grow(features, seed, depth), _NODE),
         "iforest",
     )
     forest = IsolationForest(nodes, features, size)

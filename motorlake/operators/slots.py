@@ -143,3 +143,32 @@ def active_time(
         F.sum(F.col("_inside") + counted(F.col("_bridge"), F.col("_first_on"))).alias("active_micros"),
         *[how[h](name).alias(name) for name, (_, h) in measures.items()],
     )
+
+
+def stitched_sessions(df: DataFrame, key: str, ts: str, gap_seconds: int, slot_seconds: int = 900) -> DataFrame:
+    """Sessions of a key, cut where ``gap_seconds`` or more pass without a row: key, first, last, rows.
+
+    Two levels.  Rows are cut into sessions inside (key, slot); there only the first and the last session can
+    go on into a neighbouring slot, all others are done.  These end pieces, at most two a slot, are then
+    merged along the key.  Rows without a time belong to no session.
+    """
+    limit = gap_seconds * 1_000_000
+    slotted = df.where(F.col(ts).isNotNull()).select(F.col(key), F.col(ts).alias("_ts"), epoch_slot(F.col(ts), slot_seconds).alias("_slot"))
+    inside = Window.partitionBy(key, "_slot").orderBy("_ts")
+    opens = F.coalesce(micros_between(F.lag("_ts").over(inside), F.col("_ts")) >= limit, F.lit(True))
+    numbered = slotted.withColumn("_opens", opens.cast("int")).withColumn(
+        "_n", F.sum("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    pieces = numbered.groupBy(key, "_slot", "_n").agg(F.min("_ts").alias("first"), F.max("_ts").alias("last"), F.count("*").alias("rows"))
+    of_slot = Window.partitionBy(key, "_slot")
+    ranked = pieces.withColumn("_most", F.max("_n").over(of_slot))
+    done = ranked.where((F.col("_n") > 1) & (F.col("_n") < F.col("_most")))
+    along = Window.partitionBy(key).orderBy("first")
+    ends = ranked.where((F.col("_n") == 1) | (F.col("_n") == F.col("_most")))
+    starts = (F.col("_n") > 1) | F.coalesce(micros_between(F.lag("last").over(along), F.col("first")) >= limit, F.lit(True))
+    chained = ends.withColumn("_starts", starts.cast("int")).withColumn(
+        "_session", F.sum("_starts").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    merged = chained.groupBy(key, "_session").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("rows").alias("rows"))
+    columns = [key, "first", "last", "rows"]
+    return merged.select(*columns).unionByName(done.select(*columns))

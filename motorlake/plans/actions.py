@@ -178,12 +178,17 @@ def new_actions(candidates: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
+def unseen(candidates: DataFrame, log: DataFrame) -> DataFrame:
+    """One candidate of each idempotency key that the log does not hold: the first by payload."""
+    columns = candidates.columns
+    one = candidates.groupBy(F.col("idempotency_key").alias("_key")).agg(F.min_by(F.struct(*columns), F.struct("payload", "trigger_value")).alias("_row"))
+    seen = log.select(F.col("idempotency_key").alias("_key"))
+    return one.join(seen, "_key", "left_anti").select(*[F.col(f"_row.{c}").alias(c) for c in columns])
+
+
 def append_actions(log: DataFrame, candidates: DataFrame, created_at: str) -> DataFrame:
     """The log plus the unseen candidates; writing the same batch again adds nothing."""
-    fresh = new_actions(candidates, log).where("is_new").drop("is_new", "suppressed")
-    rows = fresh.withColumns(
-        {"action_id": F.md5("idempotency_key"), "created_at": F.lit(created_at)}
-    )
+    rows = unseen(candidates, log).withColumns({"action_id": F.md5("idempotency_key"), "created_at": F.lit(created_at)})
     return log.unionByName(rows.select(*log.columns))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from motorlake import config
 from motorlake.functions.text import date_key
-from motorlake.operators.keys import assign_keys
+from motorlake.operators.keys import assign_keys, extend_keys
 
 # ---- fixed values: the unknown member of every dimension ----------------------
 UNKNOWN = {
@@ -34,6 +34,30 @@ def with_unknown(df: DataFrame, name: str) -> DataFrame:
     return df.unionByName(df.sparkSession.sql(f"SELECT {UNKNOWN[name]}"))
 
 
+def _numbered(rows: DataFrame, natural: str, key: str, existing: DataFrame | None, **options) -> DataFrame:
+    if existing is None:
+        return assign_keys(rows, natural, key, **options)
+    return extend_keys(rows, natural, key, existing, **options)
+
+
+#: Natural key of each dimension that a later load renews, and the columns that stay as they were.
+RENEWED = {
+    "dim_model": ("model_name", ["model_key"]),
+    "dim_dealer": ("dealer_id", ["dealer_key"]),
+    "dim_customer": ("customer_id", ["customer_key", "created_at"]),
+    "dim_component": ("component_name", ["component_key"]),
+    "dim_vehicle": ("vehicle_id", ["vehicle_key"]),
+}
+
+
+def renewed(old: DataFrame, fresh: DataFrame, name: str) -> DataFrame:
+    """The dimension after another load: known members have the latest attributes and keep their key, new
+    members are added, and members that the load does not bring stay.
+    """
+    natural, keep = RENEWED[name]
+    return upsert(old, fresh.select(*old.columns), [natural], keep=keep)
+
+
 def calendar(days: DataFrame) -> DataFrame:
     """Calendar attributes of a column ``calendar_date``."""
     d = F.col("calendar_date")
@@ -87,7 +111,7 @@ def dim_model(vehicles: DataFrame, existing: DataFrame | None = None) -> DataFra
             F.lit(0).cast("decimal(8,2)").alias("curb_weight_kg"),
         )
     )
-    return with_unknown(assign_keys(models, "model_name", "model_key", existing, order="natural"), "dim_model")
+    return with_unknown(_numbered(models, "model_name", "model_key", existing, order="natural"), "dim_model")
 
 
 def dim_dealer(dealers: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -99,7 +123,7 @@ def dim_dealer(dealers: DataFrame, existing: DataFrame | None = None) -> DataFra
         "region",
         F.lit("UNKNOWN").alias("tier"),
     )
-    return with_unknown(assign_keys(rows, "dealer_id", "dealer_key", existing), "dim_dealer")
+    return with_unknown(_numbered(rows, "dealer_id", "dealer_key", existing), "dim_dealer")
 
 
 def dim_customer(
@@ -116,7 +140,7 @@ def dim_customer(
         F.col("region").alias("state"),
         F.to_timestamp_ntz("_silver_processed_at", F.lit("yyyy-MM-dd HH:mm:ss")).alias("created_at"),
     )
-    return with_unknown(assign_keys(rows, "customer_id", "customer_key", existing), "dim_customer")
+    return with_unknown(_numbered(rows, "customer_id", "customer_key", existing), "dim_customer")
 
 
 def dim_component(components: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -131,7 +155,7 @@ def dim_component(components: DataFrame, existing: DataFrame | None = None) -> D
             F.lit(0).alias("warranty_period_months"),
         )
     )
-    return with_unknown(assign_keys(rows, "component_name", "component_key", existing), "dim_component")
+    return with_unknown(_numbered(rows, "component_name", "component_key", existing), "dim_component")
 
 
 def part_lookup(components: DataFrame, dim_component: DataFrame) -> DataFrame:
@@ -167,7 +191,7 @@ def dim_vehicle(
         F.year(made).alias("manufacture_year"),
         F.lit("ACTIVE").alias("status"),
     )
-    return with_unknown(assign_keys(shaped, "vehicle_id", "vehicle_key", existing), "dim_vehicle")
+    return with_unknown(_numbered(shaped, "vehicle_id", "vehicle_key", existing), "dim_vehicle")
 
 
 def lookup(

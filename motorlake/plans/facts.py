@@ -117,3 +117,11 @@ def diagnostics_bridge(silver: DataFrame, loaded_at: str | None = None) -> DataF
         rows = rows.withColumn("_staging_loaded_at", F.lit(loaded_at))
     lead = ["diagnostic_id", "vehicle_id", "timestamp", "code", "component", "severity"]
     return rows.select(*lead, *[c for c in rows.columns if c not in lead])
+
+
+def merge_bridge(bridge: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Another load of the bridge: component, severity and silver lineage are renewed, the first sighting stays."""
+    renewed = {"component", "severity", "_silver_processed_at", "_silver_batch_id", "_staging_loaded_at"}
+    lead = [c for c in ("timestamp", "code") if c in fresh.columns]
+    one = latest_rows(fresh, ["diagnostic_id"], lead)
+    return upsert(bridge, one.select(*bridge.columns), ["diagnostic_id"], keep=[c for c in bridge.columns if c not in renewed | {"diagnostic_id"}])

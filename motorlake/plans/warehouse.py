@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F
 
 from motorlake.plans import dimensions as dims, facts, silver
 from motorlake.session import scratch_path, side_by_side
 from motorlake.sources.adapters import SETS, SNAPSHOT_DATE, raw_set
+from motorlake.sources.lake import remove
 
 SILVER_BATCH = "BATCH-SILVER-1"
 PROCESSED_AT = "2024-03-02 00:00:00"
@@ -90,35 +92,36 @@ class SilverTables:
         return self._w.table(f"silver/{name}")
 
 
-def load_silver(w: Warehouse, sf_dir: str, snapshot_date: str = SNAPSHOT_DATE) -> SilverTables:
+def load_silver(w: Warehouse, source: Callable[[str], DataFrame], snapshot_date: str = SNAPSHOT_DATE, again: bool = False) -> SilverTables:
     """Store all ten sets; the sets do not depend on each other.
 
-    bronze/<set> has every input row, raw values verbatim, with the rule that rejects it; silver/<set>
-    and quarantine/<set> are its two parts.
+    bronze/<set> has every input row, raw values verbatim, with the rule that rejects it; silver/<set> and
+    quarantine/<set> are its two parts.  The input is derived once, into a folder of its own that goes when
+    bronze is there.  Each write counts its rows as they pass, and input must be clean plus rejected.
+    With ``again`` the tables are replaced by those of a later load.
     """
 
     def load(n: str) -> None:
-        tagged = w.write(f"bronze/{n}", silver.tag_rows(raw_set(w.spark, sf_dir, n), n, snapshot_date, ["_source_file", "_row_uid"]))
-        w.write(f"silver/{n}", silver.clean_rows(tagged, n, SILVER_BATCH, PROCESSED_AT))
-        w.write(f"quarantine/{n}", silver.quarantine_rows(tagged, PROCESSED_AT))
+        counts: dict[str, int] = {}
+
+        def store(layer: str, rows: DataFrame, put: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
+            seen = Observation()
+            stored = put(f"{layer}/{n}", rows.observe(seen, F.count(F.lit(1)).alias("n")))
+            counts[layer] = seen.get.get("n", 0)
+            return stored
+
+        put = w.replace if again else w.write
+        landed = store("landed", source(n), w.write)
+        tagged = store("bronze", silver.tag_rows(landed, n, snapshot_date, ["_source_file", "_row_uid"]), put)
+        remove(w.spark, f"{w.path}/landed/{n}")
+        store("silver", silver.clean_rows(tagged, n, SILVER_BATCH, PROCESSED_AT), put)
+        store("quarantine", silver.quarantine_rows(tagged, PROCESSED_AT), put)
+        silver.assert_conserved(counts["landed"], counts["silver"], counts["quarantine"], n)
 
     side_by_side([lambda n=n: load(n) for n in SETS])
-    check_conserved(w, sf_dir)
     return SilverTables(w)
 
 
-def check_conserved(w: Warehouse, sf_dir: str) -> None:
-    """Fail unless each set's input rows are its clean and rejected rows; one job counts all."""
-    every = None
-    for n in SETS:
-        for layer, df in (("input", raw_set(w.spark, sf_dir, n)), ("silver", w.table(f"silver/{n}")), ("quarantine", w.table(f"quarantine/{n}"))):
-            rows = df.select(F.lit(n).alias("dataset"), F.lit(layer).alias("layer"))
-            every = rows if every is None else every.unionAll(rows)
-    counts = {(r["dataset"], r["layer"]): r["count"] for r in every.groupBy("dataset", "layer").count().collect()}
-    for n in SETS:
-        silver.assert_conserved(*[counts.get((n, layer), 0) for layer in ("input", "silver", "quarantine")], n)
-
-
 def silver_tables(spark: SparkSession, sf_dir: str) -> SilverTables:
     return SilverTables(open_warehouse(spark, sf_dir))
 
@@ -164,8 +167,34 @@ def load_facts(w: Warehouse, clean: SilverTables) -> None:
     )
 
 
+def reload_dimensions(w: Warehouse, clean: SilverTables) -> None:
+    """Another load of every dimension: old members keep their keys, new ones get the next numbers."""
+
+    def renew(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
+        old = w.table(name)
+        w.replace(name, dims.renewed(old, build(old), name))
+
+    side_by_side(
+        [
+            lambda: renew("dim_model", lambda old: dims.dim_model(clean["vehicles"], old)),
+            lambda: renew("dim_dealer", lambda old: dims.dim_dealer(clean["dealers"], old)),
+            lambda: renew("dim_customer", lambda old: dims.dim_customer(clean["customers"], old)),
+            lambda: renew("dim_component", lambda old: dims.dim_component(clean["components"], old)),
+            lambda: w.replace("dim_date", dims.insert_absent(w.table("dim_date"), dims.dim_date(w.spark), ["date_key"])),
+        ]
+    )
+    parts = dims.part_lookup(clean["components"], w.table("dim_component"))
+    models, dealers, customers = (w.table(f"dim_{x}") for x in ("model", "dealer", "customer"))
+    side_by_side(
+        [
+            lambda: w.replace("part_lookup", dims.upsert(w.table("part_lookup"), parts, ["part_id"])),
+            lambda: renew("dim_vehicle", lambda old: dims.dim_vehicle(clean["vehicles"], clean["vehicle_customer_map"], models, dealers, customers, old)),
+        ]
+    )
+
+
 def reload_facts(w: Warehouse, clean: SilverTables) -> None:
-    """Load the same or newer silver again: nothing is counted twice."""
+    """Load the same or newer silver again: nothing is counted twice, and keys resolve against the dimensions as they are now."""
     vehicle, dealer, component = (w.table(f"dim_{x}") for x in ("vehicle", "dealer", "component"))
     fact = w.table("fact_telemetry")
     fresh = facts.by_time(facts.new_telemetry(facts.resolve_telemetry(clean["telemetry"], vehicle), fact))
@@ -178,6 +207,15 @@ def reload_facts(w: Warehouse, clean: SilverTables) -> None:
         ("fact_parts", facts.resolve_parts(clean["parts"], w.table("part_lookup"), dealer)),
     ):
         w.replace(name, facts.merge_fact(w.table(name), resolved, name))
+    w.replace("silver_diagnostics", facts.merge_bridge(w.table("silver_diagnostics"), facts.diagnostics_bridge(clean["diagnostics"], LOADED_AT)))
+
+
+def load_again(w: Warehouse, source: Callable[[str], DataFrame], snapshot_date: str = SNAPSHOT_DATE) -> SilverTables:
+    """A whole later load: silver and quarantine, dimensions, facts and the bridge."""
+    clean = load_silver(w, source, snapshot_date, again=True)
+    reload_dimensions(w, clean)
+    reload_facts(w, clean)
+    return clean
 
 
 TABLES = [
@@ -205,7 +243,7 @@ def open_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _open:
         w = Warehouse(spark, scratch_path(spark, "warehouse"))
-        clean = load_silver(w, sf_dir)
+        clean = load_silver(w, lambda n: raw_set(spark, sf_dir, n))
         load_dimensions(w, clean)
         load_facts(w, clean)
         _open[key] = w

@@ -122,6 +122,12 @@ def write_predictions_jdbc(df: DataFrame, url: str, table: str, batch: int = 200
     df.write.mode("append").format("jdbc").options(url=url, dbtable=table, batchsize=batch, **options).save()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system its path names; one that is not there is no error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str, kind: str) -> DataFrame:
     """A model as a view (recomputed) or a table (stored)."""
     spark = df.sparkSession

@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from motorlake import config
 from motorlake.learning.iforest import IsolationForest
@@ -45,48 +40,3 @@ def score_stream(events: DataFrame, forest: IsolationForest, threshold: float |
             "decision_threshold": F.lit(round(limit, 4)),
         }
     )
-
-
-class _Streaks(StatefulProcessor):
-    """Counts consecutive hits of one vehicle; keeps one number per vehicle."""
-
-    def __init__(self, order: list[str], hit: str, length: int, columns: list[str]):
-        self.order, self.hit, self.length, self.columns = order, hit, length, columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("streak", T.StructType([T.StructField("n", T.IntegerType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        # one vehicle's share of one micro-batch, which the source's rate limit bounds
-        part = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        n = self.count.get()[0] if self.count.exists() else 0
-        fired = []
-        for i, hit in enumerate(part[self.hit].to_numpy()):
-            n = n + 1 if hit else 0
-            if n == self.length:
-                fired.append(i)
-                n = 0
-        self.count.update((n,))
-        if fired:
-            yield part.iloc[fired][self.columns].reset_index(drop=True)
-
-    def close(self) -> None:
-        pass
-
-
-def streak_alerts_stream(
-    scored: DataFrame, key: str, order: list[str], hit: str, length: int = config.STREAK_LENGTH
-) -> DataFrame:
-    """The events that complete a run of consecutive hits; state survives restarts."""
-    columns = [key, *order]
-    schema = T.StructType([scored.schema[c] for c in columns])
-    return (
-        scored.select(*columns, hit)
-        .groupBy(key)
-        .transformWithStateInPandas(
-            statefulProcessor=_Streaks(order, hit, length, columns),
-            outputStructType=schema,
-            outputMode="Append",
-            timeMode="None",
-        )
-    )

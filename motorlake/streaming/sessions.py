@@ -2,76 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from motorlake import config
-
-
-def _watermarked(events: DataFrame, watermark: str | None) -> DataFrame:
-    """Bound the state by event time where a watermark is given."""
-    if watermark is None:
-        return events
-    return events.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", watermark)
+from motorlake.operators.slots import stitched_sessions
 
 
 def telemetry_1m(events: DataFrame, watermark: str | None = None) -> DataFrame:
-    """Pings and mean readings per vehicle and minute."""
-    rows = _watermarked(events, watermark)
-    return rows.groupBy(F.window("timestamp", "1 minute"), "vehicle_id").agg(
+    """Pings and mean readings per vehicle and minute; a watermark bounds a stream's state by event time."""
+    if watermark is not None:
+        events = events.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", watermark)
+    return events.groupBy(F.window("timestamp", "1 minute"), "vehicle_id").agg(
         F.count("*").alias("pings"), F.max("temperature").alias("max_temperature"), F.max("vibration").alias("max_vibration")
     ).select(F.col("window.start").alias("minute_start"), "vehicle_id", "pings", "max_temperature", "max_vibration")
 
 
-def trip_sessions(events: DataFrame, gap_seconds: int = config.SESSION_GAP_SECONDS, watermark: str | None = None) -> DataFrame:
-    """Trips: readings of a vehicle no further apart than the gap."""
-    rows = _watermarked(events, watermark)
-    return rows.groupBy(F.session_window("timestamp", f"{gap_seconds} seconds"), "vehicle_id").agg(
-        F.count("*").alias("pings"), F.min("timestamp").alias("first_ping"), F.max("timestamp").alias("last_ping")
-    ).select("vehicle_id", "first_ping", "last_ping", "pings")
-
-
-class _ActiveSeconds(StatefulProcessor):
-    """Operating time of one vehicle, given out as it accrues; keeps the last reading's time."""
-
-    def __init__(self, gap_micros: int):
-        self.gap = gap_micros
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", T.StructType([T.StructField("micros", T.LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows)).sort_values("micros", kind="stable")
-        t = part["micros"].to_numpy()
-        previous = self.last.get()[0] if self.last.exists() else None
-        before = np.concatenate([[t[0] if previous is None else previous], t[:-1]])
-        same_day = before // 86_400_000_000 == t // 86_400_000_000
-        delta = np.where(same_day, t - before, 0)
-        counted = np.where((delta > 0) & (delta <= self.gap) & (part["rpm"].to_numpy() > 0), delta, 0)
-        self.last.update((int(max(t[-1], before[0])),))
-        days = pd.DataFrame({"day": t // 86_400_000_000, "active_micros": counted, "pings": 1})
-        out = days.groupby("day", as_index=False).sum()
-        out.insert(0, "vehicle_id", key[0])
-        yield out
-
-    def close(self) -> None:
-        pass
-
-
-def active_seconds_stream(events: DataFrame, gap_seconds: int = config.SESSION_GAP_SECONDS) -> DataFrame:
-    """Increments of operating time per vehicle and day; their sum is the exact daily time."""
-    start = F.lit("1970-01-01").cast("timestamp_ntz")
-    rows = events.select(
-        "vehicle_id", F.timestamp_diff("MICROSECOND", start, F.col("timestamp").cast("timestamp_ntz")).alias("micros"), "rpm"
-    )
-    return rows.groupBy("vehicle_id").transformWithStateInPandas(
-        statefulProcessor=_ActiveSeconds(gap_seconds * 1_000_000),
-        outputStructType="vehicle_id string, day long, active_micros long, pings long",
-        outputMode="Append",
-        timeMode="None",
+def trip_sessions(events: DataFrame, gap_seconds: int = config.SESSION_GAP_SECONDS) -> DataFrame:
+    """Trips: readings of a vehicle less than the gap apart."""
+    return stitched_sessions(events, "vehicle_id", "timestamp", gap_seconds).select(
+        "vehicle_id", F.col("first").alias("first_ping"), F.col("last").alias("last_ping"), F.col("rows").alias("pings")
     )

@@ -138,7 +138,7 @@ def test_second_load_adds_nothing(spark, sf_dir):
     from motorlake.session import scratch_path
 
     w = wh.Warehouse(spark, scratch_path(spark, "twice"))
-    clean = wh.load_silver(w, sf_dir)
+    clean = wh.load_silver(w, lambda n: wh.raw_set(spark, sf_dir, n))
     wh.load_dimensions(w, clean)
     wh.load_facts(w, clean)
     before = {r["table_name"]: r["rows"] for r in wh.row_counts(w).collect()}
@@ -158,23 +158,41 @@ def test_load_keeps_rejected_rows(spark, sf_dir, monkeypatch):
     from motorlake.plans import warehouse as wh
     from motorlake.session import scratch_path
 
-    def with_copies(s, d, name):
-        raw = raw_set(s, d, name)
+    def with_copies(name):
+        raw = wh.raw_set(spark, sf_dir, name)
         return raw.unionAll(raw.withColumn("_row_uid", F.concat(F.lit("again-"), F.col("_row_uid").cast("string"))))
 
-    raw_set = wh.raw_set
     monkeypatch.setattr(wh, "SETS", ["dealers", "service"])
-    monkeypatch.setattr(wh, "raw_set", with_copies)
     w = wh.Warehouse(spark, scratch_path(spark, "rejected"))
-    clean = wh.load_silver(w, sf_dir)
+    clean = wh.load_silver(w, with_copies)
     for n in wh.SETS:
-        rows = 2 * raw_set(spark, sf_dir, n).count()
+        rows = 2 * wh.raw_set(spark, sf_dir, n).count()
         rejected = w.table(f"quarantine/{n}")
         assert w.table(f"bronze/{n}").count() == rows == clean[n].count() + rejected.count()
         assert rejected.where("_quarantine_rule = 'DUPLICATE_KEY' and _quarantine_reason is not null").count() >= rows // 2
-    w.write("silver/dealers", clean["service"].limit(0))
-    with pytest.raises(ValueError, match="dealers"):
-        wh.check_conserved(w, sf_dir)
+    # a later load replaces all three layers; a set without rows is no error
+    clean = wh.load_silver(w, lambda n: wh.raw_set(spark, sf_dir, n) if n == "dealers" else wh.raw_set(spark, sf_dir, n).limit(0), again=True)
+    assert clean["dealers"].count() == w.table("bronze/dealers").count() == wh.raw_set(spark, sf_dir, "dealers").count()
+    assert clean["service"].count() == w.table("quarantine/service").count() == 0
+    monkeypatch.setattr(wh.silver, "quarantine_rows", lambda tagged, at: tagged.limit(0))
+    with pytest.raises(ValueError):
+        wh.load_silver(wh.Warehouse(spark, scratch_path(spark, "lost")), with_copies)
+
+
+def test_whole_later_load(spark, sf_dir):
+    """The same sets again, from raw rows to the bridge: no row, key or id changes."""
+    from motorlake.plans import warehouse as wh
+    from motorlake.session import scratch_path
+
+    source = lambda n: wh.raw_set(spark, sf_dir, n)
+    w = wh.Warehouse(spark, scratch_path(spark, "later"))
+    clean = wh.load_silver(w, source)
+    wh.load_dimensions(w, clean)
+    wh.load_facts(w, clean)
+    keys = {n: ("*" if n.startswith("dim_") else facts.FACT_IDS.get(n, "diagnostic_id")) for n in wh.TABLES}
+    before = {n: sorted(map(str, w.table(n).select(k).collect())) for n, k in keys.items()}
+    wh.load_again(w, source)
+    assert {n: sorted(map(str, w.table(n).select(k).collect())) for n, k in keys.items()} == before
 
 
 def test_diagnostic_id(spark):

@@ -86,6 +86,34 @@ def test_intervals_bracket_the_mean(spark, tmp_path):
     assert np.allclose(sorted(direct), sorted(out["predicted_volume"]))
 
 
+def test_intervals_by_an_own_walk_of_the_stored_nodes(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    names = ["lag_7", "lag_14", "mean_prev_7", "day_of_week", "is_weekend"]
+    pdf = pd.DataFrame({n: rng.integers(0, 7, 200) for n in names})
+    pdf["service_count"] = rng.poisson(1 + pdf["lag_7"])
+    df = spark.createDataFrame(pdf)
+    model = forests.fit_demand(df, trees=15)
+    out = forests.predict_interval(model, df, str(tmp_path / "f"))
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 8_000  # no literals by leaf
+    nodes = {(r.treeID, r.nodeData.id): r.nodeData for r in spark.read.parquet(str(tmp_path / "f" / "data")).collect()}
+    for row in out.collect():
+        x = [float(row[n]) for n in names]
+        values = []
+        for tree in range(15):
+            node = nodes[tree, 0]
+            while node.leftChild >= 0:
+                split = node.split
+                if split.numCategories < 0:
+                    left = x[split.featureIndex] <= split.leftCategoriesOrThreshold[0]
+                else:
+                    left = x[split.featureIndex] in split.leftCategoriesOrThreshold
+                node = nodes[tree, node.leftChild if left else node.rightChild]
+            values.append(node.prediction)
+        assert row.predicted_volume == pytest.approx(np.mean(values))
+        assert row.lower_bound_80 == pytest.approx(np.percentile(values, 10))
+        assert row.upper_bound_80 == pytest.approx(np.percentile(values, 90))
+
+
 def test_psi_and_ks(spark):
     rng = np.random.default_rng(4)
     ref, same, far = (pd.DataFrame({"x": rng.normal(m, s, 200), "few": [1.0] * 200}) for m, s in ((85, 5), (85, 5), (115, 15)))

@@ -22,16 +22,17 @@ def test_feed_delivers_a_whole_batch(spark):
 
 
 def test_trees_draw_from_all_rows(spark):
-    """A hundred samples of 256 from 200,000 rows hold nearly 25,600 different rows."""
-    rows = spark.range(200_000).select("id", (F.col("id") % 977).cast("double").alias("a"), (F.col("id") % 31).cast("double").alias("b"))
-    forest = iforest.fit(rows, ["a", "b"], ["id"])
+    """The pool of a hundred trees is 25,600 rows from all of 200,000; every tree takes 256, few rows or many."""
+    rows = spark.range(200_000).select("id", F.rand(1).alias("a"), F.col("id").cast("double").alias("b"))
+    forest = iforest.fit(rows, ["a", "b"], ["id"], trees=100)
     sizes = forest.nodes.where("depth = 0").select("size").collect()
     assert [r["size"] for r in sizes] == [256] * 100
-    share = iforest.SURPLUS * 256 * 100 / 200_000
-    steps = iforest.poisson_steps(share)
-    mean = sum(k * (b - a) for k, (a, b) in enumerate(zip([0, *steps], steps, strict=False)))
-    assert mean == pytest.approx(share, rel=1e-6) and steps[-1] > 1 - 1e-9
-    assert iforest.poisson_steps(900.0)[-1] > 1 - 1e-9
+    # Cuts of the second feature come from its whole range.
+    cuts = sorted(r["split"] for r in forest.nodes.where("depth = 0 AND feature = 1").collect())
+    assert cuts[0] < 40_000 and cuts[-1] > 160_000
+    for n, size in ((1, 1), (2, 2), (300, 256), (700, 256)):
+        few = iforest.fit(rows.where(F.col("id") < n), ["a", "b"], ["id"], trees=7)
+        assert [r["size"] for r in few.nodes.where("depth = 0").collect()] == [size] * 7
 
 
 def test_upsert_refuses_a_key_twice(spark):

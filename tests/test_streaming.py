@@ -1,6 +1,7 @@
 """Event contracts, landing, compaction, stateful alerts."""
 
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from motorlake.plans import silver
 from motorlake.session import scratch_path
 from motorlake.sources.streams import pending_files, read_json_files
-from motorlake.streaming import alerts, contracts, landing, sessions
+from motorlake.streaming import alerts, batches, contracts, landing, sessions
 
 GOOD = {"vehicle_id": "VH-1", "timestamp": "2026-09-01T10:00:00", "rpm": 2000, "temperature": 90.5, "battery": 50, "vibration": 1}
 CODE = {"vehicle_id": "VH-1", "timestamp": "2026-09-01T10:00:00Z", "code": " p0217 ", "component": "Pump", "severity": "warning "}
@@ -106,54 +107,73 @@ def test_compaction_batches_can_be_replayed(spark):
     assert sorted(r["seq"] for r in spark.read.parquet(bad).collect()) == [2, 3]
 
 
-def _feed(spark, path, rows, n):
-    spark.createDataFrame(rows, "vehicle_id string, ts timestamp_ntz, seq long, hit boolean, rpm int").coalesce(1).write.mode(
-        "append").parquet(path)
-    return n
+def at(minute, day=1):
+    return datetime(2026, 9, day, 10, minute)
 
 
-def test_streak_state_survives_a_restart(spark, tmp_path):
-    source, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+KINDS = {"vehicle_id": "string", "timestamp": "timestamp_ntz", "seq": "bigint", "hit": "boolean", "rpm": "int", "score": "double"}
 
-    def run():
-        s = spark.readStream.schema("vehicle_id string, ts timestamp_ntz, seq long, hit boolean, rpm int").parquet(source)
-        q = alerts.streak_alerts_stream(s, "vehicle_id", ["ts", "seq"], "hit", 3)
-        q.writeStream.format("parquet").outputMode("append").option("checkpointLocation", cp).trigger(availableNow=True).start(out).awaitTermination()
-        try:
-            return sorted(r["seq"] for r in spark.read.parquet(out).collect())
-        except Exception:
-            return []
 
-    at = lambda m: datetime(2026, 9, 1, 10, m)
-    _feed(spark, source, [("v", at(1), 1, True, 1), ("v", at(2), 2, True, 1), ("w", at(2), 9, True, 1)], 0)
-    assert run() == []
-    _feed(spark, source, [("v", at(3), 3, True, 1), ("v", at(4), 4, False, 1), ("w", at(3), 10, False, 1)], 1)
-    assert run() == [3]
+def frames_of(spark, parts):
+    return [spark.createDataFrame(p, ", ".join(f"{k} {v}" for k, v in KINDS.items())) for p in parts]
 
 
-def test_batches_carry_on(spark, tmp_path):
-    """Runs and operating time across batches, replayed and late ones, with all columns of the alerts."""
-    from motorlake.streaming import batches
-
-    out, carry = str(tmp_path / "o"), str(tmp_path / "c")
-    at = lambda m: datetime(2026, 9, 1, 10, m)
-    kinds = "vehicle_id string, timestamp timestamp_ntz, seq long, hit boolean, rpm int, score double"
-    parts = [
-        [("v", at(1), 1, True, 9, .1), ("v", at(2), 2, True, 9, .2), ("w", at(2), 9, True, 9, .3)],
+def test_batches_in_event_time(spark, tmp_path):
+    """Runs and operating time over batches out of order and run twice; late rows and rows without a time are set apart."""
+    frames = frames_of(spark, [
+        [("v", at(1), 1, True, 9, .1), ("v", at(3), 3, True, 9, .4), ("w", at(2), 9, True, 9, .3)],
         [("x", at(3), 20, True, 9, .3)],
-        [("v", at(3), 3, True, 9, .4), ("v", at(4), 4, True, 0, .5), ("w", at(3), 10, False, 9, .6), ("w", at(4), 11, True, 9, .7)],
-        [("v", at(5), 5, True, 9, .8), ("v", at(6), 6, True, 9, .9), ("w", at(5), 12, True, 9, .8), ("w", at(6), 13, True, 9, .9), ("x", at(2), 21, None, 9, .3)],
-    ]
-    frames = [spark.createDataFrame(p, kinds) for p in parts]
-    write = batches.streak_writer(out, carry, "vehicle_id", "timestamp", "seq", "hit", 3)
-    for k in (0, 1, 1, 2, 2, 3):
-        write(frames[k], k)
-    assert sorted((r["seq"], r["rpm"], r["score"]) for r in spark.read.parquet(out).collect()) == [(3, 9, .4), (6, 9, .9), (13, 9, .9)]
-    write = batches.active_seconds_writer(f"{out}2", f"{carry}2", 3600)
-    for k in (0, 1, 1, 2, 3):
-        write(frames[k], k)
-    got = {r["vehicle_id"]: (r["s"], r["p"]) for r in spark.read.parquet(f"{out}2").groupBy("vehicle_id").agg(F.sum("active_micros").alias("s"), F.sum("pings").alias("p")).collect()}
-    assert got == {"v": (240_000_000, 6), "w": (240_000_000, 5), "x": (0, 2)}
+        [("v", at(2), 2, True, 9, .2), ("v", at(4), 4, True, 0, .5), ("w", at(3), 10, False, 9, .6), ("w", at(4), 11, True, 9, .7), ("n", None, 0, True, 1, .1)],
+        [("z", at(0, 3), 99, False, 9, .0)],
+        [("v", at(5), 5, True, 9, .8), ("v", at(1, 3), 6, True, 9, .9), ("w", at(5, 2), 12, True, 9, .8), ("w", at(6, 3), 13, True, 9, .9), ("x", at(2), 21, None, 9, .3)],
+    ])
+    def run(writer):
+        for k in (0, 1, 1, 2, 2, 3, 4, 4):
+            writer(frames[k], k)
+        writer.close(spark, frames[0])
+        return writer
+
+    writer = run(batches.streak_writer(str(tmp_path / "s"), "vehicle_id", "timestamp", "seq", "hit", KINDS, 3, whole=2))
+    assert sorted((r["seq"], r["rpm"], r["score"]) for r in writer.results(spark).collect()) == [(3, 9, .4), (13, 9, .9)]
+    late = {r["seq"]: r["batch"] for r in writer.late_rows(spark).collect()}
+    assert late == {0: 2, 5: 4, 21: 4}
+    writer = run(batches.active_seconds_writer(str(tmp_path / "a"), 3600, whole=2))
+    got = {r["vehicle_id"]: (r["s"], r["p"]) for r in writer.results(spark).groupBy("vehicle_id").agg(F.sum("active_micros").alias("s"), F.sum("pings").alias("p")).collect()}
+    assert got == {"v": (120_000_000, 5), "w": (120_000_000, 5), "x": (0, 1), "z": (0, 1)}
+
+
+def test_carry_keeps_keys_that_do_not_return(spark, tmp_path):
+    """A key met once is carried through many batches, of which only the changed keys are written."""
+    days = [[("old", at(1), 1, True, 9, .1)]] + [[(f"k{d}", at(0, d), d, False, 9, .1)] for d in range(3, 16)]
+    days += [[("old", at(0, 16), 50, True, 9, .1), ("old", at(1, 16), 51, True, 9, .1)]]
+    writer = batches.streak_writer(str(tmp_path / "s"), "vehicle_id", "timestamp", "seq", "hit", KINDS, 3, whole=4)
+    for number, frame in enumerate(frames_of(spark, days)):
+        writer(frame, number)
+    writer.close(spark, frames_of(spark, days[:1])[0])
+    assert [r["seq"] for r in writer.results(spark).collect()] == [51]
+    kept = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "s" / "carry").iterdir() if p.is_dir())
+    assert kept[0] >= 8 and len(kept) <= 8
+
+
+def test_sessions_of_a_hot_vehicle(spark):
+    """Sessions equal a plain loop, for a vehicle with a third of all rows, across slots and inside them."""
+    rnd = random.Random(5)
+    rows, t = [], 0
+    for _ in range(3000):
+        t += rnd.choice([1, 30, 299, 300, 301, 900, 5000])
+        rows.append(("hot", t))
+    rows += [(f"v{rnd.randrange(40)}", rnd.randrange(300_000)) for _ in range(6000)]
+    want, last = {}, {}
+    for v, s in sorted(rows):
+        if v not in last or s - last[v][1] >= 300:
+            last[v] = [s, s, 0]
+            want[v, s] = last[v]
+        last[v][1], last[v][2] = s, last[v][2] + 1
+    df = spark.createDataFrame(rows, "vehicle_id string, s int").select("vehicle_id", F.timestamp_seconds("s").alias("timestamp"))
+    trips = sessions.trip_sessions(df, 300)
+    assert "MergingSessions" not in trips._jdf.queryExecution().executedPlan().toString()
+    got = {(r.vehicle_id, int(r.a)): [int(r.a), int(r.b), r.pings] for r in trips.select("vehicle_id", F.unix_timestamp("first_ping").alias("a"), F.unix_timestamp("last_ping").alias("b"), "pings").collect()}
+    assert got == want
 
 
 def test_one_minute_and_session_windows(spark):
