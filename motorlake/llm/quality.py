@@ -21,7 +21,8 @@ Repeated rows are scored one by one.  An empty table gives no rows.  Extra colum
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,6 +44,8 @@ MAX_PSEUDO = 5_000
 ROUNDS = 2
 CONFIDENT = 0.98
 PSEUDO_WEIGHT = 0.5
+#: Steps of a fit, shrinkage, and tasks that the bounded rows to fit on are dealt to.
+STEPS, L2, PARTS = 25, 1e-5, 8
 _CAPITAL = np.zeros(256, bool)
 _CAPITAL[65:91] = True
 _LETTER = np.zeros(256, bool)
@@ -169,23 +172,14 @@ class View:
         total = np.concatenate([[0.0], np.cumsum(self.weights[ids])])
         return total[at[1:]] - total[at[:-1]] + self.bias
 
-    def log_odds(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return self.scale * self.raw(ids, at) + self.shift
+    def log_odds_of(self, raw: np.ndarray) -> np.ndarray:
+        return self.scale * raw + self.shift
 
-    def fit(self, ids: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 150, rate: float = 0.5, l2: float = 1e-5) -> None:
-        owner = np.repeat(np.arange(len(y)), np.diff(at))
-        self.weights, self.bias = np.zeros(self.dim), 0.0
-        seen, seen_bias = np.full(self.dim, 1e-8), 1e-8
-        for _ in range(steps):
-            error = (1 / (1 + np.exp(-np.clip(self.raw(ids, at), -30, 30))) - y) * weight / weight.sum()
-            slope = np.bincount(ids, error[owner], self.dim) + l2 * self.weights
-            seen += slope**2
-            seen_bias += error.sum() ** 2
-            self.weights -= rate * slope / np.sqrt(seen)
-            self.bias -= rate * error.sum() / np.sqrt(seen_bias)
+    def log_odds(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return self.log_odds_of(self.raw(ids, at))
 
-    def calibrate(self, ids: np.ndarray, at: np.ndarray, y: np.ndarray) -> None:
-        (self.scale,), self.shift = logistic(self.raw(ids, at)[:, None], y)
+    def calibrate(self, raw: np.ndarray, y: np.ndarray) -> None:
+        (self.scale,), self.shift = logistic(raw[:, None], y)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 50) -> tuple[np.ndarray, float]:
@@ -210,30 +204,102 @@ def _lists(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum(array.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
-@dataclass
-class Rows:
-    """Training rows in the driver: a bounded sample."""
+def minimiser(size: int, steps: int = STEPS, memory: int = 8) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
+    """L-BFGS from zero: yields the points at which it wants loss and slope, returns the last good one."""
+    x = np.zeros(size)
+    loss, slope = yield x
+    moves: deque[tuple[np.ndarray, np.ndarray]] = deque(maxlen=memory)
+    for _ in range(steps):
+        direction, alphas = slope.copy(), []
+        for move, bend in reversed(moves):
+            alphas.append((move @ direction) / (move @ bend))
+            direction -= alphas[-1] * bend
+        if moves:
+            move, bend = moves[-1]
+            direction *= (move @ bend) / (bend @ bend)
+        for (move, bend), alpha in zip(moves, reversed(alphas), strict=True):
+            direction += (alpha - (bend @ direction) / (move @ bend)) * move
+        fall = slope @ direction
+        stride = 1.0 if moves else min(1.0, 1.0 / max(np.abs(slope).sum(), 1e-12))
+        for _ in range(12):
+            at = x - stride * direction
+            new_loss, new_slope = yield at
+            if new_loss <= loss - 1e-4 * stride * fall:
+                break
+            stride /= 2
+        else:
+            break
+        if (at - x) @ (new_slope - slope) > 1e-12:
+            moves.append((at - x, new_slope - slope))
+        gain, x, loss, slope = loss - new_loss, at, new_loss, new_slope
+        if gain < 1e-7 * max(abs(loss), 1e-3):
+            break
+    return x
 
-    table: pa.Table
-    y: np.ndarray
 
-    def view(self, name: str) -> tuple[np.ndarray, np.ndarray]:
-        return _lists(self.table[name])
+VIEWS = ("text_ids", "meta_ids")
 
-    def part(self, mask: np.ndarray) -> Rows:
-        return Rows(self.table.filter(pa.array(mask)), self.y[mask])
 
+def _slopes(rows: DataFrame, points: dict[str, np.ndarray]) -> dict[str, tuple[float, np.ndarray]]:
+    """Summed loss and slope of both views at ``points`` (weights, then the bias), added up in the tasks.
 
-def _fit(view: View, name: str, rows: Rows, extra: list[Rows], held: Rows) -> None:
-    tables = [rows, *extra]
-    parts = [r.view(name) for r in tables]
-    ids = np.concatenate([p[0] for p in parts])
-    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
-    # Pseudo-labels together weigh at most half as much as the labels, so they cannot outvote them.
-    given = sum(len(r.y) for r in extra)
-    weight = np.concatenate([np.ones(len(rows.y)), np.full(given, min(1.0, PSEUDO_WEIGHT * len(rows.y) / max(given, 1)))])
-    view.fit(ids, at, np.concatenate([r.y for r in tables]), weight)
-    view.calibrate(*held.view(name), held.y)
+    A task gives one row a view; the rows to fit on are bounded, and so are their tasks (``PARTS``).
+    """
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {v: [0.0, np.zeros(len(x))] for v, x in points.items()}
+        for batch in batches:
+            y = batch.column("bad").to_numpy().astype(float)
+            for v, x in points.items():
+                weight = batch.column(f"{v}_weight").to_numpy()
+                ids, at = _lists(batch.column(v))
+                total = np.concatenate([[0.0], np.cumsum(x[ids])])
+                raw = total[at[1:]] - total[at[:-1]] + x[-1]
+                sums[v][0] += float((weight * (np.logaddexp(0.0, raw) - y * raw)).sum())
+                error = weight * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y)
+                sums[v][1][:-1] += np.bincount(ids, np.repeat(error, np.diff(at)), len(x) - 1)
+                sums[v][1][-1] += error.sum()
+        for v, (loss, slope) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([v]), pa.array([loss]), pa.array([slope], pa.list_(pa.float64()))], names=["view", "loss", "slope"])
+
+    columns = [c for v in points for c in (v, f"{v}_weight")]
+    found = rows.select("bad", *columns).mapInArrow(add_up, "view string, loss double, slope array<double>").toArrow()
+    out = {v: [0.0, np.zeros(len(x))] for v, x in points.items()}
+    for view, loss, slope in zip(found["view"].to_pylist(), found["loss"].to_pylist(), found["slope"], strict=True):
+        out[view][0] += loss
+        out[view][1] += slope.values.to_numpy()
+    return {v: (loss, slope) for v, (loss, slope) in out.items()}
+
+
+def fit_views(views: dict[str, View], rows: DataFrame, l2: float = L2) -> None:
+    """Fit both views side by side on stored ``rows`` (bad, ids and weight by view): one job a step; the driver holds coefficients only."""
+    total = rows.agg(*[F.sum(f"{v}_weight").alias(v) for v in views]).first()
+    learners = {v: minimiser(view.dim + 1) for v, view in views.items()}
+    points = {v: next(learner) for v, learner in learners.items()}
+    while points:
+        asked, points = points, {}
+        for v, (loss, slope) in _slopes(rows, asked).items():
+            w = asked[v][:-1]
+            slope = slope / total[v]
+            slope[:-1] += l2 * w
+            try:
+                points[v] = learners[v].send((loss / total[v] + l2 / 2 * float(w @ w), slope))
+            except StopIteration as done:
+                views[v].weights, views[v].bias = done.value[:-1], float(done.value[-1])
+
+
+def raw_values(rows: DataFrame, views: dict[str, View]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Uncalibrated log-odds of both views and the label of a bounded number of rows."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [pa.array(view.raw(*_lists(batch.column(v)))) for v, view in views.items()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("bad"), *raw], names=["doc_id", "bad", *views])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([f"doc_id {kinds['doc_id']}", f"bad {kinds['bad']}", *[f"{v} double" for v in views]])
+    found = rows.select("doc_id", "bad", *views).mapInArrow(score, schema).toArrow().sort_by("doc_id")
+    return {v: found[v].to_numpy() for v in views}, found["bad"].to_numpy().astype(float)
 
 
 def scored(rows: DataFrame, text: View, meta: View) -> DataFrame:
@@ -254,12 +320,6 @@ def _first(df: DataFrame, most: int) -> DataFrame:
     return df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def _bring(rows: DataFrame, chosen: DataFrame, keys: list[str]) -> Rows:
-    """Feature rows of a bounded choice; the choice has a documented bound, so it is broadcast."""
-    table = rows.join(F.broadcast(chosen), keys).select("doc_id", *[c for c in chosen.columns if c not in ("doc_id", "file", "row")], "meta_ids", "text_ids").toArrow().sort_by("doc_id")
-    return Rows(table, table["bad"].to_numpy().astype(float))
-
-
 def one_row_each(docs: DataFrame, place: Column, ids: DataFrame, id_column: str) -> DataFrame:
     """The first row by place of each id in ``ids`` (column _sampled): repeated ids must not lift the bound or outweigh others."""
     at = free_name(docs, "_at")
@@ -297,11 +357,17 @@ def assess(
     few, few_place = located(one_row_each(docs, place, ids, id_column))
     known = features(few, few_place, *columns).join(F.broadcast(chosen.where("not held")), "doc_id")
     numbers = telling_words(*word_counts(known))
-    dim = SHAPES * SHAPE_BINS + int(numbers.max()) + 1
-    sample = _bring(features(few, few_place, *columns, numbers), chosen, ["doc_id"])
-    held = sample.table["held"].to_numpy(zero_copy_only=False)
-    fit_on, held_out = sample.part(~held), sample.part(held)
-    if min(len(set(fit_on.y)), len(set(held_out.y))) < 2:
+    views = {"text_ids": View(SHAPES * SHAPE_BINS + int(numbers.max()) + 1), "meta_ids": View(META_DIM)}
+    one = F.lit(1.0)
+    labelled = features(few, few_place, *columns, numbers).join(F.broadcast(chosen), "doc_id").select(
+        "doc_id", "bad", "held", *VIEWS, *[one.alias(f"{v}_weight") for v in VIEWS]
+    )
+    labelled = settle(labelled.repartition(PARTS), "labelled")
+    fit_on, held_out = labelled.where("not held").drop("held"), labelled.where("held")
+    n_fit = labelled.agg(
+        F.count_if(~F.col("held")).alias("n"), *[F.count_if((F.col("held") == h) & (F.col("bad") == y)).alias(f"h{int(h)}{y}") for h in (False, True) for y in (0, 1)]
+    ).first()
+    if min(n_fit[c] for c in ("h00", "h01", "h10", "h11")) == 0:
         none = F.lit(None).cast("double")
         return docs.select(
             column(docs, id_column).alias("doc_id"), none.alias("text_score"), none.alias("meta_score"), none.alias("score"),
@@ -309,24 +375,32 @@ def assess(
         )
     rows = settle(features(docs, place, *columns, numbers), "features")
 
-    text, meta = View(dim), View(META_DIM)
-    given: dict[str, list[Rows]] = {"text_ids": [], "meta_ids": []}
+    text, meta = views["text_ids"], views["meta_ids"]
+    train = fit_on
     for turn in range(rounds + 1):
-        _fit(text, "text_ids", fit_on, given["text_ids"], held_out)
-        _fit(meta, "meta_ids", fit_on, given["meta_ids"], held_out)
+        fit_views(views, train)
+        raw, y = raw_values(held_out, views)
+        for v, view in views.items():
+            view.calibrate(raw[v], y)
         if turn == rounds:
             break
         sure = float(np.log(confident / (1 - confident)))
         odds = settle(scored(rows, text, meta).where(f"abs(text_odds) >= {sure} or abs(meta_odds) >= {sure}").join(told.select("doc_id"), "doc_id", "left_anti"), "sure")
+        train = fit_on
         for by, to in (("text_odds", "meta_ids"), ("meta_odds", "text_ids")):
             halves = [
                 _first(odds.where(f"{by} >= {sure}"), max_pseudo // 2), _first(odds.where(f"{by} <= -{sure}"), max_pseudo // 2)
             ]
-            chosen = halves[0].unionByName(halves[1]).select("file", "row", (F.col(by) > 0).cast("int").alias("bad"))
-            given[to] = [_bring(rows, chosen, ["file", "row"])]
-
-    both = np.column_stack([v.log_odds(*held_out.view(n)) for v, n in ((text, "text_ids"), (meta, "meta_ids"))])
-    mixture, constant = logistic(both, held_out.y)
+            picked = settle(halves[0].unionByName(halves[1]).select("file", "row", (F.col(by) > 0).cast("int").alias("bad")), "picked")
+            # Pseudo-labels together weigh at most half as much as the labels, so they cannot outvote them.
+            weight = min(1.0, PSEUDO_WEIGHT * n_fit["n"] / max(picked.count(), 1))
+            given = rows.join(F.broadcast(picked), ["file", "row"]).select(
+                "doc_id", "bad", *VIEWS, *[F.lit(weight if v == to else 0.0).alias(f"{v}_weight") for v in VIEWS]
+            )
+            train = train.unionByName(given)
+        train = settle(train.repartition(PARTS), "train")
+
+    mixture, constant = logistic(np.column_stack([v.log_odds_of(raw[n]) for n, v in views.items()]), y)
 
     def chance(odds: Column) -> Column:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
