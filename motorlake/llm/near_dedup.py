@@ -9,9 +9,10 @@ the full sets.
 No bucket is expanded into pairs.  Equal sets are collapsed to one representative first.  In each
 bucket every member meets the least member only, and its best such pair is confirmed; further rounds
 do the same with other heads.  Members that end in one component need no more comparisons.  Members
-of one bucket in *different* components are then compared with each other, so no link between
-components is lost: each pair once, by its first common band, and in large buckets block by block with
-the confirmation inside the join, so that a bucket is spread over many tasks and gives links only.
+of one bucket in *different* components are then compared, so no link between components is lost: those
+outside the bucket's largest component with all others, each pair once, by its first common band and block by
+block, so that a bucket is spread over many tasks.  Of the pairs whose signatures are like, the likeliest of
+each two components is confirmed on the full sets first, and then all that are still apart.
 
 Defined results: texts without words have an empty set, link with nothing and are kept.  A text of
 fewer words than a shingle is one shingle.  Null texts count as empty.  Repeated rows are copies:
@@ -37,7 +38,7 @@ BANDS = MINIMA // ROWS
 LONGS = MINIMA * BITS // 64
 #: Six standard errors of the estimate below the threshold still count as candidates.
 MARGIN = 0.22
-#: Members of a bucket that one block compares with all others.
+#: Members outside a bucket's largest component that one block compares with all others.
 BLOCK = 128
 #: Rounds with other heads before what is apart is compared in full.
 ROUNDS = 3
@@ -164,8 +165,10 @@ def near_duplicates(
     # Copies of one set: the least rid stands for all.  Empty sets stand for themselves.
     key = [F.col("n_shingles"), F.col("key_a"), F.when(F.col("n_shingles") == 0, F.col("rid")).otherwise(F.col("key_b"))]
     keyed = signed.select("rid", "doc_id", "file", "row", *[c.alias(f"k{i}") for i, c in enumerate(key)])
-    first = keyed.groupBy("k0", "k1", "k2").agg(F.min("rid").alias("rep"))
-    base = settle(keyed.join(first, ["k0", "k1", "k2"]).select("rid", "rep", "doc_id", "file", "row", F.col("k0").alias("n_shingles")), "base")
+    # Stored before it is joined back, so that a hot set is split by the adaptive join; most sets have no copies.
+    first = settle(keyed.groupBy("k0", "k1", "k2").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "copied")
+    base = keyed.join(first, ["k0", "k1", "k2"], "left").select("rid", F.coalesce("rep", "rid").alias("rep"), "doc_id", "file", "row", F.col("k0").alias("n_shingles"))
+    base = settle(base, "base")
 
     sig = [f"s{j}" for j in range(LONGS)]
     reps = base.where("rid = rep AND n_shingles > 0").select("rid")
@@ -232,30 +235,38 @@ def near_duplicates(
         merged = merged_roots(confirmed(best, sets, percent), everyone.join(moved, "root0").select("rid", "root"))
         moved = settle(moved.join(merged, "root", "left").select("root0", F.coalesce("into", "root").alias("root")), "roots")
 
-    # What is still apart is compared in full.  A pair is told by the first of the bands that both are
-    # in.  In small buckets pairs of like signatures are confirmed afterwards; large ones are cut in
-    # blocks and confirm on the full sets inside the join, so only links come out of it.
+    # What is still apart is compared in full.  Only members of different roots can bring a link, so in each
+    # bucket those outside its largest root meet all others: a cluster that has merged costs its size times the
+    # strays beside it.  Both travel with their signatures only; the outsiders are cut in blocks.  A pair is told by
+    # the first of the bands that both are in.
     now = inside.join(moved, "root0")
+    shares = settle(now.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")), "shares")
     sizes = settle(
-        now.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band", "m"), "sizes"
+        shares.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("top"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0"), "sizes"
     )
-    rows = settle(now.join(sizes, "band").select("band", "m", "rid", "root"), "members")
+    rows = settle(now.join(sizes, "band").select("band", "top", "outside", "rid", "root"), "members")
+    blocks = F.ceil(F.col("outside") / F.lit(BLOCK)).cast("int")
+    outside = rows.where("root != top").withColumn("block", F.pmod(F.xxhash64("rid"), blocks).cast("int"))
+    every = rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     earlier = F.array_position("bu", F.col("band")).cast("int") - 1
     new = ~F.arrays_overlap(F.slice("bu", F.lit(1), earlier), F.slice("bv", F.lit(1), earlier))
-    small = rows.where(F.col("m") <= BLOCK)
-    near = side(small, "u", ["band"]).join(side(small, "v", ["band"]), "band").where((F.col("ru") < F.col("rv")) & fits & new)
-    linked = confirmed(settle(near.select("u", "v"), "near"), sets, percent)
-
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    large = rows.where(F.col("m") > BLOCK)
-    one = side(large.withColumn("block", F.pmod(F.xxhash64("rid"), blocks).cast("int")), "u", ["band", "block"])
-    other = side(large.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))), "v", ["band", "block"])
-    one = one.join(sets.select(F.col("rid").alias("u"), F.col("shingles").alias("a")), "u")
-    other = other.join(sets.select(F.col("rid").alias("v"), F.col("shingles").alias("b")), "v")
-    both = F.size(F.array_intersect("a", "b"))
-    alike = F.lit(100) * both >= F.lit(percent) * (F.col("nu") + F.col("nv") - both)
-    within = one.join(other, ["band", "block"]).where((F.col("ru") < F.col("rv")) & fits & new & alike).select("u", "v")
-    merged = merged_roots(settle(linked.unionByName(within), "links"), everyone.join(moved, "root0").select("rid", "root"))
+    # Of two outsiders each pair once; with a member of the largest root it comes once anyway.
+    other = (F.col("ru") != F.col("rv")) & ((F.col("rv") == F.col("top")) | (F.col("ru") < F.col("rv")))
+    near = side(outside, "u", ["band", "block", "top"]).join(side(every, "v", ["band", "block"]), ["band", "block"]).where(other & fits & new)
+    near = settle(near.select("u", "v", "ru", "rv", like.alias("like")), "near")
+    # One link joins two roots: the likeliest pair of each two is confirmed first, then what is still apart.
+    pair = [F.least("ru", "rv"), F.greatest("ru", "rv")]
+    best = near.groupBy(pair[0].alias("r0"), pair[1].alias("r1")).agg(F.max_by(F.struct("u", "v"), F.struct("like", "u", "v")).alias("p")).select("p.u", "p.v")
+    merged = merged_roots(confirmed(settle(best, "best"), sets, percent), everyone.join(moved, "root0").select("rid", "root"))
+    moved = settle(moved.join(merged, "root", "left").select("root0", F.coalesce("into", "root").alias("root")), "roots")
+    into = merged.withColumnRenamed("root", "r")
+    left = (
+        near.join(into.withColumnRenamed("into", "iu"), F.col("ru") == F.col("r"), "left").drop("r")
+        .join(into.withColumnRenamed("into", "iv"), F.col("rv") == F.col("r"), "left").drop("r")
+        .where(F.coalesce("iu", "ru") != F.coalesce("iv", "rv")).select("u", "v")
+    )
+    linked = confirmed(settle(left, "left"), sets, percent)
+    merged = merged_roots(settle(linked, "links"), everyone.join(moved, "root0").select("rid", "root"))
     moved = moved.join(merged, "root", "left").select("root0", F.coalesce("into", "root").alias("into"))
 
     final = (

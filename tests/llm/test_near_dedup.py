@@ -61,6 +61,18 @@ def test_members_far_from_the_bucket_head(spark):
     check(spark.createDataFrame(rows(texts + chain), DOCS), 2)
 
 
+def test_merged_giant_beside_strays(spark, monkeypatch):
+    """A large cluster, exact copies of it, and texts just too far from it, some of which only a late member links."""
+    rnd = random.Random(11)
+    origin = words(rnd, 120, 100_000)
+    cluster = [edited(rnd, origin, 0.03) for _ in range(260)]
+    strays = [edited(rnd, origin, 0.16) for _ in range(50)]
+    late = [edited(rnd, cluster[k], 0.05) for k in range(0, 40, 4)]
+    other = [edited(rnd, strays[0], 0.03) for _ in range(150)]
+    docs = spark.createDataFrame(rows(cluster + [cluster[7]] * 90 + strays + late + other), DOCS)
+    check(docs, 2)
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(50)]
