@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from motorlake.catalog.registry import query
-from motorlake.catalog.actions import risk_predictions
+from motorlake.catalog.actions import mean_forecasts, ranked_claims, risk_predictions
 from motorlake.catalog.cleaning import tagged
+from motorlake.catalog.scoring import readings, sensor_forest
 from motorlake.catalog.sql import DAY, STAMP, sql
 from motorlake.plans import silver
+from motorlake.plans.scoring import sensor_anomalies, stable_id
 from motorlake.plans.warehouse import PROCESSED_AT, SILVER_BATCH, open_warehouse
-from motorlake.session import scratch_path
+from motorlake.session import scratch_path, settle
 from motorlake.sources import lake, manifest
 from motorlake.sources.adapters import SNAPSHOT_DATE, raw_set, table
 
@@ -154,9 +156,34 @@ def a11(spark, sf_dir):
 @query("a12_prediction_table", sql("SELECT risk_tier, count(*) AS rows FROM tiered GROUP BY 1"))
 def a12(spark, sf_dir):
     """Predictions in the operational table."""
-    name = "predictions_" + scratch_path(spark, "t").rsplit("-", 1)[1]
-    lake.write_predictions(risk_predictions(spark, sf_dir), name)
-    return spark.table(name).groupBy("risk_tier").agg(F.count("*").alias("rows"))
+    rows = risk_predictions(spark, sf_dir).withColumn("prediction_id", stable_id("vehicle_id", "cutoff_date"))
+    stored = lake.write_predictions(rows, scratch_path(spark, "predictions"), "prediction_id", F.col("cutoff_date"), "B-1")
+    return stored.groupBy("risk_tier").agg(F.count("*").alias("rows"))
+
+
+@query(
+    "a12_operational_predictions",
+    sql("""SELECT 'risk' AS kind, count(*) AS rows, count(DISTINCT cutoff) AS days FROM scored
+UNION ALL SELECT 'sensor', count(*), count(DISTINCT CAST(ts AS DATE)) FROM sensor_rows
+UNION ALL SELECT 'demand', 14 * count(DISTINCT dealer_id), 14 FROM series
+UNION ALL SELECT 'claim', count(*), 1 FROM cfeat"""),
+)
+def a12_all(spark, sf_dir):
+    """All four kinds of predictions, each written twice and once more under another batch: every key is there once."""
+    kinds = {
+        "risk": (risk_predictions(spark, sf_dir).withColumn("prediction_id", stable_id("vehicle_id", "cutoff_date")), "prediction_id", "cutoff_date"),
+        "sensor": (sensor_anomalies(sensor_forest(spark, sf_dir), readings(spark, sf_dir), "v1", PROCESSED_AT), "anomaly_id", "window_timestamp"),
+        "demand": (mean_forecasts(spark, sf_dir).withColumn("forecast_id", stable_id("dealer_id", "forecast_date")), "forecast_id", "forecast_date"),
+        "claim": (ranked_claims(spark, sf_dir), "anomaly_id", "flagged_at"),
+    }
+    out = None
+    for kind, (rows, key, day) in kinds.items():
+        path = scratch_path(spark, f"predictions-{kind}")
+        for batch in ("B-1", "B-1", "B-2"):
+            stored = lake.write_predictions(rows, path, key, F.col(day), batch)
+        one = stored.agg(F.lit(kind).alias("kind"), F.count("*").alias("rows"), F.count_distinct("_day").alias("days"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("a13_changed_files", sql("""SELECT day, rows > 0 AS has_rows, day = '2024-01-05' OR day >= '2024-01-30' AS is_changed
@@ -171,19 +198,42 @@ def a13(spark, sf_dir):
     )
     put(e.where(F.col("day") < "2024-01-30"))
     csv_only = lambda files: files.where(F.col("path").endswith(".csv"))
-    from motorlake.session import settle
-
     seen = csv_only(manifest.scan_files(spark, path))
-    blank = seen.limit(0).withColumns({"ingestion_batch_id": F.lit(""), "processed_at": F.lit("")})
-    known = settle(manifest.record_processed(blank, seen, "B-1", PROCESSED_AT), "manifest")
+    known = settle(manifest.record_processed(manifest.empty_manifest(spark), seen, "B-1", PROCESSED_AT), "manifest")
     put(e.where(F.col("day") == "2024-01-05").withColumn("value", F.col("value") + 1))
     put(e.where(F.col("day") >= "2024-01-30"))
-    changed = manifest.changed_files(csv_only(manifest.scan_files(spark, path)), known)
+    changed = manifest.changed_files(csv_only(manifest.scan_files(spark, path, manifest=known)), known)
     return changed.select(
         F.regexp_extract("path", r"day=([0-9-]+)", 1).alias("day"), (F.col("file_size") > 0).alias("has_rows"), "is_changed"
     )
 
 
+@query("a13_ingest_changed", sql("SELECT event_id, CASE WHEN strftime(ts, '%Y-%m-%d') = '2024-01-05' THEN value + 1 ELSE value END AS value FROM ev WHERE strftime(ts, '%Y-%m-%d') = '2024-01-05' OR strftime(ts, '%Y-%m-%d') >= '2024-01-30'"))
+def a13_ingest(spark, sf_dir):
+    """After the first scan the rows of changed and new files only are read, and the next scan finds no change."""
+    path = scratch_path(spark, "files")
+    e = table(spark, sf_dir, "events").select("event_id", "value", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+
+    def put(rows):
+        rows.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+    def scan(known):
+        files = manifest.scan_files(spark, path, manifest=known)
+        return settle(manifest.changed_files(files.where(F.col("path").endswith(".parquet")), known), "scan")
+
+    put(e.where(F.col("day") < "2024-01-30"))
+    known = manifest.empty_manifest(spark)
+    known = settle(manifest.record_processed(known, scan(known), "B-1", PROCESSED_AT), "manifest")
+    put(e.where(F.col("day") == "2024-01-05").withColumn("value", F.col("value") + 1))
+    put(e.where(F.col("day") >= "2024-01-30"))
+    changed = scan(known)
+    rows = manifest.read_changed(changed, lambda paths: spark.read.parquet(*paths))
+    known = settle(manifest.record_processed(known, changed.where("is_changed"), "B-2", PROCESSED_AT), "manifest")
+    if scan(known).where("is_changed").count():
+        raise AssertionError("a processed file counts as changed")
+    return rows.select("event_id", "value")
+
+
 @query("a14_materialize", sql("SELECT 'view' AS kind, count(*) AS rows FROM srv_month UNION ALL SELECT 'table', count(*) FROM srv_month"))
 def a14(spark, sf_dir):
     """One model as a view and as a table."""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql import Observation
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from motorlake import config
 from motorlake.schemas import raw_text_schema
@@ -112,9 +112,25 @@ def archive_predictions(df: DataFrame, path: str, written_at: str) -> None:
     )
 
 
-def write_predictions(df: DataFrame, table: str) -> None:
-    """Append to the operational prediction table."""
-    df.write.mode("append").format("parquet").saveAsTable(table)
+def write_predictions(df: DataFrame, path: str, key: str, day: Column, batch: str) -> DataFrame:
+    """Append predictions to the operational table below ``path``, each key once; gives the table.
+
+    Rows lie below _day and _batch.  A key holds its day, so only the batch's own days are read for known keys,
+    and a batch that is written again overwrites its own folders and adds nothing.
+    """
+    spark = df.sparkSession
+    rows = df.dropDuplicates([key]).withColumns({"_day": day.cast("date"), "_batch": F.lit(batch)})
+    try:
+        table = spark.read.schema(rows.schema).parquet(path)
+    except AnalysisException as e:  # the first batch
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    else:
+        low, high = (rows.agg(f("_day").alias("d")).scalar() for f in (F.min, F.max))
+        known = table.where(F.col("_day").between(low, high) & (F.col("_batch") != batch)).select(key)
+        rows = rows.join(known, key, "left_anti")
+    rows.select(*df.columns, "_day", "_batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_day", "_batch").parquet(path)
+    return spark.read.schema(rows.select(*df.columns, "_day", "_batch").schema).parquet(path)
 
 
 def write_predictions_jdbc(df: DataFrame, url: str, table: str, batch: int = 2000, **options: str) -> None:

@@ -218,6 +218,39 @@ def test_manifest_finds_new_and_changed_files(spark, tmp_path):
     assert sorted(r["path"][-5:] for r in changed.collect()) == ["b.csv", "d.csv"]
 
 
+def test_a_file_is_never_a_row(spark, tmp_path):
+    """A sparse file of more than 2 GB is hashed in chunks; files of the recorded size and time are not read again."""
+    import hashlib
+    import os
+
+    size = (2 << 30) + 5
+    with open(tmp_path / "big.bin", "wb") as f:
+        f.truncate(size)
+    (tmp_path / "é b.csv").write_text("x")
+    scanned = {r["path"].rsplit("/", 1)[1]: r for r in manifest.scan_files(spark, str(tmp_path)).collect()}
+    state, zeros = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(2048):
+        state.update(zeros)
+    state.update(bytes(5))
+    assert scanned["big.bin"]["sha256"] == state.hexdigest() and scanned["big.bin"]["file_size"] == size
+    assert hashlib.sha256(b"x").hexdigest() in {r["sha256"] for r in scanned.values()}
+    known = spark.createDataFrame(list(scanned.values()), manifest.list_files(spark, str(tmp_path)).schema.add("sha256", "string"))
+    stat = os.stat(tmp_path / "big.bin")
+    with open(tmp_path / "big.bin", "r+b") as f:  # other content, same size and time: the record holds
+        f.write(b"1")
+    os.utime(tmp_path / "big.bin", ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    again = {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in manifest.scan_files(spark, str(tmp_path), manifest=known).collect()}
+    assert again["big.bin"] == state.hexdigest()
+
+
+def test_predictions_are_appended_once(spark, tmp_path):
+    rows = lambda *v: spark.createDataFrame([(f"p{k}", datetime(2026, 9, d), k) for k, d in v], "id string, at timestamp_ntz, n int")
+    path = str(tmp_path / "p")
+    for batch, part in (("a", rows((1, 1), (2, 2), (2, 2))), ("b", rows((2, 2), (3, 3))), ("a", rows((1, 1), (2, 2), (2, 2))), ("c", rows((3, 3), (9, 30)))):
+        table = lake.write_predictions(part, path, "id", F.col("at"), batch)
+    assert sorted((r["id"], r["_batch"]) for r in table.collect()) == [("p1", "a"), ("p2", "a"), ("p3", "b"), ("p9", "c")]
+
+
 def test_raw_csv_keeps_row_order_positions(spark, tmp_path):
     lines = ["dealer_id,name,region,city,bays"] + [f"D{i},n,r,c,{i}" for i in range(200)]
     (tmp_path / "dealers.csv").write_text("\n".join(lines))
