@@ -158,6 +158,32 @@ def c7_diagnostics(spark, sf_dir):
     )
 
 
+@query(
+    "c7_compaction_life_cycle",
+    sql(f"""SELECT vehicle_id, {STAMP.format("date_trunc('hour', ts)")} AS timestamp, 1 AS silver_rows, count(*) - 1 AS quarantine_rows, TRUE AS first_archived
+FROM tel_raw GROUP BY vehicle_id, date_trunc('hour', ts)"""),
+)
+def c7_life_cycle(spark, sf_dir):
+    """Two landings of readings on an hourly grid, slow vehicles first, compacted one after the other; the first one's files are archived."""
+    configure(spark)
+    tel = raw_set(spark, sf_dir, "telemetry").select(
+        "vehicle_id", F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("timestamp"), "rpm", F.col("temperature").cast("double").alias("temperature"),
+        F.col("battery").cast("double").alias("battery"), F.col("vibration").cast("double").alias("vibration"), F.col("_row_seq").cast("long").alias("seq"),
+    )
+    schema = ", ".join(f"{c} {t}" for c, t in tel.dtypes)
+    landed, good, bad, archive, cp = (scratch_path(spark, x) for x in ("landed", "good", "bad", "archive", "cp"))
+    for part in (tel.where("rpm < 1500"), tel.where("rpm >= 1500")):
+        part.write.mode("append").parquet(landed)
+        landing.compact_landed(spark, "telemetry", landed, good, bad, archive, cp, schema, ["seq"])
+    archived = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(archive).select((F.count("*") > 0).alias("y")).scalar()
+    keys = ["vehicle_id", "timestamp"]
+    each = lambda path, layer: spark.read.parquet(path).select(*keys, F.lit(layer).alias("layer"))
+    counts = each(good, "s").unionAll(each(bad, "q")).groupBy(*keys).agg(
+        F.count_if(F.col("layer") == "s").alias("silver_rows"), F.count_if(F.col("layer") == "q").alias("quarantine_rows")
+    )
+    return counts.withColumn("first_archived", archived)
+
+
 def events_stream(spark, sf_dir):
     """The given events as a stream of readings."""
     configure(spark)

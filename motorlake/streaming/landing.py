@@ -5,13 +5,15 @@ from __future__ import annotations
 import threading
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from motorlake import config
 from motorlake.operators.dedup import tag_kept
 from motorlake.plans import silver
+from motorlake.session import settle
 from motorlake.streaming.contracts import PARSERS, business_cols, to_dlq
 
 
@@ -138,24 +140,38 @@ def compact(
     ).drop("_fresh")
 
 
+def _known(spark: SparkSession, path: str, number: int, days: tuple[int, int] | None, like: DataFrame) -> DataFrame:
+    """Silver rows of other batches in the folders of the given days; no others are listed into the scan."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as e:  # nothing compacted yet
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return like.limit(0)
+    low, high = days or (0, 0)
+    day = F.col("year") * 10_000 + F.col("month") * 100 + F.col("day")
+    return rows.where((F.col("_batch") != number) & day.between(low, high))
+
+
 def compaction_writer(spark: SparkSession, kind: str, silver_path: str, quarantine_path: str, arrival: list[str]):
     """foreachBatch function: every batch is stored below its own number, so a batch that is
-    run again replaces itself instead of adding rows twice."""
+    run again replaces itself instead of adding rows twice.
+
+    The batch is read once and its tags are stored once, before they are split into both outputs.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        try:
-            known = spark.read.parquet(silver_path).where(F.col("_batch") != number)
-        except Exception as e:  # nothing compacted yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            known = batch.limit(0)
         t = F.col("timestamp")
+        met = Observation()
+        days = F.year(t) * 10_000 + F.month(t) * 100 + F.dayofmonth(t)
+        rows = settle(batch.observe(met, F.min(days).alias("low"), F.max(days).alias("high")), "landed")
+        span = (met.get["low"], met.get["high"]) if met.get.get("low") is not None else None
         parts = {"year": F.year(t), "month": F.month(t), "day": F.dayofmonth(t), "_batch": F.lit(number)}
-        tagged = compact(batch, known, kind, arrival).withColumns(parts)
+        tagged = settle(compact(rows, _known(spark, silver_path, number, span, rows), kind, arrival), "tagged").withColumns(parts)
         clean = tagged.where(F.col(silver.RULE).isNull()).drop(silver.RULE, silver.REASON)
-        for rows, path in ((clean, silver_path), (tagged.where(F.col(silver.RULE).isNotNull()), quarantine_path)):
+        for part, path in ((clean, silver_path), (tagged.where(F.col(silver.RULE).isNotNull()), quarantine_path)):
             (
-                rows.write.mode("overwrite")
+                part.write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
                 .partitionBy(*parts)
                 .parquet(path)
@@ -164,6 +180,24 @@ def compaction_writer(spark: SparkSession, kind: str, silver_path: str, quaranti
     return write
 
 
+def compact_landed(
+    spark: SparkSession, kind: str, landed: str, silver_path: str, quarantine_path: str, archive: str, checkpoint: str, schema: str, arrival: list[str]
+) -> None:
+    """Compact all landed files that no earlier run has compacted, and archive those whose batch is committed.
+
+    Two phases.  The source's log records which files a batch has; the batch's number names its outputs,
+    so a run that stopped in between is repeated without loss or doubles.  Only then are the files
+    moved below ``archive``: those of the last batch by the next run, as its commit must be on record first.
+    """
+    stream = (
+        spark.readStream.schema(schema).option("cleanSource", "archive").option("sourceArchiveDir", archive)
+        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(landed)
+    )
+    write = compaction_writer(spark, kind, silver_path, quarantine_path, arrival)
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def dedup_stream(events: DataFrame, keys: list[str], watermark: str = "1 day", ts: str = "timestamp") -> DataFrame:
     """Continuous first-seen deduplication.  Copies vanish silently, so where they must be kept
     use the compaction above; state is dropped once the watermark has passed."""

@@ -107,6 +107,44 @@ def test_compaction_batches_can_be_replayed(spark):
     assert sorted(r["seq"] for r in spark.read.parquet(bad).collect()) == [2, 3]
 
 
+def test_compaction_life_cycle(spark, tmp_path, monkeypatch):
+    """A crash between the two outputs loses and doubles nothing; files are archived once their batch is committed."""
+    landed, good, bad, archive, cp = (str(tmp_path / x) for x in ("landed", "good", "bad", "archive", "cp"))
+
+    def land(rows):
+        spark.createDataFrame(rows, TEL).coalesce(1).write.mode("append").parquet(landed)
+
+    def run():
+        landing.compact_landed(spark, "telemetry", landed, good, bad, archive, cp, TEL, ["seq"])
+
+    def files(path):
+        return len([p for p in (tmp_path / path).rglob("*.parquet")])
+
+    land([reading("VH-1", 0, 0), reading("VH-1", 0, 1)])
+    real, written = landing.settle, []
+
+    def broken(df, label="x"):
+        if label == "tagged":
+            written.append(label)
+            raise RuntimeError("machine lost")
+        return real(df, label)
+
+    monkeypatch.setattr(landing, "settle", broken)
+    with pytest.raises(Exception):
+        run()
+    assert written and files("landed") == 1
+    monkeypatch.setattr(landing, "settle", real)
+    run()
+    land([reading("VH-1", 0, 2), reading("VH-2", 0, 3)])
+    run()
+    run()
+    assert sorted(r["seq"] for r in spark.read.parquet(good).collect()) == [0, 3]
+    assert sorted(r["seq"] for r in spark.read.parquet(bad).collect()) == [1, 2]
+    assert files("archive") >= 1 and files("landed") + files("archive") == 2
+    plan = landing._known(spark, good, 99, (20260901, 20260901), spark.createDataFrame([], TEL))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "year" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def at(minute, day=1):
     return datetime(2026, 9, day, 10, minute)
 
