@@ -26,7 +26,12 @@ def resolve_telemetry(silver: DataFrame, dim_vehicle: DataFrame) -> DataFrame:
 
 
 def new_telemetry(resolved: DataFrame, fact: DataFrame) -> DataFrame:
-    """Readings whose (vehicle, time) the fact does not hold.  Copies inside one batch stay."""
+    """Readings whose (vehicle, time) the fact does not hold.  Copies inside one batch stay.
+
+    The time is part of the key, so only the folders of the batch's own days are read.
+    """
+    low, high = (resolved.agg(f("date_key").alias("d")).scalar() for f in (F.min, F.max))
+    fact = fact.where((F.col("date_key") >= low) & (F.col("date_key") <= high))
     return resolved.join(fact.select("vehicle_key", "timestamp"), ["vehicle_key", "timestamp"], "left_anti")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from motorlake import config
@@ -22,13 +24,20 @@ def _cutoffs_where(cutoffs: list[str], holds) -> Column:
 
 
 def _days_between(df: DataFrame, column: str, cutoffs: list[str], back: int | None, ahead: int) -> DataFrame:
-    """Only the days any cutoff can use, as a range on the stored column that the scan can skip by."""
+    """Only the days any cutoff can use, as a range on the stored column that the scan can skip by, and on the
+    folders of a fact that is kept by day.
+    """
     first, last = min(cutoffs), max(cutoffs)
     kind = df.schema[column].dataType
     end = F.date_add(F.lit(last).cast("date"), ahead + 1).cast(kind)
     kept = df.where(F.col(column) < end)
     if back is not None:
         kept = kept.where(F.col(column) >= F.date_sub(F.lit(first).cast("date"), back).cast(kind))
+    if "date_key" in df.columns:
+        key = lambda day, days: int((date.fromisoformat(day) + timedelta(days)).strftime("%Y%m%d"))
+        kept = kept.where(F.col("date_key") <= key(last, ahead))
+        if back is not None:
+            kept = kept.where(F.col("date_key") >= key(first, -back))
     return kept
 
 

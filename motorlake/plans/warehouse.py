@@ -18,6 +18,10 @@ PROCESSED_AT = "2024-03-02 00:00:00"
 LOADED_AT = "2024-03-03 00:00:00"
 
 
+#: Tables kept in folders by a column that scans filter on.
+FOLDERS = {"fact_telemetry": ["date_key"]}
+
+
 class Warehouse:
     """Tables below one folder.
 
@@ -52,18 +56,22 @@ class Warehouse:
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """First load of a table."""
-        df.write.mode("overwrite").parquet(self._place(name))
+        self._put(name, df, "overwrite", self._place(name))
         return self.table(name)
 
+    def _put(self, name: str, df: DataFrame, mode: str, place: str) -> None:
+        out = df.write.mode(mode)
+        (out.partitionBy(*FOLDERS[name]) if name in FOLDERS else out).parquet(place)
+
     def append(self, name: str, df: DataFrame) -> DataFrame:
         """Add rows; what is there is not touched."""
-        df.write.mode("append").parquet(self._place(name))
+        self._put(name, df, "append", self._place(name))
         return self.table(name)
 
     def replace(self, name: str, df: DataFrame) -> DataFrame:
         """New contents, possibly computed from the old."""
         place = f"{self.path}/{name}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(place)
+        self._put(name, df, "error", place)
         try:
             number = self._newest(name)["number"] + 1
         except AnalysisException as e:

@@ -154,6 +154,24 @@ def test_second_load_adds_nothing(spark, sf_dir):
         assert quality.duplicates(w.table(name), [key]).count() == 0
 
 
+def test_scans_read_the_folders_of_their_days(spark, sf_dir):
+    from motorlake.plans import features
+    from motorlake.plans import warehouse as wh
+
+    w = wh.open_warehouse(spark, sf_dir)
+    fact, vehicles = w.table("fact_telemetry"), w.table("dim_vehicle")
+
+    def filters(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return plan.split("PartitionFilters: [")[1].split("]")[0]
+
+    assert "date_key" in filters(features.telemetry_window_features(fact, vehicles, ["2024-01-10"]))
+    part = fact.where("date_key = 20240105").drop("telemetry_fact_id", "_loaded_at")
+    new = facts.new_telemetry(part.withColumn("vehicle_key", F.lit(10**9)), fact)
+    assert new.count() == part.count() and facts.new_telemetry(part, fact).count() == 0
+    assert any("date_key" in p for p in new._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1:])
+
+
 def test_load_keeps_rejected_rows(spark, sf_dir, monkeypatch):
     from motorlake.plans import warehouse as wh
     from motorlake.session import scratch_path
