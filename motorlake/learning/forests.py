@@ -10,6 +10,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from motorlake import config
+from motorlake.session import scratch_path
 
 
 def balanced_weights(df: DataFrame, label: str = "target") -> DataFrame:
@@ -26,7 +27,12 @@ def fit_failure_risk(df: DataFrame, trees: int = config.N_TREES, seed: int = con
         maxDepth=config.FAILURE_DEPTH, seed=seed,
     )
     assembler = VectorAssembler(inputCols=config.FAILURE_FEATURES, outputCol="features")
-    return Pipeline(stages=[assembler, forest]).fit(balanced_weights(df))
+    fitted = Pipeline(stages=[assembler, forest]).fit(balanced_weights(df))
+    # Stored and read again: the fitted classifier carries its training summary, and with it the session, which
+    # cannot be sent to tasks once an observation has run in it.
+    path = scratch_path(df.sparkSession, "risk-model")
+    fitted.write().save(path)
+    return PipelineModel.load(path)
 
 
 def score_failure_risk(model: PipelineModel, df: DataFrame) -> DataFrame:
