@@ -182,8 +182,7 @@ ACTION_TEXT = {
 AUDIT_NOTE = "Audit prioritization only; no claim of illegal activity"
 
 # ---- fixed values: quarantine rule codes and reasons ---------------------------------------
-# dataset -> ordered list of (rule code, reason template); %s is filled with the
-# offending value where the template has one.
+# rule code -> reason; %s is filled with the offending value where the reason has one.
 REASONS = {
     "RULE_TEL_PK_NOT_NULL": "Mandatory vehicle_id or timestamp is null/empty",
     "RULE_TEL_TYPE_ERROR": "Failed to parse numerical sensor signals",
