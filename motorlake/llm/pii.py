@@ -2,16 +2,24 @@
 
 Base kinds are found by pattern in whole texts.  The protected entities are their values.  How far
 a term t reveals an entity e is estimated from the corpus: with N documents, df documents that have
-t or e, and c documents in which t stands near e, the term's pointwise mutual information with e is
-log(N c / (df(t) df(e))), at most the information log(N / df(e)) that masking e should keep.  Their
-ratio is the term's disclosure of e.  Terms from ``remove_from`` on are removed beside mentions of
-e, terms from ``generalise_from`` on are generalised.  A pair counts only with ``support`` different
-texts, so copies of one text prove nothing.
+t or e, and c documents that have both, wherever they stand, the term's pointwise mutual information
+with e is log(N c / (df(t) df(e))), at most the information log(N / df(e)) that masking e should
+keep.  Their ratio is the term's disclosure of e, and a term's disclosure is its largest.  Terms from
+``remove_from`` on are removed, terms from ``generalise_from`` on are generalised, in every
+occurrence in the corpus, also where the entity itself is not named.  A pair counts only with
+``support`` different texts, so copies of one text prove nothing.  Terms are words of three letters
+or more; words inside an e-mail address are none.
 
 Patterns run in one pass over the texts.  A mention's place is the sum of the lengths of the gaps
-and matches before it, added up by a window in its document, so long lists cost no more than
-their sum.  Terms are looked for in the ``context`` characters on either side of a mention, up to
-the next mention of its kind; document counts of terms cover the whole corpus.
+and matches before it, added up by a window in its document, so long lists cost no more than their
+sum.
+
+Pairs are counted on different texts with their numbers of copies, not on documents.  As c is at most
+df(e), a term with more than df(e)^g N^(1-g) documents, g being ``generalise_from``, cannot reach the
+threshold and makes no pair, and neither does a term of one document or an entity of one text.
+Entities of the same texts have the same pairs, and so have terms of the same texts: pairs are made
+of such classes, known by 128 bits of hashes, so that a list of values copied into many texts
+makes one pair a text and not a product.
 
 Defined results: a null text counts as empty and has no spans.  Repeated rows are counted one by
 one; a null id is returned as null.  Spans of different kinds may overlap; in the sanitised text a
@@ -37,7 +45,6 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"\p{L}{3,}"
-CONTEXT = 200
 
 
 def _digits(value: Column) -> Column:
@@ -61,8 +68,8 @@ def _entity(kind: Column, value: Column) -> Column:
     return F.concat_ws(":", kind, F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
 
 
-def mentions(docs: DataFrame, place: Column, text_column: str = "text", context: int = CONTEXT) -> DataFrame:
-    """file, row, text_key, kind, start, end, value, left, right: a row for each base match that holds.
+def mentions(docs: DataFrame, place: Column, text_column: str = "text") -> DataFrame:
+    """file, row, text_key, kind, start, end, value: a row for each base match that holds.
 
     Positions are code points, end exclusive.
     """
@@ -84,68 +91,117 @@ def mentions(docs: DataFrame, place: Column, text_column: str = "text", context:
         "file", "row", "text_key", F.col("k.kind").alias("kind"),
         F.posexplode(F.arrays_zip(
             F.col("k.values").alias("value"),
-            F.transform(F.slice("k.gaps", F.lit(1), F.size("k.values")), lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(context)).alias("left"))).alias("gap"),
-            F.transform(F.slice("k.gaps", F.lit(2), F.size("k.values")), lambda g: F.left(g, F.lit(context))).alias("right"),
+            F.transform(F.slice("k.gaps", F.lit(1), F.size("k.values")), F.length).alias("gap"),
         )).alias("nth", "m"),
     )
     before = Window.partitionBy("file", "row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     placed = one_by_one.select(
-        "file", "row", "text_key", "kind", F.col("m.value").alias("value"), F.col("m.gap.left").alias("left"), F.col("m.right").alias("right"),
-        F.sum(F.col("m.gap.n") + F.length("m.value")).over(before).cast("long").alias("end"),
+        "file", "row", "text_key", "kind", F.col("m.value").alias("value"),
+        F.sum(F.col("m.gap") + F.length("m.value")).over(before).cast("long").alias("end"),
     )
     return placed.where(valid(F.col("kind"), F.col("value"))).select(
-        "file", "row", "text_key", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value", "left", "right"
+        "file", "row", "text_key", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value"
     )
 
 
-def nearby_terms(found: DataFrame) -> DataFrame:
-    """file, row, text_key, entity, term, start, end: the words beside each mention."""
-    sides = found.select(
-        "file", "row", "text_key", _entity(F.col("kind"), F.col("value")).alias("entity"), F.col("kind").alias("by"), F.col("start").alias("at"),
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("side"), F.col("left").alias("s"), (F.col("start") - F.length("left")).alias("base")),
-            F.struct(F.lit(1).alias("side"), F.col("right").alias("s"), F.col("end").alias("base")),
-        )).alias("c"),
-    )
-    words = sides.select(
-        "file", "row", "text_key", "entity", "by", "at", "c.side", "c.base",
-        F.posexplode(F.arrays_zip(
-            F.regexp_extract_all("c.s", F.lit(TERM), F.lit(0)).alias("word"),
-            F.transform(F.split("c.s", TERM, -1), lambda g: F.length(g)).alias("gap"),
-        )).alias("nth", "w"),
+def _prose(text: Column) -> Column:
+    """The text with each e-mail address overwritten by as many signs that are no letters."""
+    addresses = F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0))
+    overwritten = F.zip_with(
+        F.split(text, PATTERNS["email"], -1), addresses, lambda gap, a: F.concat(gap, F.coalesce(F.rpad(F.lit(""), F.length(a), F.lit("@")), F.lit("")))
     )
-    upto = Window.partitionBy("file", "row", "by", "at", "side").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        words.withColumn("stop", F.sum(F.col("w.gap") + F.coalesce(F.length("w.word"), F.lit(0))).over(upto))
-        .where("w.word is not null")
-        .select(
-            "file", "row", "text_key", "entity", F.lower("w.word").alias("term"),
-            (F.col("base") + F.col("stop") - F.length("w.word")).alias("start"), (F.col("base") + F.col("stop")).alias("end"),
-        )
+    return F.when(text.contains("@"), F.array_join(overwritten, "")).otherwise(text)
+
+
+def _terms(text: Column) -> Column:
+    """The words of a text in order, in lower case."""
+    return F.transform(F.regexp_extract_all(_prose(text), F.lit(TERM), F.lit(0)), F.lower)
+
+
+def _same_texts(of: str) -> list[Column]:
+    """Two hashes of a set of distinct texts, the same for all members of a class."""
+    return [F.bit_xor(F.xxhash64("text_key", F.lit(seed))).alias(f"{of}_set{seed}") for seed in (1, 2)]
+
+
+def disclosures(docs: DataFrame, place: Column, found: DataFrame, text_column: str, generalise_from: float, support: int) -> DataFrame:
+    """term, disclosure: the terms whose largest disclosure is ``generalise_from`` or more."""
+    text = text_of(docs, text_column)
+    total = docs.count()
+    rows = found.groupBy(_entity(F.col("kind"), F.col("value")).alias("entity"), "text_key", "file", "row").agg(F.lit(1).alias("x"))
+    texts = rows.groupBy("entity", "text_key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("file", "row")).alias("at"))
+    texts = settle(texts, "entity_texts")
+    entities = texts.groupBy("entity").agg(
+        F.sum("copies").alias("df_entity"), F.count(F.lit(1)).alias("n_texts"), *_same_texts("entity")
+    ).where((F.col("n_texts") >= support) & (F.col("df_entity") < total))
+    held = settle(
+        texts.join(entities, "entity").groupBy("df_entity", "entity_set1", "entity_set2", "text_key")
+        .agg(F.first("copies").alias("copies"), F.first("at").alias("at")),
+        "entity_classes",
     )
+    reach = held.agg(F.max("df_entity")).first()[0]
+    if reach is None:
+        return docs.sparkSession.createDataFrame([], "term string, disclosure double")
 
+    def most(df: Column) -> Column:
+        # A little more than the bound, as the threshold itself is tested on the disclosure.
+        return F.pow(df.cast("double"), F.lit(generalise_from)) * F.lit(float(total) ** (1 - generalise_from) * (1 + 1e-9))
 
-def disclosures(docs: DataFrame, near: DataFrame, found: DataFrame, text_column: str, support: int) -> DataFrame:
-    """entity, term, disclosure of the pairs with enough different texts."""
+    frequent = docs.select(F.explode(F.array_distinct(_terms(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
+    frequent = frequent.where((F.col("df_term") >= support) & (F.col("df_term") <= most(F.lit(reach))))
+    carriers = held.groupBy("text_key").agg(F.min("at").alias("at")).select("text_key", F.col("at.file").alias("file"), F.col("at.row").alias("row"))
+    own = docs.select(place["file"].alias("file"), place["row"].alias("row"), text.alias("text")).join(carriers, ["file", "row"]).select(
+        "text_key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")
+    )
+    term_texts = settle(own.join(frequent, "term"), "term_texts")
+    members = term_texts.groupBy("term", "df_term").agg(F.count(F.lit(1)).alias("n_texts"), *_same_texts("term")).where(F.col("n_texts") >= support)
+    members = settle(members, "term_members")
+    classes = settle(
+        term_texts.join(members.select("term", "term_set1", "term_set2"), "term").select("df_term", "term_set1", "term_set2", "text_key").distinct(),
+        "term_classes",
+    )
+    information = F.log(F.lit(float(total)) / F.col("df_entity"))
     pairs = (
-        near.groupBy("entity", "term", "text_key", "file", "row").agg(F.lit(1).alias("x"))
-        .groupBy("entity", "term", "text_key").agg(F.count(F.lit(1)).alias("rows"))
-        .groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count(F.lit(1)).alias("texts"))
-        .where(F.col("texts") >= support)
+        held.select("df_entity", "entity_set1", "entity_set2", "text_key", "copies").join(classes, "text_key")
+        .where(F.col("df_term") <= most(F.col("df_entity")))
+        .groupBy("df_entity", "entity_set1", "entity_set2", "df_term", "term_set1", "term_set2")
+        .agg(F.sum("copies").alias("both"), F.count(F.lit(1)).alias("n_texts"))
+        .where(F.col("n_texts") >= support)
+        .select("df_term", "term_set1", "term_set2", ((information + F.log(F.col("both") / F.col("df_term"))) / information).alias("disclosure"))
     )
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of(docs, text_column)), F.lit(TERM), F.lit(0)))).alias("term"))
-    term_docs = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-    entity_docs = (
-        found.select(_entity(F.col("kind"), F.col("value")).alias("entity"), "file", "row").distinct()
-        .groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
+    best = pairs.groupBy("df_term", "term_set1", "term_set2").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise_from)
+    return members.join(best, ["df_term", "term_set1", "term_set2"]).select("term", "disclosure")
+
+
+def occurrences(docs: DataFrame, place: Column, told: DataFrame, text_column: str) -> DataFrame:
+    """file, row, start, end, disclosure: every place of a told term in the texts."""
+    text = text_of(docs, text_column)
+    rows = docs.select(place["file"].alias("file"), place["row"].alias("row"), text.alias("text"))
+    words = rows.select("file", "row", F.posexplode(_terms(F.col("text"))).alias("nth", "term"))
+    hits = words.join(told, "term").groupBy("file", "row").agg(F.array_sort(F.collect_list(F.struct("nth", "disclosure"))).alias("hits"))
+    prose = rows.join(settle(hits, "term_hits"), ["file", "row"]).select("file", "row", "hits", _prose(F.col("text")).alias("prose")).select(
+        "file", "row", "hits",
+        F.transform(F.regexp_extract_all("prose", F.lit(TERM), F.lit(0)), F.length).alias("words"),
+        F.transform(F.split("prose", TERM, -1), F.length).alias("gaps"),
     )
-    total = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    information = F.log(total.select("n").scalar() / F.col("df_entity"))
-    mutual = information + F.log(F.col("both") / F.col("df_term"))
+
+    def length_between(first: Column, last: Column) -> Column:
+        """Of the gaps and words from ``first`` up to the gap before word ``last``; each is read once."""
+        def sum_of(items: str, n: Column) -> Column:
+            return F.aggregate(F.slice(items, first + 1, n), F.lit(0), lambda a, x: a + x)
+
+        return sum_of("gaps", last - first + 1) + sum_of("words", last - first)
+
+    stretches = F.transform("hits", lambda h, k: F.struct(
+        h["disclosure"].alias("disclosure"),
+        F.element_at("words", h["nth"] + 1).alias("own"),
+        F.when(k == 0, length_between(F.lit(0), h["nth"]))
+        .otherwise(length_between(F.col("hits")[F.greatest(k - 1, F.lit(0))]["nth"] + 1, h["nth"])).alias("before"),
+    ))
+    upto = Window.partitionBy("file", "row").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        pairs.join(term_docs, "term").join(entity_docs, "entity")
-        .select("entity", "term", F.when(information > 0, mutual / information).alias("disclosure"))
-        .where("disclosure is not null")
+        prose.select("file", "row", F.posexplode(stretches).alias("k", "s"))
+        .select("file", "row", "s.disclosure", "s.own", F.sum(F.col("s.before") + F.col("s.own")).over(upto).cast("long").alias("end"))
+        .select("file", "row", (F.col("end") - F.col("own")).alias("start"), "end", "disclosure")
     )
 
 
@@ -155,16 +211,14 @@ def find(
     generalise_from: float = 0.6,
     remove_from: float = 0.8,
     support: int = 2,
-    context: int = CONTEXT,
 ) -> DataFrame:
     """file, row, kind, start, end, action: all spans of ``docs``, whose rows must come from files (``located``)."""
     docs, place = located(docs)
-    base = settle(mentions(docs, place, text_column, context), "mentions")
-    near = settle(nearby_terms(base), "terms")
-    told = disclosures(docs, near, base, text_column, support).where(F.col("disclosure") >= generalise_from)
-    terms = near.join(told, ["entity", "term"]).groupBy("file", "row", "start", "end").agg(F.max("disclosure").alias("d")).select(
+    base = settle(mentions(docs, place, text_column), "mentions")
+    told = settle(disclosures(docs, place, base, text_column, generalise_from, support), "told")
+    terms = occurrences(docs, place, told, text_column).select(
         "file", "row", F.lit("term").alias("kind"), "start", "end",
-        F.when(F.col("d") >= remove_from, F.lit("remove")).otherwise("generalise").alias("action"),
+        F.when(F.col("disclosure") >= remove_from, F.lit("remove")).otherwise("generalise").alias("action"),
     )
     return base.select("file", "row", "kind", "start", "end", F.lit("mask").alias("action")).unionByName(terms)
 

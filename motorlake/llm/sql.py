@@ -71,11 +71,11 @@ _BY_KIND = "\nUNION ALL ".join(
 PII = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 k AS ({_BY_KIND}),
-one AS (SELECT r, kind, no, generate_subscripts(m, 1) AS n, unnest(m) AS v, unnest(g[1:len(m)]) AS gl, unnest(g[2:len(m) + 1]) AS gr FROM k WHERE len(m) > 0),
+one AS (SELECT r, kind, no, generate_subscripts(m, 1) AS n, unnest(m) AS v, unnest(g[1:len(m)]) AS gl FROM k WHERE len(m) > 0),
 placed AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS digits,
                   CAST(sum(length(gl) + length(v)) OVER (PARTITION BY r, kind ORDER BY n) AS BIGINT) AS stop FROM one),
 base AS (
-  SELECT r, kind, no, stop - length(v) AS start, stop, right(gl, 200) AS lft, left(gr, 200) AS rgt,
+  SELECT r, kind, no, stop - length(v) AS start, stop,
          kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN digits ELSE lower(v) END AS entity
   FROM placed
   WHERE CASE kind
@@ -86,22 +86,27 @@ base AS (
       for i in range(length(digits))]) % 10 = 0
     WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
     ELSE TRUE END),
-side AS (SELECT r, kind, start AS place, entity, 0 AS side, lft AS s, start - length(lft) AS b FROM base
-         UNION ALL SELECT r, kind, start, entity, 1, rgt, stop FROM base),
+prose AS (
+  SELECT r, t, CASE WHEN len(m) = 0 THEN t ELSE array_to_string([g[i] || CASE WHEN i > len(m) THEN '' ELSE repeat('@', length(m[i])) END for i in range(1, len(g) + 1)], '') END AS p
+  FROM k JOIN d USING (r) WHERE kind = 'email'),
 word AS (
-  SELECT r, kind, place, entity, side, b, generate_subscripts(w, 1) AS n, unnest(w) AS word, unnest(g[1:len(w)]) AS gap
-  FROM (SELECT *, regexp_extract_all(s, '\p{{L}}{{3,}}') AS w, string_split_regex(s, '\p{{L}}{{3,}}') AS g FROM side) WHERE len(w) > 0),
-near AS (
-  SELECT r, entity, lower(word) AS term, stop - length(word) AS start, stop
-  FROM (SELECT *, CAST(b + sum(length(gap) + length(word)) OVER (PARTITION BY r, kind, place, side ORDER BY n) AS BIGINT) AS stop FROM word)),
-pair AS (SELECT entity, term, count(DISTINCT r) AS both_n FROM near JOIN d USING (r) GROUP BY entity, term HAVING count(DISTINCT t) >= 2),
-dft AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT r, unnest(regexp_extract_all(lower(t), '\p{{L}}{{3,}}')) AS term FROM d) GROUP BY term),
+  SELECT r, generate_subscripts(w, 1) AS n, unnest(w) AS word, unnest(g[1:len(w)]) AS gap
+  FROM (SELECT r, regexp_extract_all(p, '\p{{L}}{{3,}}') AS w, string_split_regex(p, '\p{{L}}{{3,}}') AS g FROM prose) WHERE len(w) > 0),
+placed_word AS (
+  SELECT r, lower(word) AS term, stop - length(word) AS start, stop
+  FROM (SELECT *, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY r ORDER BY n) AS BIGINT) AS stop FROM word)),
+has_term AS (SELECT DISTINCT r, term FROM placed_word),
+has_entity AS (SELECT DISTINCT r, entity FROM base),
+pair AS (
+  SELECT entity, term, count(*) AS both_n FROM has_entity JOIN has_term USING (r) JOIN d USING (r)
+  GROUP BY entity, term HAVING count(DISTINCT t) >= 2),
+dft AS (SELECT term, count(*) AS df FROM has_term GROUP BY term),
 dfe AS (SELECT entity, count(DISTINCT r) AS de FROM base GROUP BY entity),
 told AS (
-  SELECT entity, term FROM pair JOIN dft USING (term) JOIN dfe USING (entity), (SELECT CAST(count(*) AS DOUBLE) AS n FROM d)
+  SELECT DISTINCT term FROM pair JOIN dft USING (term) JOIN dfe USING (entity), (SELECT CAST(count(*) AS DOUBLE) AS n FROM d)
   WHERE ln(n / de) > 0 AND (ln(n / de) + ln(both_n / df)) / ln(n / de) >= 0.6),
 span AS (SELECT r, kind, no, start, stop FROM base
-         UNION ALL SELECT DISTINCT r, 'term', 4, start, stop FROM near JOIN told USING (entity, term)),
+         UNION ALL SELECT r, 'term', 4, start, stop FROM placed_word JOIN told USING (term)),
 per AS (
   SELECT r, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY no, start) AS spans,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY no, start) FILTER (WHERE kind <> 'term') AS own,
