@@ -2,10 +2,14 @@
 
 A log of arrivals (digest, stable id, content locator) is written once from the texts and
 streamed through a keyed state on disk (RocksDB, no watermark, so nothing ever expires).  The
-state holds for each digest the row that stays and the number of rows seen; a later run with the
-same state folder goes on from there.  A digest is not proof: every hit is compared with the
-bytes of the row that stays, fetched through its locator, and texts that differ in spite of equal
-digests are grouped by their bytes.
+state holds for each digest the row that stays and the number of rows seen.  A digest is not proof:
+every hit is compared with the bytes of the row that stays, fetched through its locator, and texts
+that differ in spite of equal digests are grouped by their bytes.
+
+A later run with the same ``state_path`` goes on from there: its documents are added to the log below
+that folder, hits are compared with the earlier files, which must still be in their place, and the
+results are those of all documents so far, for the rows of this run.  A place (file, row) enters the
+log once, so a run that is repeated, whole or after a failure, counts nothing twice.
 
 Defined results: a null text counts as empty, so all null and empty texts are one group.  Of equal
 texts the largest id stays; null ids rank below all others, and between rows of one id the larger
@@ -16,8 +20,10 @@ are not read.
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from motorlake.llm.rows import column, located, settings, text_of, without
@@ -84,6 +90,31 @@ def stream_decisions(log: DataFrame, log_path: str, state_path: str, bytes_per_b
     return newest.select("digest", "d.stays", "d.seen")
 
 
+def _earlier(spark: SparkSession, log_path: str, schema: T.StructType) -> DataFrame | None:
+    """The log of earlier runs, or None in the first one."""
+    try:
+        return settle(spark.read.schema(schema).parquet(log_path), "earlier")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _contents_elsewhere(hits: DataFrame, new: DataFrame, text_column: str) -> DataFrame:
+    """file, row, bytes of the hits whose files are of earlier runs.
+
+    The names of those files are listed in the driver, as those of any scan are.
+    """
+    spark = hits.sparkSession
+    other = hits.select("file", "row").join(new.select("file", "row"), ["file", "row"], "left_anti")
+    files = [unquote(r["file"]) for r in other.select("file").distinct().collect()]
+    if not files:
+        return spark.createDataFrame([], "file string, row long, bytes string")
+    docs, place = located(spark.read.option("mergeSchema", "true").parquet(*files))
+    rows = docs.select(place["file"].alias("file"), place["row"].alias("row"), text_of(docs, text_column).alias("bytes"))
+    return rows.join(other, ["file", "row"], "left_semi")
+
+
 def exact_duplicates(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -99,10 +130,20 @@ def exact_duplicates(
     """
     spark = docs.sparkSession
     docs, place = located(docs)
-    log_path = scratch_path(spark, "arrivals")
-    arrivals(docs, place, id_column, text_column, digest).write.parquet(log_path)
-    log = spark.read.parquet(log_path)
-    decided = stream_decisions(log, log_path, state_path or scratch_path(spark, "dedup"), bytes_per_batch)
+    state_path = state_path or scratch_path(spark, "dedup")
+    log_path = f"{state_path}/arrivals"
+    new = arrivals(docs, place, id_column, text_column, digest)
+    earlier = _earlier(spark, log_path, new.schema)
+    if earlier is None:
+        new.write.parquet(log_path)
+    else:
+        new = settle(new, "arrivals")
+        new.join(earlier.select("file", "row"), ["file", "row"], "left_anti").select(*new.columns).write.mode("append").parquet(log_path)
+    log = spark.read.schema(new.schema).parquet(log_path)
+    decided = stream_decisions(log, log_path, state_path, bytes_per_batch)
+    if earlier is not None:  # other digests have no row to report
+        touched = new.select("digest").distinct()
+        log, decided = log.join(touched, "digest", "left_semi"), decided.join(touched, "digest", "left_semi")
 
     # Most digests were seen once; only the others travel to the rows.  They are stored first: the
     # adaptive skew join splits a hot digest only where both sides are shuffled for the join.
@@ -121,6 +162,8 @@ def exact_duplicates(
     # Full bytes of all hits and of the rows they hit, found by locator.
     hits = marked.where("stays is not null").select("digest", "doc_id", "file", "row", "first")
     content = docs.select(place["file"].alias("file"), place["row"].alias("row"), text_of(docs, text_column).alias("bytes"))
+    if earlier is not None:
+        content = content.unionByName(_contents_elsewhere(hits, new, text_column))
     fetched = settle(hits.join(content, ["file", "row"]), "fetched")
     firsts = fetched.where("first").select("digest", F.col("bytes").alias("held"))
     checked = fetched.where("not first").join(firsts, "digest").select(
@@ -139,7 +182,8 @@ def exact_duplicates(
         ((F.col("file") == F.col("stays.file")) & (F.col("row") == F.col("stays.row"))).alias("kept"),
         "digest", "file", "row",
     )
-    return single.unionByName(grouped)
+    told = single.unionByName(grouped)
+    return told if earlier is None else told.join(new.select("file", "row"), ["file", "row"], "left_semi").select(*single.columns)
 
 
 def drop_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -47,6 +47,24 @@ def test_state_outlives_a_run(spark):
     assert now == {b"a": (9, 2), b"b": (2, 1)}
 
 
+def test_second_run_goes_on(spark, tmp_path):
+    """Results over two runs are those of all documents so far, also where digests collide, and a repeated run adds nothing."""
+    first = [(1, "a"), (2, "b"), (3, "b"), (4, "ccc"), (None, "lonely"), (5, None)]
+    second = [(9, "a"), (1, "b"), (7, "ddd"), (8, "new"), (6, ""), (8, "new"), (0, "lonely")]
+    places = []
+    for k, data in enumerate((first, second)):
+        places.append(str(tmp_path / f"in put {k}.parquet"))
+        spark.createDataFrame(data, "doc_id long, text string").repartition(2).write.parquet(places[-1])
+    all_rows = expected(first + second)
+    for digest in (exact_dedup.sha256, lambda t: F.unhex(F.lpad(F.hex(F.length(t) % 3), 4, "0"))):
+        state = scratch_path(spark, "state")
+        runs = [exact_dedup.exact_duplicates(spark.read.parquet(p), state_path=state, digest=digest).collect() for p in (places[0], places[1], places[1])]
+        assert len(runs[0]) == len(first)
+        for run in runs[1:]:
+            assert sorted((r.doc_id, r.keep_id, r.group_size) for r in run) == sorted((i, *all_rows[t or ""]) for i, t in second)
+            assert sum(r.kept for r in run) == 5  # one of each text but "b", whose largest id came first
+
+
 def test_filter_and_empty(awkward, nothing):
     kept = exact_dedup.drop_exact_duplicates(awkward)
     assert kept.columns == awkward.columns
