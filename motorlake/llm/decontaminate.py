@@ -139,11 +139,13 @@ def contaminated(
     held = suspects.select("file", "row", "doc_id", F.explode(_by_length(shingle_texts, lengths)).alias("s")).select(
         "file", "row", "doc_id", F.col("s.length").alias("length"), F.col("s.shingle").alias("shingle")
     )
+    # A phrase that many items share meets a document once here, and then only the document's candidates.
+    known = held.join(shingles.select("length", "shingle").distinct(), ["length", "shingle"], "left_semi")
+    wanted = pairs.join(shingles, "item")
     shared = (
-        held.join(shingles, ["length", "shingle"])
+        known.join(wanted, ["file", "row", "length", "shingle"])
         .groupBy("file", "row", "doc_id", "item", "item_id", "n_shingles")
         .agg(F.count(F.lit(1)).alias("shared"))
-        .join(pairs, ["file", "row", "item"], "left_semi")
         .where(F.col("shared") >= F.lit(threshold) * F.col("n_shingles") - F.lit(1e-9))
     )
     return shared.select(

@@ -53,6 +53,21 @@ def test_blocks_give_the_same(spark, monkeypatch):
     assert found == {(k, k) for k in range(9)} | {(k, 0) for k in range(9)}
 
 
+def test_phrase_that_many_items_share(spark):
+    rnd = random.Random(6)
+    phrase = "which of the following is the"
+    items = [phrase + " " + words(rnd, 12, 3000) for _ in range(40)]
+    texts = [phrase + " " + words(rnd, 30, 3000), *[words(rnd, 9) + " " + items[k] for k in (3, 3, 17)], " ".join(items)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = set()
+    for d, t in enumerate(texts):
+        have = shingles(t)[1]
+        want |= {(d, k) for k, it in enumerate(items) if 10 * len(have & shingles(it)[1]) >= 8 * len(shingles(it)[1])}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == want
+    assert len(want) >= 43
+
+
 def test_empty_tables(spark, awkward, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
