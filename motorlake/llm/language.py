@@ -8,8 +8,8 @@ a suffix's share leans on the overall one in the same way.  All counts come from
 aggregation over all pages of text posteriors in whole thousandths, so results do not depend on the
 order of sums.  A page does not count in its own host's prior.
 
-Languages are those that occur in the documents; they are few, so profiles (``BUCKETS`` numbers a
-language) are held in the driver and sent to tasks.
+Languages are those that occur in the documents, rare ones together as ``OTHER``; they are few, so
+profiles (``BUCKETS`` numbers a language) are held in the driver and sent to tasks.
 
 Defined results: a null or empty page is judged by declaration and priors alone.  A missing or broken
 address counts as an empty host and suffix.  Documents without a language or text teach nothing; if
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from motorlake.llm import bytewords
+from motorlake.llm.html_tree import ATTRIBUTE
 from motorlake.llm.rows import column, ship, text_of
 from motorlake.session import settle
 
@@ -35,9 +36,18 @@ BUCKETS = 1 << 14
 #: Overlapping trigrams are not independent evidence.
 TEMPER = 0.2
 STRENGTH = 10.0
+#: Values of ``lang`` that fewer than this part of the documents carry are one class, so that dirty
+#: values cannot make the table of profiles grow: it has at most 1 / RARE + 1 of them.
+RARE, OTHER = 0.001, "und"
 CHUNK = 1 << 20
 UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[^>]*>", re.S | re.I)
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})\b", re.I)
+#: Comments and raw elements are skipped, so that no tag inside them is taken; quotes may hold >.
+OPENING = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(?P<tag>html|body)(?=[\s/>])(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>])*+)(?:>|\Z)",
+    re.S | re.I,
+)
+CODE = re.compile(r"\s*([a-zA-Z]{2,3})(?![a-zA-Z0-9])")
 _MARK = np.arange(256, dtype=np.uint8)
 _MARK[65:91] += 32
 #: Signs, digits and white space are all one separator.
@@ -53,6 +63,21 @@ def trigrams(data: np.ndarray) -> Iterator[np.ndarray]:
         yield (code >> np.uint32(18))[(x[:-2] != 32) | (x[1:-1] != 32)]
 
 
+def declared(page: str) -> str | None:
+    """The language code of the page's html element, from its attribute named ``lang``."""
+    for m in OPENING.finditer(page):
+        if m.group("tag") is None:
+            continue
+        if m.group("tag").lower() == "body":
+            return None
+        for a in ATTRIBUTE.finditer(m.group("attrs")):
+            if a.group(1).lower() == "lang":
+                code = CODE.match(a.group(2) or a.group(3) or a.group(4) or "")
+                return code.group(1).lower() if code else None
+        return None
+    return None
+
+
 def profiles(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages in order and the log-probability of each bucket in each of them."""
 
@@ -70,6 +95,10 @@ def profiles(docs: DataFrame, text_column: str = "text", lang_column: str = "lan
 
     lang = F.lower(F.trim(column(docs, lang_column).cast("string")))
     told = docs.select(lang.alias("lang"), text_of(docs, text_column).alias("text")).where("lang is not null and lang != ''")
+    numbers = told.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    least = numbers.agg(F.coalesce(F.sum("n"), F.lit(0)) * F.lit(RARE)).first()[0]
+    common = [r["lang"] for r in numbers.where(F.col("n") >= least).select("lang").collect()]
+    told = told.withColumn("lang", F.when(F.col("lang").isin(common), F.col("lang")).otherwise(OTHER))
     sums = told.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(sums["lang"].to_pylist()))
     counts = np.zeros((len(langs), BUCKETS))
@@ -86,8 +115,7 @@ def evidence(pages: DataFrame, langs: list[str], logs: np.ndarray, id_column: st
         for batch in bytewords.bounded(batches, 3):
             told, likely = [], np.zeros((len(batch), len(langs)))
             for k, page in enumerate(batch.column(3).to_pylist()):
-                found = DECLARED.search(page)
-                told.append(found.group(1).lower() if found else None)
+                told.append(declared(page))
                 text = html.unescape(UNSEEN.sub(" ", page)).encode("utf-8", "ignore")
                 for part in trigrams(np.frombuffer(text, np.uint8)):
                     likely[k] += TEMPER * logs[:, part].sum(axis=1)
