@@ -45,6 +45,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"\p{L}{3,}"
+#: The filter of told terms has at most 2 ** SLOT_BITS rows of two longs, some ten megabytes in a task's memory.
+SLOT_BITS = 18
 
 
 def _digits(value: Column) -> Column:
@@ -177,6 +179,10 @@ def occurrences(docs: DataFrame, place: Column, told: DataFrame, text_column: st
     text = text_of(docs, text_column)
     rows = docs.select(place["file"].alias("file"), place["row"].alias("row"), text.alias("text"))
     words = rows.select("file", "row", F.posexplode(_terms(F.col("text"))).alias("nth", "term"))
+    # Only words whose hash bit is set in a table of bounded size travel to the terms themselves.
+    slot, bit = F.shiftrightunsigned(F.xxhash64("term"), 64 - SLOT_BITS), F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64("term").bitwiseAND(63).cast("int"))
+    slots = told.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("set"))
+    words = words.join(F.broadcast(slots), (slot == F.col("slot")) & (F.col("set").bitwiseAND(bit) != 0)).drop("slot", "set")
     hits = words.join(told, "term").groupBy("file", "row").agg(F.array_sort(F.collect_list(F.struct("nth", "disclosure"))).alias("hits"))
     prose = rows.join(settle(hits, "term_hits"), ["file", "row"]).select("file", "row", "hits", _prose(F.col("text")).alias("prose")).select(
         "file", "row", "hits",
