@@ -172,7 +172,7 @@ def a12_all(spark, sf_dir):
     """All four kinds of predictions, each written twice and once more under another batch: every key is there once."""
     kinds = {
         "risk": (risk_predictions(spark, sf_dir).withColumn("prediction_id", stable_id("vehicle_id", "cutoff_date")), "prediction_id", "cutoff_date"),
-        "sensor": (sensor_anomalies(sensor_forest(spark, sf_dir), readings(spark, sf_dir), "v1", PROCESSED_AT), "anomaly_id", "window_timestamp"),
+        "sensor": (sensor_anomalies(sensor_forest(spark, sf_dir), readings(spark, sf_dir), "v1", PROCESSED_AT), "prediction_id", "window_timestamp"),
         "demand": (mean_forecasts(spark, sf_dir).withColumn("forecast_id", stable_id("dealer_id", "forecast_date")), "forecast_id", "forecast_date"),
         "claim": (ranked_claims(spark, sf_dir), "anomaly_id", "flagged_at"),
     }

@@ -42,11 +42,17 @@ def failure_predictions(model: PipelineModel, cohort: DataFrame, version: str, c
 
 
 def sensor_anomalies(forest: IsolationForest, readings: DataFrame, version: str, detected_at: str) -> DataFrame:
+    """Predictions of all readings.
+
+    All unregistered vehicles are one unknown member, so two of their readings at one time have the same
+    ``anomaly_id``; ``prediction_id`` also holds the reading's own id and is unique.
+    """
     scored = readings.withColumn("anomaly_score", forest.score()).withColumn(
         "is_anomaly", F.col("anomaly_score") >= forest.threshold
     )
     return scored.select(
         stable_id("vehicle_id", "timestamp").alias("anomaly_id"),
+        stable_id("vehicle_id", "timestamp", "telemetry_fact_id").alias("prediction_id"),
         "vehicle_id",
         F.col("timestamp").alias("window_timestamp"),
         "anomaly_score",
