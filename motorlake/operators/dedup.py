@@ -4,6 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from motorlake.session import settle
+
+
+def rows_with_copies(df: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The rows whose key may be there more than once; none at all gives None.
+
+    Only a hash of the key is shuffled and counted.  Rows of unlike keys with one hash come along, so what
+    reads this still compares the keys.
+    """
+    at = F.xxhash64(*[F.col(k) for k in keys])
+    twice = settle(df.groupBy(at.alias("_tk_h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_tk_h"), "twice")
+    if twice.isEmpty():
+        return None
+    return df.join(twice, at == twice["_tk_h"], "left_semi")
+
 
 def tag_kept(
     df: DataFrame,
@@ -15,20 +30,25 @@ def tag_kept(
 ) -> DataFrame:
     """Mark exactly one row per key: the largest (or smallest) by ``order``, then ``uid``.
 
-    The winner of each key is an aggregate, so partial aggregation absorbs a key that holds a large
-    share of the rows.  Only keys with copies are joined back; they are few beside the rows, so the
-    planner broadcasts them where their measured size allows, and a hot key is split by the adaptive
-    skew join otherwise.  Null keys form one group.
+    Keys with copies are found by their hashes, and only their rows are compared: a set without copies
+    is shuffled as one number a row.  The winner of each key is an aggregate, so partial aggregation
+    absorbs a key that holds a large share of the rows.  The winners are stored before they are joined
+    back, so the planner broadcasts them where their measured size allows and the rows are not shuffled;
+    a hot key is split by the adaptive skew join otherwise.  Null keys form one group.
     """
     pick = F.max if keep == "latest" else F.min
-    copied = (
-        df.groupBy(*[F.col(k).alias(f"_tk_{i}") for i, k in enumerate(keys)])
+    several = rows_with_copies(df, keys)
+    if several is None:
+        return df.withColumn(flag, F.lit(True))
+    winners = (
+        several.groupBy(*[F.col(k).alias(f"_tk_{i}") for i, k in enumerate(keys)])
         .agg(
             F.count(F.lit(1)).alias("_tk_copies"),
             pick(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *uid)).alias("_tk_w"),
         )
         .where("_tk_copies > 1")
     )
+    copied = settle(winners, "winners")
     on = None
     for i, k in enumerate(keys):
         same = df[k].eqNullSafe(copied[f"_tk_{i}"])

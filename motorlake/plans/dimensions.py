@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from motorlake import config
 from motorlake.functions.text import date_key
+from motorlake.operators.dedup import rows_with_copies
 from motorlake.operators.keys import assign_keys, extend_keys
 
 # ---- fixed values: the unknown member of every dimension ----------------------
@@ -216,7 +217,8 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], keep: list[str
     A key may occur once in the source: two rows would both be joined, so that is an error.
     """
     keep = keep or []
-    twice = source.groupBy(*keys).count().where("count > 1").limit(1).collect()
+    several = rows_with_copies(source, keys)
+    twice = several.groupBy(*keys).count().where("count > 1").limit(1).collect() if several is not None else None
     if twice:
         raise ValueError(f"upsert: source has the key {twice[0].asDict()} more than once")
     t, s = target.alias("t"), source.alias("s")

@@ -8,6 +8,7 @@ from motorlake.functions.text import date_key, iso_seconds
 from motorlake.operators.dedup import latest_rows
 from motorlake.operators.quality import assert_bounds, telemetry_bounds
 from motorlake.plans.dimensions import lookup, upsert
+from motorlake.session import settle
 
 
 def resolve_telemetry(silver: DataFrame, dim_vehicle: DataFrame) -> DataFrame:
@@ -109,7 +110,9 @@ def number_rows(df: DataFrame, name: str, start: int = 0) -> DataFrame:
 def merge_fact(fact: DataFrame, resolved: DataFrame, name: str) -> DataFrame:
     """Latest attributes win on the business key; ids of existing rows stay."""
     top = fact.agg(F.coalesce(F.max(FACT_IDS[name]), F.lit(0)).alias("m")).first()["m"]
-    return upsert(fact, number_rows(one_per_key(resolved, name), name, top), FACT_KEYS[name], keep=[FACT_IDS[name]])
+    # Stored, as the upsert reads it twice.
+    source = settle(number_rows(one_per_key(resolved, name), name, top), "source")
+    return upsert(fact, source, FACT_KEYS[name], keep=[FACT_IDS[name]])
 
 
 def diagnostics_bridge(silver: DataFrame, loaded_at: str | None = None) -> DataFrame:

@@ -60,7 +60,7 @@ class Warehouse:
         return self.table(name)
 
     def _put(self, name: str, df: DataFrame, mode: str, place: str) -> None:
-        out = df.write.mode(mode)
+        out = df.write.mode(mode).option("compression", "zstd")
         (out.partitionBy(*FOLDERS[name]) if name in FOLDERS else out).parquet(place)
 
     def append(self, name: str, df: DataFrame) -> DataFrame:
