@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from motorlake.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
 from motorlake.llm.queries import table
-from motorlake.session import settle
+from motorlake.session import scratch_path, settle
+from motorlake.sources.lake import remove
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -56,8 +57,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of ``sf_dir``; each result is written and read again.
+
+    A stage's documents go when those of the next are there, as nothing reads them any more.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        docs = settle(stage(spark, docs, sf_dir), path=path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
