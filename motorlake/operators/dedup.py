@@ -14,7 +14,7 @@ def rows_with_copies(df: DataFrame, keys: list[str]) -> DataFrame | None:
     reads this still compares the keys.
     """
     at = F.xxhash64(*[F.col(k) for k in keys])
-    twice = settle(df.groupBy(at.alias("_tk_h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_tk_h"), "twice")
+    twice = settle(df.groupBy(at.alias("_tk_h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_tk_h"), "twice", codec="zstd")
     if twice.isEmpty():
         return None
     return df.join(twice, at == twice["_tk_h"], "left_semi")
@@ -48,7 +48,7 @@ def tag_kept(
         )
         .where("_tk_copies > 1")
     )
-    copied = settle(winners, "winners")
+    copied = settle(winners, "winners", codec="zstd")
     on = None
     for i, k in enumerate(keys):
         same = df[k].eqNullSafe(copied[f"_tk_{i}"])

@@ -111,7 +111,7 @@ def merge_fact(fact: DataFrame, resolved: DataFrame, name: str) -> DataFrame:
     """Latest attributes win on the business key; ids of existing rows stay."""
     top = fact.agg(F.coalesce(F.max(FACT_IDS[name]), F.lit(0)).alias("m")).first()["m"]
     # Stored, as the upsert reads it twice.
-    source = settle(number_rows(one_per_key(resolved, name), name, top), "source")
+    source = settle(number_rows(one_per_key(resolved, name), name, top), "source", codec="zstd")
     return upsert(fact, source, FACT_KEYS[name], keep=[FACT_IDS[name]])
 
 
