@@ -11,8 +11,10 @@ bucket every member meets the least member only, and its best such pair is confi
 do the same with other heads.  Members that end in one component need no more comparisons.  Members
 of one bucket in *different* components are then compared, so no link between components is lost: those
 outside the bucket's largest component with all others, each pair once, by its first common band and block by
-block, so that a bucket is spread over many tasks.  Of the pairs whose signatures are like, the likeliest of
-each two components is confirmed on the full sets first, and then all that are still apart.
+block, so that a bucket is spread over many tasks.  Members travel with a parity sketch of their whole set: the bits
+in which two sketches differ are no more than the shingles that only one of the sets has, so a pair with too many
+of them is no link, and the many pairs of a group that lie below the threshold are never rows.  Of the pairs
+that are left, the likeliest of each two components is confirmed on the full sets first, and then all that are still apart.
 
 Defined results: texts without words have an empty set, link with nothing and are kept.  A text of
 fewer words than a shingle is one shingle.  Null texts count as empty.  Repeated rows are copies:
@@ -36,6 +38,8 @@ from motorlake.session import settle
 MINIMA, ROWS, BITS = 128, 4, 4
 BANDS = MINIMA // ROWS
 LONGS = MINIMA * BITS // 64
+#: Bits of a parity sketch.
+PARITY = 1024
 #: Six standard errors of the estimate below the threshold still count as candidates.
 MARGIN = 0.22
 #: Members outside a bucket's largest component that one block compares with all others.
@@ -69,6 +73,19 @@ def packed(low: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(LONGS, 64 // BITS) << _SHIFT, axis=1).view(np.int64)
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each class of hashes, set where the set has an odd number of them, in longs."""
+    odd = np.bincount((bytewords.mix(hashes) >> np.uint64(32)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(a: Column, b: Column, total: Column, percent: int) -> Column:
+    """False only where two sets of ``total`` shingles are surely less alike: bits that differ are at most their difference."""
+    # Not written out word by word: the join's code would become too long to be compiled.
+    unlike = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return unlike * (100 + percent) <= total * (100 - percent)
+
+
 def estimate(a: list[Column], b: list[Column]) -> Column:
     """Similarity from packed signatures: equal fields, corrected for fields equal by chance."""
     ones = F.lit(0x1111111111111111)
@@ -118,19 +135,22 @@ def signatures(docs: DataFrame, place: Column, id_column: str, text_column: str,
 
 
 def full_sets(docs: DataFrame, place: Column, wanted: DataFrame, text_column: str, words: int) -> DataFrame:
-    """rid and the whole shingle set of the documents in ``wanted`` (rid, file, row)."""
+    """rid, the whole shingle set and its parity sketch of the documents in ``wanted`` (rid, file, row)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytewords.bounded(batches, 1):
             hashes, bounds = bytewords.word_hashes(*bytewords.text_buffers(batch.column(1)))
-            sets = [bytewords.shingles(hashes[bounds[k] : bounds[k + 1]], words).view(np.int64) for k in range(len(batch))]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["rid", "shingles"])
+            sets = [bytewords.shingles(hashes[bounds[k] : bounds[k + 1]], words) for k in range(len(batch))]
+            lists = []
+            for each in ([s.view(np.int64) for s in sets], [parity(s) for s in sets]):
+                ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
+                flat = np.concatenate(each) if each else np.zeros(0, np.int64)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["rid", "shingles", "parity"])
 
     text = docs.select(place["file"].alias("file"), place["row"].alias("row"), text_of(docs, text_column).alias("text"))
     # By shuffle at every size: the wanted rows grow with the documents.
-    return text.join(wanted.hint("shuffle_hash"), ["file", "row"]).select("rid", "text").mapInArrow(cut, "rid bigint, shingles array<bigint>")
+    return text.join(wanted.hint("shuffle_hash"), ["file", "row"]).select("rid", "text").mapInArrow(cut, "rid bigint, shingles array<bigint>, parity array<bigint>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -204,19 +224,19 @@ def near_duplicates(
     apart = settle(placed.groupBy("band").agg(F.min("root0").alias("lo"), F.max("root0").alias("hi")).where("lo != hi").select("band"), "apart")
     inside = settle(placed.join(apart, "band", "left_semi"), "inside")
     everyone = settle(inside.groupBy("rid").agg(F.first("root0").alias("root0")), "everyone")
-    sized = settle(own.join(base.select("rid", "n_shingles"), "rid").join(everyone, "rid", "left_semi"), "sized")
     wanted = settle(base.join(everyone, "rid", "left_semi").select("rid", "file", "row"), "wanted")
     sets = settle(full_sets(docs, place, wanted, text_column, words), "sets")
+    sized = settle(own.join(base.select("rid", "n_shingles"), "rid").join(sets.select("rid", "parity"), "rid"), "sized")
     moved = settle(everyone.select("root0").distinct().withColumn("root", F.col("root0")), "roots")
 
     def side(rows: DataFrame, name: str, more: list[str]) -> DataFrame:
         return rows.join(sized, "rid").select(
             *more, F.col("rid").alias(name), F.col("root").alias(f"r{name}"), F.col("n_shingles").alias(f"n{name}"),
-            F.col("bands").alias(f"b{name}"), *[F.col(s).alias(f"{name}_{s}") for s in sig],
+            F.col("bands").alias(f"b{name}"), F.col("parity").alias(f"p{name}"), *[F.col(s).alias(f"{name}_{s}") for s in sig],
         )
 
     like = estimate([F.col(f"u_{s}") for s in sig], [F.col(f"v_{s}") for s in sig])
-    fits = (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & (like >= least)
+    fits = (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & (like >= least) & may_link(F.col("pu"), F.col("pv"), F.col("nu") + F.col("nv"), percent)
 
     # More rounds with another member at the head of each bucket: every one is linear in the members,
     # and those that the first head did not reach join through later ones.
@@ -228,7 +248,7 @@ def near_duplicates(
         )
         pairs = now.join(leads, "band").where("root != head_root").select("rid", "root", "head", "head_root").distinct()
         u = side(pairs, "u", ["head", "head_root"])
-        v = sized.select(F.col("rid").alias("head"), F.col("n_shingles").alias("nv"), *[F.col(s).alias(f"v_{s}") for s in sig])
+        v = sized.select(F.col("rid").alias("head"), F.col("n_shingles").alias("nv"), F.col("parity").alias("pv"), *[F.col(s).alias(f"v_{s}") for s in sig])
         best = settle(
             u.join(v, "head").where(fits).groupBy("u").agg(F.max_by("head", like).alias("v")), "best"
         )
@@ -287,5 +307,4 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each group, columns unchanged."""
     docs, place = located(docs)
-    dropped = settle(near_duplicates(docs, **options).where("not kept").select("file", "row"), "near")
-    return without(docs, place, dropped)
+    return without(docs, place, near_duplicates(docs, **options).where("not kept"))

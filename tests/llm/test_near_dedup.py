@@ -73,6 +73,26 @@ def test_merged_giant_beside_strays(spark, monkeypatch):
     check(docs, 2)
 
 
+def test_pairs_below_the_threshold_are_not_confirmed(spark, monkeypatch):
+    """All two of a group are nearly alike enough: looking each pair up in full costs the group's square."""
+    rnd = random.Random(12)
+    origin = words(rnd, 200, 100_000)
+    texts = [edited(rnd, origin, 0.05) for _ in range(150)] + [edited(rnd, origin, 0.02) for _ in range(4)]
+    looked, confirmed = [], near_dedup.confirmed
+    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, *rest: looked.append(pairs.count()) or confirmed(pairs, *rest))
+    check(spark.createDataFrame(rows(texts), DOCS), 2)
+    assert sum(looked) < 10 * len(texts)
+
+
+def test_parity_bounds_the_difference():
+    rnd = random.Random(13)
+    for n in (0, 1, 30, 3000):
+        a, b = ({rnd.randrange(2**64) for _ in range(n)} for _ in range(2))
+        b |= set(rnd.sample(sorted(a), n // 2))
+        bits = [near_dedup.parity(near_dedup.np.array(sorted(s), near_dedup.np.uint64)).view(near_dedup.np.uint64) for s in (a, b)]
+        assert sum(int(x).bit_count() for x in bits[0] ^ bits[1]) <= len(a ^ b)
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(50)]
