@@ -157,5 +157,4 @@ def contaminated(
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold a test item, columns unchanged."""
     docs, place = located(docs)
-    found = settle(contaminated(docs, items, **options).select("file", "row").distinct(), "contaminated")
-    return without(docs, place, found)
+    return without(docs, place, contaminated(docs, items, **options))

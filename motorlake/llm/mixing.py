@@ -21,7 +21,7 @@ import random
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from motorlake.llm.rows import column, free_name, located, text_of
+from motorlake.llm.rows import bit_of, column, free_name, located, marked, same_word, text_of
 from motorlake.session import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -120,15 +120,16 @@ def mix(
     )
 
 
-def emit_mix(docs: DataFrame, **options) -> DataFrame:
+def emit_mix(docs: DataFrame, most: int = 3, **options) -> DataFrame:
     """The mixed rows: each row of ``docs`` once per copy, columns unchanged."""
     docs, place = located(docs)
-    plan = settle(mix(docs, **options).where("copies > 0").select("file", "row", "copies"), "copies")
+    digits = range((most + 1).bit_length())  # of the copies in binary
+    taken = marked(mix(docs, most=most, **options).where("copies > 0"), {f"_copies{d}": F.col("copies").bitwiseAND(1 << d) != 0 for d in digits})
     at = free_name(docs, "_at")
     rows = docs.select("*", place.alias(at))
-    taken = plan.select(F.col("file").alias("_file"), F.col("row").alias("_row"), F.col("copies").alias("_copies"))
-    joined = rows.join(taken, (rows[at]["file"] == taken["_file"]) & (rows[at]["row"] == taken["_row"]))
+    copies = F.lit(0).cast("long")
+    for d in digits:
+        copies = copies + F.when(taken[f"_copies{d}"].bitwiseAND(bit_of(rows[at]["row"])) != 0, F.lit(1 << d)).otherwise(F.lit(0))
     names = [rows[f"`{c}`"] for c in docs.columns]
-    return joined.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), taken["_copies"])).alias(free_name(docs, "_copy"))).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    each = F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias(free_name(docs, "_copy"))
+    return rows.join(taken, same_word(rows[at], taken)).where(copies > 0).select(*names, each).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -415,5 +415,4 @@ def assess(
 def drop_rejected(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without the rejected documents, columns unchanged."""
     docs, place = located(docs)
-    rejected = settle(assess(docs, labels, **options).where("not kept").select("file", "row"), "rejected")
-    return without(docs, place, rejected)
+    return without(docs, place, assess(docs, labels, **options).where("not kept"))
