@@ -279,7 +279,7 @@ UNION ALL SELECT 'fact_parts.dealer_key', (SELECT count(*) FROM fp WHERE dealer_
 )
 def b12(spark, sf_dir):
     """Orphan references: raw ids may be orphans, resolved keys never are."""
-    t = open_warehouse(spark, sf_dir).table
+    t = open_warehouse(spark, sf_dir, "fact_telemetry", "fact_warranty", "fact_parts", "dim_date").table
     clean = {n: silver.clean_rows(tagged(spark, sf_dir, n), n, SILVER_BATCH, PROCESSED_AT) for n in ("service", "telemetry", "vehicles")}
     checks = {
         "service.vehicle_id": quality.orphans(clean["service"], "vehicle_id", clean["vehicles"]),
@@ -327,7 +327,7 @@ def b14(spark, sf_dir):
 )
 def b15(spark, sf_dir):
     """Clean rows against loaded fact rows."""
-    t = open_warehouse(spark, sf_dir).table
+    t = open_warehouse(spark, sf_dir, "fact_telemetry", "fact_service", "fact_warranty", "fact_parts", "silver_diagnostics").table
     rows = None
     for name in ("telemetry", "service", "warranty", "parts"):
         clean = silver.clean_rows(tagged(spark, sf_dir, name), name, SILVER_BATCH, PROCESSED_AT)

@@ -79,8 +79,8 @@ SELECT t.*, EXISTS (SELECT 1 FROM bridge b WHERE b.severity IN ('CRITICAL', 'HIG
 
 
 def _inputs(spark, sf_dir):
-    t = open_warehouse(spark, sf_dir).table
-    return t("fact_telemetry"), t("silver_diagnostics"), t("fact_service"), t("dim_vehicle")
+    names = "fact_telemetry", "silver_diagnostics", "fact_service", "dim_vehicle"
+    return tuple(map(open_warehouse(spark, sf_dir, *names).table, names))
 
 
 @query("f1_active_cohort", sql(f"SELECT DISTINCT {_C}, vehicle_id, vehicle_key FROM tel_cut"))

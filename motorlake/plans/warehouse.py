@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from threading import RLock
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F
@@ -22,9 +23,31 @@ LOADED_AT = "2024-03-03 00:00:00"
 FOLDERS = {"fact_telemetry": ["date_key"]}
 
 
+class Step:
+    """Work that stores some tables, done once, when one of them is first asked for."""
+
+    def __init__(self, run: Callable[[], object]):
+        self._run = run
+        self._lock = RLock()
+        self._begun = False
+
+    def __call__(self) -> None:
+        with self._lock:  # others wait until it is done; the step itself may read what it has written
+            if self._begun:
+                return
+            self._begun = True
+            try:
+                self._run()
+            except BaseException:
+                self._begun = False
+                raise
+
+
 class Warehouse:
     """Tables below one folder.
 
+    ``steps`` names the work that stores a table; it is done when the table is first read.
+
     A table's files are never overwritten while they may be read: additions are appended, and
     a table computed from itself is written once to a new place, and a pointer with the next
     number is added.  Pointers are only ever added, and the highest holds, so a reader always
@@ -35,6 +58,7 @@ class Warehouse:
         self.spark = spark
         self.path = path.rstrip("/")
         self._places: dict[str, str] = {}
+        self.steps: dict[str, Step] = {}
 
     def _place(self, name: str) -> str:
         if name not in self._places:
@@ -52,8 +76,16 @@ class Warehouse:
         return pointers.agg(F.max(F.struct("number", "place")).alias("p")).first()["p"]
 
     def table(self, name: str) -> DataFrame:
+        if name in self.steps:
+            self.steps[name]()
         return self.spark.read.parquet(self._place(name))
 
+    def need(self, *names: str) -> Warehouse:
+        """Store these tables, where they are not yet, at the same time."""
+        steps = {id(s): s for s in (self.steps[n] for n in names if n in self.steps)}
+        side_by_side(list(steps.values()))
+        return self
+
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """First load of a table."""
         self._put(name, df, "overwrite", self._place(name))
@@ -100,33 +132,34 @@ class SilverTables:
         return self._w.table(f"silver/{name}")
 
 
-def load_silver(w: Warehouse, source: Callable[[str], DataFrame], snapshot_date: str = SNAPSHOT_DATE, again: bool = False) -> SilverTables:
-    """Store all ten sets; the sets do not depend on each other.
+def load_set(w: Warehouse, source: Callable[[str], DataFrame], n: str, snapshot_date: str = SNAPSHOT_DATE, again: bool = False) -> None:
+    """Store one set.
 
     bronze/<set> has every input row, raw values verbatim, with the rule that rejects it; silver/<set> and
     quarantine/<set> are its two parts.  The input is derived once, into a folder of its own that goes when
     bronze is there.  Each write counts its rows as they pass, and input must be clean plus rejected.
     With ``again`` the tables are replaced by those of a later load.
     """
+    counts: dict[str, int] = {}
 
-    def load(n: str) -> None:
-        counts: dict[str, int] = {}
+    def store(layer: str, rows: DataFrame, put: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
+        seen = Observation()
+        stored = put(f"{layer}/{n}", rows.observe(seen, F.count(F.lit(1)).alias("n")))
+        counts[layer] = seen.get.get("n", 0)
+        return stored
 
-        def store(layer: str, rows: DataFrame, put: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
-            seen = Observation()
-            stored = put(f"{layer}/{n}", rows.observe(seen, F.count(F.lit(1)).alias("n")))
-            counts[layer] = seen.get.get("n", 0)
-            return stored
+    put = w.replace if again else w.write
+    landed = store("landed", source(n), w.write)
+    tagged = store("bronze", silver.tag_rows(landed, n, snapshot_date, ["_source_file", "_row_uid"]), put)
+    remove(w.spark, f"{w.path}/landed/{n}")
+    store("silver", silver.clean_rows(tagged, n, SILVER_BATCH, PROCESSED_AT), put)
+    store("quarantine", silver.quarantine_rows(tagged, PROCESSED_AT), put)
+    silver.assert_conserved(counts["landed"], counts["silver"], counts["quarantine"], n)
 
-        put = w.replace if again else w.write
-        landed = store("landed", source(n), w.write)
-        tagged = store("bronze", silver.tag_rows(landed, n, snapshot_date, ["_source_file", "_row_uid"]), put)
-        remove(w.spark, f"{w.path}/landed/{n}")
-        store("silver", silver.clean_rows(tagged, n, SILVER_BATCH, PROCESSED_AT), put)
-        store("quarantine", silver.quarantine_rows(tagged, PROCESSED_AT), put)
-        silver.assert_conserved(counts["landed"], counts["silver"], counts["quarantine"], n)
 
-    side_by_side([lambda n=n: load(n) for n in SETS])
+def load_silver(w: Warehouse, source: Callable[[str], DataFrame], snapshot_date: str = SNAPSHOT_DATE, again: bool = False) -> SilverTables:
+    """Store all ten sets; the sets do not depend on each other."""
+    side_by_side([lambda n=n: load_set(w, source, n, snapshot_date, again) for n in SETS])
     return SilverTables(w)
 
 
@@ -134,45 +167,55 @@ def silver_tables(spark: SparkSession, sf_dir: str) -> SilverTables:
     return SilverTables(open_warehouse(spark, sf_dir))
 
 
+Tables = Callable[[str], DataFrame]
+
+
+def _vehicles(clean: SilverTables, t: Tables) -> DataFrame:
+    return dims.dim_vehicle(clean["vehicles"], clean["vehicle_customer_map"], t("dim_model"), t("dim_dealer"), t("dim_customer"))
+
+
+#: What each dimension is made of (silver sets and other tables), and how; later ones read earlier ones.
+DIMENSIONS: dict[str, tuple[list[str], Callable[[SparkSession, SilverTables, Tables], DataFrame]]] = {
+    "dim_date": ([], lambda spark, clean, t: dims.dim_date(spark)),
+    "dim_model": (["silver/vehicles"], lambda spark, clean, t: dims.dim_model(clean["vehicles"])),
+    "dim_dealer": (["silver/dealers"], lambda spark, clean, t: dims.dim_dealer(clean["dealers"])),
+    "dim_customer": (["silver/customers"], lambda spark, clean, t: dims.dim_customer(clean["customers"])),
+    "dim_component": (["silver/components"], lambda spark, clean, t: dims.dim_component(clean["components"])),
+    "part_lookup": (["silver/components", "dim_component"], lambda spark, clean, t: dims.part_lookup(clean["components"], t("dim_component"))),
+    "dim_vehicle": (["silver/vehicles", "silver/vehicle_customer_map", "dim_model", "dim_dealer", "dim_customer"], lambda spark, clean, t: _vehicles(clean, t)),
+}
+
+#: The same for the facts and the bridge.
+FACTS: dict[str, tuple[list[str], Callable[[SilverTables, Tables], DataFrame]]] = {
+    "fact_telemetry": (["silver/telemetry", "dim_vehicle"], lambda clean, t: facts.resolve_telemetry(clean["telemetry"], t("dim_vehicle"))),
+    "fact_service": (["silver/service", "dim_vehicle", "dim_dealer"], lambda clean, t: facts.resolve_service(clean["service"], t("dim_vehicle"), t("dim_dealer"))),
+    "fact_warranty": (["silver/warranty", "dim_vehicle", "dim_component"], lambda clean, t: facts.resolve_warranty(clean["warranty"], t("dim_vehicle"), t("dim_component"))),
+    "fact_parts": (["silver/parts", "part_lookup", "dim_dealer"], lambda clean, t: facts.resolve_parts(clean["parts"], t("part_lookup"), t("dim_dealer"))),
+    "silver_diagnostics": (["silver/diagnostics"], lambda clean, t: facts.diagnostics_bridge(clean["diagnostics"], LOADED_AT)),
+}
+
+
+def load_dimension(w: Warehouse, clean: SilverTables, name: str) -> None:
+    w.write(name, DIMENSIONS[name][1](w.spark, clean, w.table))
+
+
 def load_dimensions(w: Warehouse, clean: SilverTables) -> None:
-    side_by_side(
-        [
-            lambda: w.write("dim_date", dims.dim_date(w.spark)),
-            lambda: w.write("dim_model", dims.dim_model(clean["vehicles"])),
-            lambda: w.write("dim_dealer", dims.dim_dealer(clean["dealers"])),
-            lambda: w.write("dim_customer", dims.dim_customer(clean["customers"])),
-            lambda: w.write("dim_component", dims.dim_component(clean["components"])),
-        ]
-    )
-    side_by_side(
-        [
-            lambda: w.write("part_lookup", dims.part_lookup(clean["components"], w.table("dim_component"))),
-            lambda: w.write(
-                "dim_vehicle",
-                dims.dim_vehicle(
-                    clean["vehicles"], clean["vehicle_customer_map"], w.table("dim_model"), w.table("dim_dealer"),
-                    w.table("dim_customer"),
-                ),
-            ),
-        ]
-    )
+    names = list(DIMENSIONS)
+    for some in (names[:5], names[5:]):
+        side_by_side([lambda n=n: load_dimension(w, clean, n) for n in some])
 
 
-def load_facts(w: Warehouse, clean: SilverTables) -> None:
-    vehicle, dealer, component = (w.table(f"dim_{x}") for x in ("vehicle", "dealer", "component"))
+def load_fact(w: Warehouse, clean: SilverTables, name: str, t: Tables | None = None) -> None:
+    """First load of a fact or the bridge; ``t`` gives the dimensions, if not as they are now."""
+    rows = FACTS[name][1](clean, t or w.table)
+    if name in facts.FACT_IDS:
+        rows = facts.by_time(rows) if name == "fact_telemetry" else facts.one_per_key(rows, name)
+        rows = facts.number_rows(rows, name).withColumn("_loaded_at", F.lit(LOADED_AT))
+    w.write(name, rows)
 
-    def fact(name: str, resolved: DataFrame) -> None:
-        w.write(name, facts.number_rows(resolved, name).withColumn("_loaded_at", F.lit(LOADED_AT)))
 
-    side_by_side(
-        [
-            lambda: fact("fact_telemetry", facts.by_time(facts.resolve_telemetry(clean["telemetry"], vehicle))),
-            lambda: fact("fact_service", facts.resolve_service(clean["service"], vehicle, dealer)),
-            lambda: fact("fact_warranty", facts.resolve_warranty(clean["warranty"], vehicle, component)),
-            lambda: fact("fact_parts", facts.one_per_key(facts.resolve_parts(clean["parts"], w.table("part_lookup"), dealer), "fact_parts")),
-            lambda: w.write("silver_diagnostics", facts.diagnostics_bridge(clean["diagnostics"], LOADED_AT)),
-        ]
-    )
+def load_facts(w: Warehouse, clean: SilverTables) -> None:
+    side_by_side([lambda n=n: load_fact(w, clean, n) for n in FACTS])
 
 
 def reload_dimensions(w: Warehouse, clean: SilverTables) -> None:
@@ -201,21 +244,21 @@ def reload_dimensions(w: Warehouse, clean: SilverTables) -> None:
     )
 
 
-def reload_facts(w: Warehouse, clean: SilverTables) -> None:
+def reload_fact(w: Warehouse, clean: SilverTables, name: str) -> None:
     """Load the same or newer silver again: nothing is counted twice, and keys resolve against the dimensions as they are now."""
-    vehicle, dealer, component = (w.table(f"dim_{x}") for x in ("vehicle", "dealer", "component"))
-    fact = w.table("fact_telemetry")
-    fresh = facts.by_time(facts.new_telemetry(facts.resolve_telemetry(clean["telemetry"], vehicle), fact))
-    top = fact.agg(F.coalesce(F.max("telemetry_fact_id"), F.lit(0)).alias("m")).first()["m"]
-    added = facts.number_rows(fresh, "fact_telemetry", top).withColumn("_loaded_at", F.lit(LOADED_AT))
-    w.append("fact_telemetry", added.select(*fact.columns))
-    for name, resolved in (
-        ("fact_service", facts.resolve_service(clean["service"], vehicle, dealer)),
-        ("fact_warranty", facts.resolve_warranty(clean["warranty"], vehicle, component)),
-        ("fact_parts", facts.resolve_parts(clean["parts"], w.table("part_lookup"), dealer)),
-    ):
-        w.replace(name, facts.merge_fact(w.table(name), resolved, name))
-    w.replace("silver_diagnostics", facts.merge_bridge(w.table("silver_diagnostics"), facts.diagnostics_bridge(clean["diagnostics"], LOADED_AT)))
+    held, fresh = w.table(name), FACTS[name][1](clean, w.table)
+    if name == "fact_telemetry":
+        fresh = facts.by_time(facts.new_telemetry(fresh, held))
+        top = held.agg(F.coalesce(F.max("telemetry_fact_id"), F.lit(0)).alias("m")).first()["m"]
+        added = facts.number_rows(fresh, name, top).withColumn("_loaded_at", F.lit(LOADED_AT))
+        w.append(name, added.select(*held.columns))
+    else:
+        w.replace(name, facts.merge_fact(held, fresh, name) if name in facts.FACT_IDS else facts.merge_bridge(held, fresh))
+
+
+def reload_facts(w: Warehouse, clean: SilverTables) -> None:
+    for name in FACTS:
+        reload_fact(w, clean, name)
 
 
 def load_again(w: Warehouse, source: Callable[[str], DataFrame], snapshot_date: str = SNAPSHOT_DATE) -> SilverTables:
@@ -234,6 +277,7 @@ TABLES = [
 
 def row_counts(w: Warehouse) -> DataFrame:
     """Rows per table, in one job."""
+    w.need(*TABLES)
     counts = [
         w.table(t).select(F.lit(t).alias("table_name"), F.lit(1).alias("one")) for t in TABLES
     ]
@@ -246,13 +290,26 @@ def row_counts(w: Warehouse) -> DataFrame:
 _open: dict[tuple[str, str], Warehouse] = {}
 
 
-def open_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    """The loaded warehouse of one set of given tables, built once per application."""
+def on_demand(w: Warehouse, source: Callable[[str], DataFrame]) -> None:
+    """Let the tables of ``w`` be stored when they are first read, each after those it is made of."""
+    clean = SilverTables(w)
+    for n in SETS:
+        step = Step(lambda n=n: load_set(w, source, n))
+        w.steps |= {f"{layer}/{n}": step for layer in ("bronze", "silver", "quarantine")}
+    for n, (parts, _) in DIMENSIONS.items():
+        w.steps[n] = Step(lambda n=n, parts=parts: load_dimension(w.need(*parts), clean, n))
+    for n, (parts, _) in FACTS.items():
+        w.steps[n] = Step(lambda n=n, parts=parts: load_fact(w.need(*parts), clean, n))
+
+
+def open_warehouse(spark: SparkSession, sf_dir: str, *names: str) -> Warehouse:
+    """The warehouse of one set of given tables, one for an application.
+
+    A table is loaded, whole, when a query first asks for it; ``names`` are loaded at once.
+    """
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _open:
         w = Warehouse(spark, scratch_path(spark, "warehouse"))
-        clean = load_silver(w, lambda n: raw_set(spark, sf_dir, n))
-        load_dimensions(w, clean)
-        load_facts(w, clean)
+        on_demand(w, lambda n: raw_set(spark, sf_dir, n))
         _open[key] = w
-    return _open[key]
+    return _open[key].need(*names)

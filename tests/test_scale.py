@@ -3,11 +3,12 @@
 from datetime import datetime
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from motorlake.learning import iforest
 from motorlake.operators.dedup import tag_kept
-from motorlake.plans import scoring
+from motorlake.plans import scoring, warehouse as wh
 from motorlake.sources import lake
 
 SENSORS = ["rpm", "temperature", "vibration"]
@@ -40,3 +41,25 @@ def test_rows_without_copies_are_not_shuffled(spark, tmp_path):
     few = tag_kept(spark.read.parquet(path).withColumn("k", F.when(F.col("o") < 3, F.lit("k0")).otherwise(F.col("k"))), ["k"], [F.col("o")], ["uid"])
     assert exchanges(few) == 0
     assert [r.uid for r in few.where("not _kept").orderBy("uid").collect()] == [0, 1] and few.count() == 3000
+
+
+def test_query_loads_only_the_tables_it_reads(spark, sf_dir, monkeypatch):
+    """Each table once and whole, after those it is made of; a step that failed is tried again."""
+    loaded = []
+    real = wh.load_set
+
+    def load_set(w, source, n, *rest):
+        loaded.append(n)
+        if loaded.count("customers") == 1 and n == "customers":
+            raise OSError("lost")
+        real(w, source, n, *rest)
+
+    monkeypatch.setattr(wh, "_open", {})
+    monkeypatch.setattr(wh, "load_set", load_set)
+    with pytest.raises(OSError):
+        wh.open_warehouse(spark, sf_dir, "fact_service", "dim_vehicle")
+    w = wh.open_warehouse(spark, sf_dir, "fact_service", "dim_vehicle")
+    assert w.table("fact_service").count() == w.table("silver/service").count() > 0
+    assert sorted(loaded) == sorted(["vehicles", "vehicle_customer_map", "service", "customers", "customers", "dealers"])
+    assert {r["table_name"] for r in wh.row_counts(w).collect()} == set(wh.TABLES)
+    assert set(loaded) == set(wh.SETS) and len(loaded) == len(wh.SETS) + 1
