@@ -8,18 +8,19 @@ from motorlake.catalog.registry import query
 from motorlake.catalog.sql import BLOCKS, DAY, STAMP, sql
 from motorlake.plans import dimensions as dims, facts, staging
 from motorlake.plans.warehouse import (
+    DIMENSIONS,
     TABLES,
     Warehouse,
     load_dimensions,
-    load_facts,
+    load_fact,
     open_warehouse,
     reload_dimensions,
-    reload_facts,
+    reload_fact,
     row_counts,
     silver_tables,
 )
-from motorlake.session import scratch_path, settle
-from motorlake.sources.adapters import SETS, raw_set, table
+from motorlake.session import scratch_path, settle, side_by_side
+from motorlake.sources.adapters import raw_set, table
 
 
 @query(
@@ -161,39 +162,52 @@ BLOCKS["again_component"] = _members("dim_component", "name", "category", "cmp",
 BLOCKS["again_vehicle"] = _members("dim_vehicle", "vehicle_id", "variant", "veh", "md5(vehicle_id) < '8' AND model <> 'Titan'")
 
 
-def _before(clean):
+class _Before:
     """The earlier state of every silver set."""
-    early = lambda c: F.md5(F.col(c)) < "8"
-    dealers = clean["dealers"]
-    closed = dealers.sparkSession.createDataFrame([("DLR-CLOSED", "Closed", "X", "Y")], "dealer_id string, name string, city string, region string")
-    old = lambda df, c: df.withColumn(c, F.concat(F.lit("Old "), c))
-    sets = {
-        "dealers": old(dealers.where(early("dealer_id")), "name").unionByName(closed, allowMissingColumns=True),
-        "customers": old(clean["customers"].where(early("customer_id")), "customer_name"),
-        "components": old(clean["components"].where(early("name")), "category"),
-        "vehicles": old(clean["vehicles"].where(early("vehicle_id") & (F.col("model") != "Titan")), "variant"),
-        "diagnostics": old(clean["diagnostics"], "component"),
-    }
-    return {n: sets.get(n, clean[n]) for n in SETS}
 
+    def __init__(self, clean):
+        self._clean = clean
 
-_loaded_twice: dict[tuple[str, str], tuple[Warehouse, dict]] = {}
+    def __getitem__(self, name):
+        rows = self._clean[name]
+        early = lambda c: F.md5(F.col(c)) < "8"
+        old = lambda df, c: df.withColumn(c, F.concat(F.lit("Old "), c))
+        if name == "dealers":
+            closed = rows.sparkSession.createDataFrame([("DLR-CLOSED", "Closed", "X", "Y")], "dealer_id string, name string, city string, region string")
+            return old(rows.where(early("dealer_id")), "name").unionByName(closed, allowMissingColumns=True)
+        if name == "customers":
+            return old(rows.where(early("customer_id")), "customer_name")
+        if name == "components":
+            return old(rows.where(early("name")), "category")
+        if name == "vehicles":
+            return old(rows.where(early("vehicle_id") & (F.col("model") != "Titan")), "variant")
+        return old(rows, "component") if name == "diagnostics" else rows
 
 
-def loaded_twice(spark, sf_dir):
-    """A warehouse after both loads, and the service and claim facts of the first."""
+_loaded_twice: dict[tuple[str, str], tuple[Warehouse, dict, dict]] = {}
+
+
+def loaded_twice(spark, sf_dir, *names):
+    """A warehouse after both loads of all dimensions and of the facts ``names``, and these facts after the first."""
+    clean = silver_tables(spark, sf_dir)
+    before = _Before(clean)
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _loaded_twice:
-        clean = silver_tables(spark, sf_dir)
+        open_warehouse(spark, sf_dir, *[f"silver/{n}" for n in ("vehicles", "vehicle_customer_map", "dealers", "customers", "components")])
         w = Warehouse(spark, scratch_path(spark, "twice"))
-        before = _before(clean)
         load_dimensions(w, before)
-        load_facts(w, before)
-        first = {n: w.table(n) for n in ("fact_service", "fact_warranty")}
+        members = {n: w.table(n) for n in DIMENSIONS}
         reload_dimensions(w, clean)
-        reload_facts(w, clean)
-        _loaded_twice[key] = w, first
-    return _loaded_twice[key]
+        _loaded_twice[key] = w, members, {}
+    w, members, first = _loaded_twice[key]
+
+    def both(n):
+        load_fact(w, before, n, members.__getitem__)
+        first[n] = w.table(n)
+        reload_fact(w, clean, n)
+
+    side_by_side([lambda n=n: both(n) for n in names if n not in first])
+    return w, first
 
 
 @query("d9_second_load", sql("\nUNION ALL ".join(f"SELECT * FROM again_{d}" for d in ("model", "dealer", "customer", "component", "vehicle"))))
@@ -221,7 +235,7 @@ FROM wrn s LEFT JOIN again_vehicle v ON s.vehicle_id = v.natural_key LEFT JOIN a
 )
 def d9_facts(spark, sf_dir):
     """Visits and claims after the second load: unknown members of the first are resolved, the facts' ids stay."""
-    w, first = loaded_twice(spark, sf_dir)
+    w, first = loaded_twice(spark, sf_dir, "fact_service", "fact_warranty")
     rows = None
     for name, own, key, fact_id in (("service", "service_id", "dealer_key", "service_fact_id"), ("warranty", "claim_id", "component_key", "warranty_fact_id")):
         before = first[f"fact_{name}"].select(own, F.col(fact_id).alias("_id"), F.col("vehicle_key").alias("_vehicle"))
@@ -236,7 +250,7 @@ def d9_facts(spark, sf_dir):
 @query("d17_bridge_second_load", sql(f"SELECT diagnostic_id, vehicle_id, {STAMP.format('ts')} AS timestamp, code, component, severity FROM bridge"))
 def d17_second(spark, sf_dir):
     """The bridge after the second load: one row an id, with the renewed component."""
-    w, _ = loaded_twice(spark, sf_dir)
+    w, _ = loaded_twice(spark, sf_dir, "silver_diagnostics")
     return w.table("silver_diagnostics").select("diagnostic_id", "vehicle_id", "timestamp", "code", "component", "severity")
 
 

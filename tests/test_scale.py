@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from motorlake.catalog import warehouse as catalog
 from motorlake.learning import iforest
 from motorlake.operators.dedup import tag_kept
 from motorlake.plans import scoring, warehouse as wh
@@ -63,3 +64,12 @@ def test_query_loads_only_the_tables_it_reads(spark, sf_dir, monkeypatch):
     assert sorted(loaded) == sorted(["vehicles", "vehicle_customer_map", "service", "customers", "customers", "dealers"])
     assert {r["table_name"] for r in wh.row_counts(w).collect()} == set(wh.TABLES)
     assert set(loaded) == set(wh.SETS) and len(loaded) == len(wh.SETS) + 1
+
+
+def test_second_load_loads_only_the_facts_it_shows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(catalog, "_loaded_twice", {})
+    w, first = catalog.loaded_twice(spark, sf_dir)
+    assert first == {} and not any(n.startswith("fact_") for n in w._places)
+    w, first = catalog.loaded_twice(spark, sf_dir, "fact_service")
+    ids = first["fact_service"].join(w.table("fact_service"), ["service_id", "service_fact_id"])
+    assert ids.count() == first["fact_service"].count() == w.table("fact_service").count() > 0
