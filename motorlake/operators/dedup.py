@@ -7,17 +7,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 from motorlake.session import settle
 
 
+def _hash(keys: list[str]) -> Column:
+    return F.xxhash64(*[F.col(k) for k in keys])
+
+
+def _twice(df: DataFrame, keys: list[str]) -> DataFrame | None:
+    """_tk_h: the key hashes that more than one row has, stored; None where there are none."""
+    twice = settle(df.groupBy(_hash(keys).alias("_tk_h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_tk_h"), "twice", codec="zstd")
+    return None if twice.isEmpty() else twice
+
+
 def rows_with_copies(df: DataFrame, keys: list[str]) -> DataFrame | None:
     """The rows whose key may be there more than once; none at all gives None.
 
     Only a hash of the key is shuffled and counted.  Rows of unlike keys with one hash come along, so what
     reads this still compares the keys.
     """
-    at = F.xxhash64(*[F.col(k) for k in keys])
-    twice = settle(df.groupBy(at.alias("_tk_h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_tk_h"), "twice", codec="zstd")
-    if twice.isEmpty():
-        return None
-    return df.join(twice, at == twice["_tk_h"], "left_semi")
+    twice = _twice(df, keys)
+    return None if twice is None else df.join(twice, _hash(keys) == twice["_tk_h"], "left_semi")
 
 
 def tag_kept(
@@ -66,8 +73,16 @@ def tag_kept(
 
 
 def latest_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Only the winning row of every key; copies are absorbed by partial aggregation."""
+    """Only the winning row of every key.
+
+    Rows whose key hash is there once pass as they are; the others are compared, and copies are absorbed
+    by partial aggregation.
+    """
+    twice = _twice(df, keys)
+    if twice is None:
+        return df
     rest = [c for c in df.columns if c not in keys]
     lead = order + [c for c in rest if c not in order]
-    best = df.groupBy(*keys).agg(F.max(F.struct(*lead)).alias("_best"))
-    return best.select(*keys, "_best.*").select(*df.columns)
+    same = _hash(keys) == twice["_tk_h"]
+    best = df.join(twice, same, "left_semi").groupBy(*keys).agg(F.max(F.struct(*lead)).alias("_best"))
+    return df.join(twice, same, "left_anti").unionByName(best.select(*keys, "_best.*").select(*df.columns))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from motorlake.catalog import warehouse as catalog
 from motorlake.learning import iforest
-from motorlake.operators.dedup import tag_kept
+from motorlake.operators.dedup import latest_rows, tag_kept
 from motorlake.plans import scoring, warehouse as wh
 from motorlake.sources import lake
 
@@ -73,3 +73,13 @@ def test_second_load_loads_only_the_facts_it_shows(spark, sf_dir, monkeypatch):
     w, first = catalog.loaded_twice(spark, sf_dir, "fact_service")
     ids = first["fact_service"].join(w.table("fact_service"), ["service_id", "service_fact_id"])
     assert ids.count() == first["fact_service"].count() == w.table("fact_service").count() > 0
+
+
+def test_rows_of_one_key_each_are_not_shuffled_to_find_the_latest(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(3000).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    unique = latest_rows(rows, ["k"], ["v"])
+    assert exchanges(unique) == 0 and unique.count() == 3000
+    some = latest_rows(rows.withColumn("k", F.when(F.col("k") < 3, F.lit(None)).otherwise(F.col("k"))), ["k"], ["v"])
+    assert some.count() == 2998 and [r.v for r in some.where("k is null").collect()] == ["v2"]
