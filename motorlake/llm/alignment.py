@@ -8,7 +8,8 @@ Method: the B id with the same bytes as each A id is an array made once.  Such a
 group of one token a side can hold, is counted in a vector as long as the vocabulary, one a task.  Only the
 pairs of irregular groups are shuffled, and those as (block of documents, pair, documents of the block),
 so a pair that every document holds is one row a block and no key is hot.  Blocks then meet the
-counts of their own pairs and add them up by document.
+counts of their own pairs and add them up by document.  What a block knows of its segments is kept as packed bytes
+and in row groups of a few blocks, so executors hold and shuffle little of it at once.
 
 Defined results: a text that is null or empty, or whose bytes either tokenizer does not give back
 after a space, has zeros and ''.  Strings that look like special tokens are plain text.  Rows with equal or null
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,10 @@ from motorlake.llm.rows import column, ship, text_of
 from motorlake.session import settle
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Text of a block of documents, and segments a task remembers.
-BLOCK_CHARS, REMEMBERED = 1 << 20, 250_000
+#: Text of a block of documents, what a document counts besides its text, and segments a task remembers.
+BLOCK_CHARS, DOCUMENT_CHARS, REMEMBERED = 1 << 20, 128, 250_000
+#: Blocks in a row group, which a task reads as one.
+GROUP_BLOCKS = 8
 #: Segments aligned in one call: both libraries are slower on long strings.
 AT_ONCE = 2_000
 
@@ -108,6 +112,16 @@ def _distinct(values: np.ndarray) -> np.ndarray:
     return ordered[np.flatnonzero(np.diff(ordered, prepend=ordered[:1] - 1))]
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in their narrowest type, compressed; the first byte is the type's width."""
+    width = np.min_scalar_type(int(values.max(initial=0))).itemsize
+    return bytes([width]) + zlib.compress(values.astype(f"<u{width}").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
+
+
 class Aligner:
     """Groups and links of segments, each aligned once as long as it is remembered.  A pair is one number, a * |B| + b."""
 
@@ -186,6 +200,10 @@ def _aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(*_pair(a_path, b_path)[:2])
 
 
+#: Packed columns of a block: segments of each document by number, then the links of each distinct segment.
+PACKED = ("n_segments", "segments", "n_own", "own")
+
+
 def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """One row per block of documents: their figures and segments, the segments' links, and the block's pairs;
     at the end of a task one row of its vector.
@@ -197,7 +215,8 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         a, b, twin = _pair(a_path, b_path)
         aligner, vector = _aligner(a_path, b_path), np.zeros(len(a.bytes), np.int64)
         count, task = len(b.bytes), TaskContext.get().partitionId()
-        names = ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "sha", "n_segments", "segments", "n_own", "own", "pair", "docs", "same", "same_docs"]
+        kinds = {"n_a": long, "n_b": long, "n_groups": long, "n_links": long, "sha": pa.list_(pa.string())}
+        kinds |= {n: pa.binary() for n in PACKED} | {"pair": integer, "docs": integer, "same": integer, "same_docs": long}
         block = 0
 
         def row(ids: pa.Array | None, figures: dict) -> pa.RecordBatch:
@@ -207,12 +226,16 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 columns.append(pa.nulls(1, pa.list_(id_type)))
             else:
                 columns.append(pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids))
-            for name in names[2:]:
-                of = pa.list_(pa.string()) if name == "sha" else long if name in ("n_a", "n_b", "n_groups", "n_links", "same_docs") else integer
+            for name, of in kinds.items():
                 values = figures.get(name)
-                columns.append(pa.nulls(1, of) if values is None else pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, of.value_type)))
+                if values is None:
+                    columns.append(pa.nulls(1, of))
+                elif name in PACKED:
+                    columns.append(pa.array([packed(values)], of))
+                else:
+                    columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, of.value_type)))
             block += 1
-            return pa.RecordBatch.from_arrays(columns, names=names)
+            return pa.RecordBatch.from_arrays(columns, names=["block", "doc_id", *kinds])
 
         def finished(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
             if len(aligner.known) > aligner.remembered:
@@ -252,7 +275,7 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             id_type, start = batch.column(0).type, 0
             for k, text in enumerate(batch.column(1).to_pylist(), 1):
                 texts.append(text)
-                size += len(text)
+                size += len(text) + DOCUMENT_CHARS
                 if size >= BLOCK_CHARS or k == batch.num_rows:
                     ids.append(batch.column(0).slice(start, k - start))
                     start = k
@@ -266,8 +289,9 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             yield row(None, {"same": seen, "same_docs": vector[seen]})
 
     lists = "n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, sha array<string>"
-    lists += ", n_segments array<int>, segments array<int>, n_own array<int>, own array<int>, pair array<int>, docs array<int>"
-    return docs.mapInArrow(align, f"block bigint, doc_id array<{kind.simpleString()}>, {lists}, same array<int>, same_docs array<bigint>")
+    lists += "".join(f", {n} binary" for n in PACKED)
+    lists += ", pair array<int>, docs array<int>, same array<int>, same_docs array<bigint>"
+    return docs.mapInArrow(align, f"block bigint, doc_id array<{kind.simpleString()}>, {lists}")
 
 
 def align(
@@ -301,19 +325,20 @@ def align(
                     return np.empty(0, np.int64) if values is None else values.to_numpy(zero_copy_only=False)
 
                 ids = batch.column("doc_id")[k].values
-                pair, counts, own = get("pairs").astype(np.int64), get("counts"), get("own").astype(np.int64)
+                n_segments, segments, n_own, own = (unpacked(batch.column(n)[k].as_py()) for n in PACKED)
+                pair, counts = get("pairs").astype(np.int64), get("counts")
                 order = np.argsort(pair)
                 pair, counts = pair[order], counts[order]
                 left, right = np.divmod(own, n_b)
                 twins = twin[left] == right
                 count = np.where(twins, same_docs[left], 0)
                 count[~twins] = counts[np.searchsorted(pair, own[~twins])]
-                ends = np.concatenate([[0], np.cumsum(get("n_own"))])
-                by_doc = np.concatenate([[0], np.cumsum(get("n_segments"))])
+                ends = np.concatenate([[0], np.cumsum(n_own)])
+                by_doc = np.concatenate([[0], np.cumsum(n_segments)])
                 sums = []
                 for values in (count == best[left], count):
                     segment = np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[ends])
-                    sums.append(np.diff(np.concatenate([[0], np.cumsum(segment[get("segments")])])[by_doc]))
+                    sums.append(np.diff(np.concatenate([[0], np.cumsum(segment[segments])])[by_doc]))
                 plain = [pa.array(get(n)) for n in ("n_a", "n_b", "n_groups", "n_links")]
                 yield pa.RecordBatch.from_arrays(
                     [ids, *plain, *map(pa.array, sums), batch.column("sha")[k].values],
@@ -326,7 +351,7 @@ def align(
 
 def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Blocks of the documents (doc_id, text); (block, pair, n) of irregular pairs, n over all blocks; (a, n) of pairs of equal bytes."""
-    blocks = settle(_blocks(docs, a_path, b_path), "blocks")
+    blocks = settle(_blocks(docs, a_path, b_path), "blocks", options={"parquet.block.row.count.limit": GROUP_BLOCKS})
     each = blocks.select("block", F.explode(F.arrays_zip("pair", "docs")).alias("p")).select("block", "p.pair", "p.docs")
     pairs = each.select("block", "pair", F.sum("docs").over(Window.partitionBy("pair")).alias("n"))
     same = blocks.select(F.explode(F.arrays_zip("same", "same_docs")).alias("p")).groupBy(F.col("p.same").alias("a")).agg(F.sum("p.same_docs").alias("n"))

@@ -90,3 +90,20 @@ def test_marks_and_special_strings(spark, pair):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     want, _ = brute(pair, list(enumerate(texts)))
     assert rows_of(alignment.align(docs)) == want
+
+
+def test_blocks_are_small_to_read_and_shuffle(spark, sf_dir, pair):
+    """Row groups of the blocks are bounded, whatever a task has read, and so are blocks of documents without text."""
+    import pyarrow.parquet as pq
+
+    paths = [packing.vocabulary_path(n) for n in (alignment.A_VOCABULARY, alignment.B_VOCABULARY)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").coalesce(1)
+    many = docs.crossJoin(spark.range(60).select()).coalesce(1)
+    blocks, _, _ = alignment.pair_counts(many, *paths)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in blocks.inputFiles()]
+    groups = [f.row_group(k) for f in files for k in range(f.num_row_groups)]
+    assert sum(g.num_rows for g in groups) > 16
+    assert max(g.total_byte_size for g in groups) < 6 * alignment.BLOCK_CHARS
+    empty = spark.range(30_000).selectExpr("id AS doc_id", "'' AS text").coalesce(1)
+    assert alignment._blocks(empty, *paths).where("doc_id is not null").count() > 2
+    assert alignment.align(empty).where("n_a = 0 AND groups_sha256 = ''").count() == 30_000
