@@ -45,8 +45,11 @@ def assign_keys(
 
 
 def extend_keys(df: DataFrame, natural: str, out: str, existing: DataFrame, **options) -> DataFrame:
-    """Natural keys that ``existing`` has keep their number; only new ones are numbered, after the largest."""
-    known = existing.where(F.col(out) > 0).select(F.col(natural).alias("_n"), F.col(out))
+    """Natural keys that ``existing`` has keep their number; only new ones are numbered, after the largest.
+
+    The known members are never broadcast: their compressed files are far smaller than their rows in memory.
+    """
+    known = existing.where(F.col(out) > 0).select(F.col(natural).alias("_n"), F.col(out)).hint("merge")
     held = df.join(known, df[natural] == known["_n"], "left").drop("_n")
     fresh = assign_keys(held.where(F.col(out).isNull()).drop(out), natural, out, existing, **options)
     return held.where(F.col(out).isNotNull()).unionByName(fresh)

@@ -162,7 +162,7 @@ def dim_component(components: DataFrame, existing: DataFrame | None = None) -> D
 def part_lookup(components: DataFrame, dim_component: DataFrame) -> DataFrame:
     """part_id -> component_key."""
     named = components.select("part_id", F.col("name").alias("component_name"))
-    return lookup(named, dim_component, "component_name", "component_name", "component_key").select(
+    return lookup(named, dim_component, "component_name", "component_name", "component_key", by_member=True).select(
         "part_id", "component_key"
     )
 
@@ -177,10 +177,10 @@ def dim_vehicle(
 ) -> DataFrame:
     """Resolve model, dealer and owner; whatever has no match points to the unknown member."""
     owned = owners.select(F.col("vehicle_id").alias("_owned"), F.col("customer_id").alias("_owner"))
-    rows = vehicles.join(owned, vehicles["vehicle_id"] == owned["_owned"], "left").drop("_owned")
+    owned = lookup(owned, customers, "_owner", "customer_id", "customer_key", by_member=True)
+    rows = lookup(vehicles, owned, "vehicle_id", "_owned", "customer_key", by_member=True)
     rows = lookup(rows, models, "model", "model_name", "model_key")
-    rows = lookup(rows, dealers, "dealer_id", "dealer_id", "dealer_key", "selling_dealer_key")
-    rows = lookup(rows, customers, "_owner", "customer_id", "customer_key")
+    rows = lookup(rows, dealers, "dealer_id", "dealer_id", "dealer_key", "selling_dealer_key", by_member=True)
     made = F.col("manufacture_date").cast("date")
     shaped = rows.select(
         "vehicle_id",
@@ -196,14 +196,18 @@ def dim_vehicle(
 
 
 def lookup(
-    df: DataFrame, dim: DataFrame, column: str, natural: str, key: str, out: str | None = None
+    df: DataFrame, dim: DataFrame, column: str, natural: str, key: str, out: str | None = None, by_member: bool = False
 ) -> DataFrame:
     """Surrogate key of a natural key, -1 where the dimension has none.
 
     No broadcast is forced: dimensions grow with the data, so the planner decides by their
-    measured size, and a skewed fact side is split by the adaptive skew join.
+    measured size, and a skewed fact side is split by the adaptive skew join.  That size is of compressed
+    files, for members often a hundredth of their rows in memory; so with ``by_member``, where ``df`` is
+    itself a set of members, both sides are shuffled and the driver holds none of them.
     """
     found = dim.select(F.col(natural).alias("_n"), F.col(key).alias("_key"))
+    if by_member:
+        found = found.hint("merge")
     return (
         df.join(found, df[column] == found["_n"], "left")
         .withColumn(out or key, F.coalesce("_key", F.lit(config.UNKNOWN_KEY)))

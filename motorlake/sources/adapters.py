@@ -151,9 +151,10 @@ def vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations do not grow with the data; left to itself, the planner may broadcast what is joined to them."""
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
-    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", "n_name", "r_name")
+    return F.broadcast(n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", "n_name", "r_name"))
 
 
 def dealers(spark: SparkSession, sf_dir: str) -> DataFrame:
